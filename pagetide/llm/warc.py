@@ -45,7 +45,7 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC record; a revisit keeps the HTTP headers, which hold the length, and no payload."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
@@ -131,7 +131,9 @@ def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = ARCHI
             stream.close()
         yield pd.DataFrame({"path": paths}, dtype="object")
 
-    return records.mapInPandas(write, "path string")
+    # ids as text: beside nulls, pandas would make them floating point
+    as_text = records.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
+    return as_text.mapInPandas(write, "path string")
 
 
 def normalize(archives: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
