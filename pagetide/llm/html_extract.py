@@ -155,7 +155,9 @@ def fit_weights(labelled: list[tuple[str, str]], smoothing: float = 1.0) -> dict
                 mark = before and after
             (inside if mark else outside)[kind] += len(text.split()) if kind[0] == "w" else 1
     fitted = {k: math.log(inside[k] / outside[k]) for k in WEIGHTS}
-    return {k: min(v, -0.05) if k.startswith("tag") else v for k, v in fitted.items()}
+    # what is cut never reaches the text, so it may part two regions only weakly
+    floor = {k: -0.25 for k in WEIGHTS if k.endswith(":cut") or k.startswith("tag")}
+    return {k: min(max(v, floor[k]), -0.05) if k in floor else v for k, v in fitted.items()}
 
 
 def extract_text(pages: DataFrame, html: str = "html", weights: dict[str, float] | None = None) -> DataFrame:

@@ -295,7 +295,7 @@ def _cut(data: bytes, spans: list) -> tuple[int, int, bytes]:
     return removed, runs, b"".join([*kept, data[end:]])
 
 
-def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """`docs`, all columns, with the repeated strings cut from `text`.
 
     Each byte that a string of `length` bytes covers goes if that string also
@@ -305,6 +305,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = G
     text counts as empty. Rows that are equal in doc_id and text are copies of
     each other. An empty table stays empty.
     """
+    gram = gram or min(GRAM, max(1, length // 4))
     added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     docs = docs.drop(*added, "_d", "_t", "_spans", "_cut").withColumn("text", F.coalesce("text", F.lit("")))
     keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("_t", F.xxhash64("text"))
