@@ -28,26 +28,23 @@ ROLL = 8
 #: A cut moves up to so many bytes forward, to a place where a token surely begins.
 REACH = 64
 #: Limits of what a worker remembers: words, the longest of them, bytes of chunks.
-MEMO_WORDS, MEMO_CHARS, MEMO_BYTES = 800_000, 48, 32_000_000
+MEMO_WORDS, MEMO_CHARS, MEMO_BYTES = 500_000, 48, 24_000_000
 
 _UNEVEN = re.compile(r"\s[^\S ]|[^\S ] |  |[\0᠎​﻿]")
-_PLAIN = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ÿ]+[.,]*)\0")
-_SPLIT = r"\ ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,]+"
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, ROLL + 1)], np.uint64)
+_PLAIN = re.compile(r"(?<=\0)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]*)(?=\0)")
+_SPLIT = r"\n| ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,]+"
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def cut_points(data: bytes, mean: int = MEAN_CHUNK) -> np.ndarray:
     """Places inside UTF-8 data where chunks begin; they depend on the bytes just before only."""
     if len(data) <= ROLL:
         return np.empty(0, np.int64)
-    values = np.frombuffer(data, np.uint8)
-    n = len(values) - ROLL
-    rolled = np.zeros(n, np.uint64)
-    for k in range(ROLL):
-        rolled += values[k : k + n].astype(np.uint64) * _POWERS[k]
+    # the bytes under the window as one number, at every place; its product's high bits are the hash
+    windows = np.ndarray((len(data) - ROLL,), "<u8", data, strides=(1,))
     bits = np.uint64(mean.bit_length() - 1)
     cuts = []
-    for at in (np.flatnonzero((rolled >> (np.uint64(64) - bits)) == 0) + ROLL).tolist():
+    for at in (np.flatnonzero((windows * _FACTOR) >> (np.uint64(64) - bits) == 0) + ROLL).tolist():
         if cuts and at <= cuts[-1]:
             continue
         end = min(at + REACH, len(data))
@@ -86,24 +83,25 @@ class ChunkEncoder:
         # Plain words are merged by tiktoken from the same vocabulary, several times faster.
         ranks = {self.token_bytes[i]: i for i in self._tokenizer.get_vocab(with_added_tokens=False).values()}
         self._fast = tiktoken.Encoding("bytes", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self._opens = np.array([x.startswith(b" ") for x in self.token_bytes])
+        self._newline = ranks[b"\n"]
         self._length = np.array([len(x) for x in self.token_bytes], np.int64)
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = _PLAIN.findall("\0".join([*words, ""]))
+        plain = _PLAIN.findall("\0".join(["", *words, ""]))
         out: dict[str, bytes] = {}
         if plain:
-            ids = np.array(self._fast.encode_ordinary("".join(plain)), "<u4")
-            raw, ends = ids.tobytes(), [*(4 * np.flatnonzero(self._opens[ids])).tolist(), 4 * len(ids)]
-            out = dict(zip(plain, [raw[a:b] for a, b in zip(ends, ends[1:])], strict=True))
+            ids = np.array(self._fast.encode_ordinary("\n".join([*plain, ""])), "<u4")
+            ends = (4 * np.flatnonzero(ids == self._newline)).tolist()
+            raw = ids.tobytes()
+            out = dict(zip(plain, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)], strict=True))
         rest = [w for w in words if w not in out]
         return out if not rest else out | dict(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(rest, add_special_tokens=False))))
 
     def _plain(self, text: str) -> bytes:
-        """Ids by words: a single space between two other characters always begins a token."""
+        """Ids by words: a single space between two other characters begins a token, a newline is one."""
         if _UNEVEN.search(text):
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.replace(" ", "\0 ").split("\0")
+        words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         try:
             return b"".join(map(self._words.__getitem__, words))
         except KeyError:
@@ -219,10 +217,23 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return gather(docs).mapInPandas(rows, f"doc_id {kind}, n_tokens bigint, ids binary")
 
 
-def round_trip(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Digests of ids and of the decoded text: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id and text of what `encode` gives, special tokens included."""
 
-    `encoded` is what `encode` gives.
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(tokenizer_path)
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [encoder.decode(np.frombuffer(raw, "<u4")) for raw in batch["ids"]]})
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInPandas(rows, f"doc_id {kind}, text string")
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: `encode` and `decode` in one pass, digests only.
+
+    Of ids, the digest is that of their decimals joined by commas. A
+    task holds the ids of one document at a time.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,11 +241,13 @@ def round_trip(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         decimal = [str(i) for i in range(len(encoder.token_bytes))]
         for batch in batches:
             out = []
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, "<u4")
-                text = ",".join([decimal[i] for i in ids.tolist()])
-                out.append((hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": batch["n_tokens"], "ids_sha256": [x[0] for x in out], "decoded_sha256": [x[1] for x in out]})
+            for text in batch["text"]:
+                ids = encoder.encode(text) if text else np.empty(0, np.uint32)
+                listed = ",".join(map(decimal.__getitem__, ids.tolist()))
+                out.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()))
+            digests = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            digests.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            yield digests
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInPandas(rows, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return gather(docs).mapInPandas(rows, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -28,8 +28,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _vocabulary("byte_bpe_50k.json")
-    return bpe.round_trip(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    return bpe.round_trip(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
