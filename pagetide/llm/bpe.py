@@ -186,7 +186,7 @@ def _encoder(path: str) -> ChunkEncoder:
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """doc_id and text, dealt so that documents with equal chunks meet.
+    """doc_id (as text) and text, dealt so that documents with equal chunks meet.
 
     The key is the smallest chunk hash, the choice least disturbed by edits. It
     is a rebalance: copies too many for one task are split over several.
@@ -196,10 +196,15 @@ def gather(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.Series([min(chunk_hashes((text or "").encode())) for text in batch], dtype="int64")
 
-    keyed = docs.select("doc_id", "text").withColumn("_chunk", F.pandas_udf(smallest, "long")("text"))
+    # ids go through pandas as text, which beside nulls would make them floating point
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").withColumn("_chunk", F.pandas_udf(smallest, "long")("text"))
     return keyed.hint("rebalance", "_chunk").drop("_chunk")
 
 
+def _typed(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast(like.schema["doc_id"].dataType))
+
+
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit) of every whole text.
 
@@ -213,8 +218,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             ids = [encoder.encode(text) if text else np.empty(0, np.uint32) for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return gather(docs).mapInPandas(rows, f"doc_id {kind}, n_tokens bigint, ids binary")
+    return _typed(gather(docs).mapInPandas(rows, "doc_id string, n_tokens bigint, ids binary"), docs)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -225,8 +229,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [encoder.decode(np.frombuffer(raw, "<u4")) for raw in batch["ids"]]})
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInPandas(rows, f"doc_id {kind}, text string")
+    return _typed(encoded.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(rows, "doc_id string, text string"), encoded)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -249,5 +252,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             digests.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield digests
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return gather(docs).mapInPandas(rows, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _typed(gather(docs).mapInPandas(rows, "doc_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string"), docs)

@@ -126,11 +126,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
             for doc_id, ids in zip(batch["doc_id"], encode(text or "" for text in batch["text"])):
                 ids += end
                 rows += [(doc_id, i, at // 4, min(step, len(ids) - at) // 4, ids[at : at + step]) for i, at in enumerate(range(0, len(ids), step))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"} if batch["doc_id"].isna().any() else {})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text") if kind != "bigint" else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInPandas(pieces, f"doc_id {'bigint' if kind in ('int', 'smallint') else kind}, piece int, start bigint, length bigint, ids binary")
+    # ids go through pandas as text, which beside nulls would make them floating point
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = keyed.mapInPandas(pieces, "doc_id string, piece int, start bigint, length bigint, ids binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -44,10 +44,11 @@ def test_cuts_follow_content():
 
 
 def test_encode_and_decode_frames(spark):
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts()[:60])] + [(None, None, "x", 1), (3, "same", "x", 1), (3, "same", "x", 1)], "doc_id long, text string, source string, ids int")
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts()[:60])] + [(None, None, "x", 1), (2**60 + 1, "large id", "x", 1), (3, "same", "x", 1), (3, "same", "x", 1)], "doc_id long, text string, source string, ids int")
     encoded = bpe.encode(docs, BYTES)
     assert sorted(r.text for r in bpe.decode(encoded, BYTES).collect()) == sorted((r.text or "") for r in docs.collect())
     assert bpe.round_trip(docs, BYTES).count() == docs.count() and bpe.round_trip(docs.limit(0), BYTES).count() == 0
+    assert encoded.where(F.col("doc_id") == 2**60 + 1).count() == 1
     assert {r.n_tokens for r in encoded.where("doc_id IS NULL").collect()} == {0}
 
 
