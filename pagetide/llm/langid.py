@@ -266,9 +266,11 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInPandas(judge, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
-    return found.withColumn("cross_entropy", F.nanvl("cross_entropy", F.lit(None).cast("double")))
+    # ids go through pandas as text, which beside nulls would make them floating point
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = keyed.mapInPandas(judge, "doc_id string, lang_pred string, score double, cross_entropy double, rejected boolean")
+    own = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return found.select(own, "lang_pred", "score", F.nanvl("cross_entropy", F.lit(None).cast("double")).alias("cross_entropy"), "rejected")
 
 
 def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
