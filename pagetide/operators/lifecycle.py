@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagetide import schemas
 from pagetide.operators import cohorts
-from pagetide.plans.views import VIEWS, Tables, retention_cells
+from pagetide.plans.views import VIEWS, Lazy, Tables, retention_cells
 
 _FAMILIES = ("web", "product", "app")
 
@@ -133,5 +133,5 @@ def backfill_attributes(legacy: DataFrame, column: str = "attributes") -> DataFr
 
 def stored_tables(t: Tables, days: DataFrame) -> Tables:
     """These tables with the given days stored as aggregates, beside raw rows that are not dropped yet."""
-    agg = {name: compute(t.only(family, days)) for name, (family, compute) in VIEWS.items()}
-    return replace(t, agg=agg | {"v_retention": retention_cells(t)}, agg_days=days)
+    makers = {name: lambda f=family, c=compute: c(t.only(f, days)) for name, (family, compute) in VIEWS.items()}
+    return replace(t, agg=Lazy(makers | {"v_retention": lambda: retention_cells(t)}), agg_days=days)

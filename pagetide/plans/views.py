@@ -7,7 +7,7 @@ from raw rows as well, so numbers don't move or double when a day ages over.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,24 @@ from pagetide.operators import cohorts, rollups
 _DAY = ["project", "day"]
 
 
+class Lazy(Mapping):
+    """Frames by name, each built when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass
 class Tables:
     web: DataFrame
@@ -26,7 +44,7 @@ class Tables:
     projects: DataFrame
     identities: DataFrame
     #: Stored aggregates by view name, and the days that they hold: family, project, day.
-    agg: dict[str, DataFrame] = field(default_factory=dict)
+    agg: Mapping[str, DataFrame] = field(default_factory=dict)
     agg_days: DataFrame | None = None
     attribute_cap: int = rollups.ATTRIBUTE_CAP
     dimension_cap: int = rollups.DIMENSION_CAP
