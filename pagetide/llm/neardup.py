@@ -4,8 +4,8 @@ One hash function gives each set a sketch, its k smallest hashes. Inverted
 lists of retained hashes bring documents together, rarest first; an estimate
 from the sketch of the union drops most chance meetings, and full sets confirm
 the rest. Equal sets are one vertex from the start, and a list is not expanded
-into pairs: its members meet a few leaders in each round, and only a list whose
-members are not yet in one component goes on to the next.
+into pairs: its members meet one leader, and only members of lists that are not
+yet in one component, and that can still reach another, are compared in blocks.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pagetide.llm.common import materialize
 #: Hashes in a sketch, and how many of a full sketch two linked sets share at
 #: least: at a similarity of 0.8 all but one pair in a million do.
 K, SHARED = 32, 14
-#: Leaders of an unresolved list in the first round; each round has four times as many.
-LEADERS = 1
+#: Members of a list in a block; each task compares two blocks.
+BLOCK = 1024
 
 _SPACES = re.compile(r"[ \t-\r]+")
 _MEMO_WORDS = 500_000
@@ -78,8 +78,10 @@ def sketches(docs: DataFrame, size: int = 5, k: int = K) -> DataFrame:
                 "sketch": [s[:k].view(np.int64) for s in sets],
             })
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, n_shingles bigint, set_id binary, sketch array<bigint>")
+    # ids go through pandas as text, which beside nulls would make them floating point
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = keyed.mapInPandas(rows, "doc_id string, n_shingles bigint, set_id binary, sketch array<bigint>")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -113,7 +115,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _posts(classes: DataFrame, k: int, shared: int) -> DataFrame:
-    """The inverted lists: value, node, n.
+    """The inverted lists: value, node, n and alone, how many retained hashes no other set retains.
 
     Two linked sets share at least `shared` in k of their retained hashes. If
     each is listed under all but so many less one, rarest first, they meet in a
@@ -125,7 +127,88 @@ def _posts(classes: DataFrame, k: int, shared: int) -> DataFrame:
     # sets so small that a linked one is in its sketch whole share 0.8 of them for sure
     least = F.when(F.col("n") <= int(0.8 * k), F.ceil(F.col("n") * 0.8)).otherwise(F.floor(F.col("kept") * (shared / k)))
     width = F.col("kept") - least + 1 - (F.col("kept") - F.size("v"))
-    return listed.where(width > 0).select("node", "n", F.explode(F.slice("v", 1, width.cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "node", "n")
+    alone = (F.col("kept") - F.size("v")).alias("alone")
+    return listed.where(width > 0).select("node", "n", alone, F.explode(F.slice("v", 1, width.cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "node", "n", "alone")
+
+
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists, with components, whose members are not all in one component yet."""
+    known = lists.join(labels, "node")
+    unresolved = known.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
+    return known.join(unresolved, "value")
+
+
+def _able(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Open lists without the members that can't be linked with another component any more.
+
+    A set can share with other components only the shingles that occur there,
+    `reach` of them. Where that is too few for any size a partner in the list
+    has, the member need not be met.
+    """
+    nodes = lists.select("node", "component").distinct()
+    members = sets.join(nodes, "node").select("node", "component", F.explode("members").alias("shingle"))
+    common = members.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    reach = members.join(common, "shingle").groupBy("node").agg(F.count("*").alias("reach"))
+    lists = lists.join(reach, "node").where(f"100 * reach >= {percent} * n")
+    smallest = lists.groupBy("value").agg(F.min("n").alias("least_n"))
+    lists = lists.join(smallest, "value").where(f"least_n < reach OR 100 * reach >= {percent} * (least_n + n - reach)")
+    return _open(lists.drop("component", "least_n", "reach"), labels)
+
+
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the components that the links (a, b) join have become one."""
+    links = materialize(links, "links")
+    joined = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    joined = materialize(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), "merged")
+    if joined.isEmpty():
+        return labels
+    roots = components(joined, joined.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    roots = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return materialize(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+
+
+def _compare_blocks(lists: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the components of each open list, enough of them to join all that are linked.
+
+    A list is dealt into blocks of about `block` members, and each task takes
+    two of them. No pairs are made: a task counts common shingles of one member
+    with all others at once, and hands on only links that join components.
+    """
+    blocks = lists.groupBy("value").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = lists.join(blocks, "value").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    keyed = dealt.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, n = rows["node"].to_numpy(), rows["members"].map(len).to_numpy()
+        _, group = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        parent = list(range(group.max() + 1))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        _, shingle = np.unique(np.concatenate(rows["members"].to_list()), return_inverse=True)
+        holder = np.repeat(np.arange(len(nodes)), n)
+        by_shingle = np.argsort(shingle, kind="stable")
+        holders, ends = holder[by_shingle], np.cumsum(np.bincount(shingle))
+        starts = np.append(0, ends[:-1])
+        links, at = [], np.append(0, np.cumsum(n))
+        for k in range(len(nodes)):
+            mine = shingle[at[k] : at[k + 1]]
+            mine = mine[ends[mine] - starts[mine] > 1]
+            if not len(mine):
+                continue
+            common = np.bincount(np.concatenate([holders[starts[x] : ends[x]] for x in mine]), minlength=len(nodes))
+            for other in np.flatnonzero(100 * common >= percent * (n[k] + n - common)).tolist():
+                x, y = root(group[k]), root(group[other])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    links.append((nodes[k], nodes[other]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return keyed.join(sets, "node").groupBy("value", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def group(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, shared: int = SHARED) -> DataFrame:
@@ -148,30 +231,16 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, shared:
     labels = materialize(lists.select("node", F.col("node").alias("component")).distinct(), "labels")
     sets = materialize(_full_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels.select("node"), size), "sets")
     brief = materialize(classes.join(labels.select("node"), "node").select("node", "n", "sketch"), "brief")
-    leaders = LEADERS
-    while True:
-        open_lists = lists.join(labels, "node")
-        unresolved = open_lists.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
-        lists = materialize(open_lists.join(unresolved, "value"), "open")
-        if lists.isEmpty():
-            break
-        # members of small components lead first: they alone keep a list open
-        crowd = lists.groupBy("value", "component").agg(F.count("*").alias("crowd"))
-        draw = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        lead = lists.join(crowd, ["value", "component"]).groupBy("value", draw.alias("draw")).agg(F.min(F.struct("crowd", "node", "n", "component")).alias("l"))
-        lead = materialize(lead.select("value", F.col("l.node").alias("a"), F.col("l.n").alias("n_a"), F.col("l.component").alias("of_a")), "leaders")
-        met = lists.withColumnRenamed("node", "b").join(lead, "value").where("a <> b AND component <> of_a").where(f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = materialize(_confirm(_likely(pairs, brief, k, shared), sets, percent), "links")
-        merged = edges.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
-        merged = materialize(merged.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "merged")
-        if not merged.isEmpty():
-            roots = components(merged, merged.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-            roots = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
-            labels = materialize(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
-        # a leader has met all of its list
-        lists = lists.drop("component").join(lead.select("value", F.col("a").alias("node")), ["value", "node"], "left_anti")
-        leaders = min(4 * leaders, 1024)
+    # First every list is led by one member: families of copies become one component.
+    lists = materialize(_open(lists, labels), "open")
+    lead = lists.groupBy("value").agg(F.min(F.struct("alone", "node", "n")).alias("l")).select("value", F.col("l.node").alias("a"), F.col("l.n").alias("n_a"))
+    met = lists.withColumnRenamed("node", "b").join(lead, "value").where(f"a <> b AND 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = _merge(labels, _confirm(_likely(pairs, brief, k, shared), sets, percent))
+    # Then what is still open and able is compared in blocks.
+    lists = materialize(_able(materialize(_open(lists.drop("component"), labels), "open"), sets, labels, percent), "open")
+    if not lists.isEmpty():
+        labels = _merge(labels, _compare_blocks(lists, sets, percent))
     # rows of one doc_id but different sets join their classes
     own = full.select("doc_id", "set_id").join(classes.select("set_id", "node"), "set_id").join(labels, "node", "left")
     own = own.select("doc_id", F.coalesce("component", "node").alias("component")).distinct()
