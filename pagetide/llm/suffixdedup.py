@@ -23,7 +23,9 @@ from pagetide.llm.common import materialize, shuffle_partitions
 LENGTH, GRAM = 200, 48
 #: Different surroundings of an anchor that one task compares. Beyond that, their
 #: strings are counted by hash all over the cluster instead.
-BUCKET = 50_000
+BUCKET = 20_000
+#: Surroundings whose windows are sorted at once, more only where one bucket has more.
+LOT = 2_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -92,7 +94,7 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """_d, _t, lo, more, g (hash of the anchor) and u (hash of all that the windows of the run cover)."""
+    """_d, _t, lo, more, off (from the first start to the anchor), g (hash of the anchor) and u (hash of all that the windows of the run cover)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -101,14 +103,14 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             out = []
             for d, t, text in zip(batch["_d"], batch["_t"], batch["text"]):
                 data = text.encode()
-                first, more, _, g = anchors(data, length, gram)
+                first, more, at, g = anchors(data, length, gram)
                 if len(first):
                     u = [xxhash.xxh64_intdigest(data[a : a + n + length]) for a, n in zip(first.tolist(), more.tolist())]
-                    out.append((np.full(len(first), d), np.full(len(first), t), first, more, g.view(np.int64), np.array(u, np.uint64).view(np.int64)))
+                    out.append((np.full(len(first), d), np.full(len(first), t), first, more, at - first, g.view(np.int64), np.array(u, np.uint64).view(np.int64)))
             if out:
-                yield pd.DataFrame(dict(zip(["_d", "_t", "lo", "more", "g", "u"], map(np.concatenate, zip(*out)))))
+                yield pd.DataFrame(dict(zip(["_d", "_t", "lo", "more", "off", "g", "u"], map(np.concatenate, zip(*out)))))
 
-    return docs.where(F.octet_length("text") >= length).select("_d", "_t", "text").mapInPandas(rows, "_d bigint, _t bigint, lo int, more int, g bigint, u bigint")
+    return docs.where(F.octet_length("text") >= length).select("_d", "_t", "text").mapInPandas(rows, "_d bigint, _t bigint, lo int, more int, off int, g bigint, u bigint")
 
 
 def _around(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -126,78 +128,83 @@ def _around(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.select("_d", "_t", "text").dropDuplicates(["_d", "_t"]).join(lists, ["_d", "_t"]).select("text", "classes").mapInPandas(rows, "g bigint, u bigint, bytes binary")
 
 
-def sort_suffixes(prefix: np.ndarray, starts: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of suffixes by their first `length` bytes, and the common extension of neighbours.
+def sort_suffixes(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, segments: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes by segment and then by their first `length` bytes, and the common extension with the one before.
 
-    A bottom-up mergesort: each suffix of one half finds its rank in the other
-    by binary search, and a comparison finds the common extension by binary
-    search over prefix hashes, so that it takes log(length) steps. All pairs of
-    halves of a level are merged at once.
+    A bottom-up mergesort of all segments at once. `segments` is sorted. Each
+    suffix of one half finds its rank in the other half by binary search, and
+    a comparison finds the common extension by binary search over prefix
+    hashes, which takes log(length) steps. The first suffix of a segment has
+    extension 0.
     """
     n = len(starts)
-    order = np.arange(n)
+    opens = np.concatenate([[True], segments[1:] != segments[:-1]])
+    begin = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    size = np.diff(np.append(np.flatnonzero(opens), n))[np.cumsum(opens) - 1]
+    inverse = _powers(len(prefix))[1]
 
     def extension(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low, high = np.zeros(len(a), np.int64), np.full(len(a), length, np.int64)
-        inverse = _powers(len(prefix))[1]
-        while (low < high).any():
+        at_a, at_b, back_a, back_b = prefix[a], prefix[b], inverse[a], inverse[b]
+        for _ in range(length.bit_length()):
             mid = (low + high + 1) // 2
-            same = (prefix[a + mid] - prefix[a]) * inverse[a] == (prefix[b + mid] - prefix[b]) * inverse[b]
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+            same = (prefix[a + mid] - at_a) * back_a == (prefix[b + mid] - at_b) * back_b
+            low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
         return low
 
     def before(a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
-        """Whether suffix a comes before b; where they are equal, `ties`."""
         common = extension(a, b)
-        end = common >= length
-        at = np.where(end, 0, common)
-        return np.where(end, ties, data[a + at] < data[b + at])
-
-    width = 1
-    while width < n:
-        place = np.arange(n)
-        block = place // (2 * width) * (2 * width)
-        left = place - block < width
-        low = np.where(left, np.minimum(block + width, n), block)
-        high = np.where(left, np.minimum(block + 2 * width, n), np.minimum(block + width, n))
-        base = low.copy()
+        equal = common >= length
+        at = np.where(equal, 0, common)
+        return np.where(equal, ties, data[a + at] < data[b + at])
+
+    order, width = np.arange(n), 1
+    while (at := np.flatnonzero(size > width)).size:
+        first, m = begin[at], size[at]
+        local = at - first
+        block = local // (2 * width) * (2 * width)
+        left = local - block < width
+        low = np.where(left, np.minimum(block + width, m), block)
+        high = np.where(left, np.minimum(block + 2 * width, m), np.minimum(block + width, m))
+        base, own = low.copy(), np.where(left, local - block, local - block - width)
         while (busy := np.flatnonzero(low < high)).size:
             mid = (low[busy] + high[busy]) // 2
-            first = before(starts[order[mid]], starts[order[busy]], ~left[busy])
-            low[busy] = np.where(first, mid + 1, low[busy])
-            high[busy] = np.where(first, high[busy], mid)
-        merged = np.empty(n, np.int64)
-        own = np.where(left, place - block, place - block - width)
-        merged[block + own + low - base] = order
+            less = before(starts[order[first[busy] + mid]], starts[order[at[busy]]], ~left[busy])
+            low[busy] = np.where(less, mid + 1, low[busy])
+            high[busy] = np.where(less, high[busy], mid)
+        merged = order.copy()
+        merged[first + block + own + low - base] = order[at]
         order, width = merged, 2 * width
-    sorted_starts = starts[order]
-    return order, extension(sorted_starts[:-1], sorted_starts[1:])
+    shared = np.zeros(n, np.int64)
+    pair = np.flatnonzero(~opens)
+    shared[pair] = extension(starts[order[pair - 1]], starts[order[pair]])
+    return order, shared
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each piece, which of its windows also begins elsewhere in the pieces."""
+def repeated_starts(pieces: list[bytes], buckets: np.ndarray, anchor: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each piece, which of its windows also begins elsewhere in the pieces of its bucket.
+
+    Equal windows have the anchor at the same distance, so only windows with
+    that distance in common are sorted together.
+    """
     lengths = np.array([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
     counts = lengths - length + 1
-    starts = np.concatenate([np.arange(o, o + c) for o, c in zip(offsets, counts)])
-    prefix = prefix_hashes(data)
-    # suffixes that no other equals in hash need no place in the order
-    hashes = stretch_hashes(prefix, starts, length)
-    _, inverse, number = np.unique(hashes, return_inverse=True, return_counts=True)
-    alike = np.flatnonzero(number[inverse] > 1)
+    piece = np.repeat(np.arange(len(pieces)), counts)
+    nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.repeat(np.cumsum(lengths) - lengths, counts) + nth
+    segments = np.unique(buckets, return_inverse=True)[1][piece] * (length + 1) + anchor[piece] - nth
+    by = np.argsort(segments, kind="stable")
     found = np.zeros(len(starts), bool)
-    if len(alike):
-        order = alike[np.argsort(inverse[alike], kind="stable")]
-        a, b = order[:-1], order[1:]
-        same = inverse[a] == inverse[b]
-        a, b = a[same], b[same]
-        for at in range(0, len(a), 1 << 15):  # verified byte by byte
-            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
-            windows = np.lib.stride_tricks.sliding_window_view(data, length)
-            equal = (windows[starts[x]] == windows[starts[y]]).all(axis=1)
-            found[x[equal]] = True
-            found[y[equal]] = True
+    order, shared = sort_suffixes(prefix_hashes(data), data, starts[by], segments[by], length)
+    order = by[order]
+    alike = np.flatnonzero(shared >= length)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    for at in range(0, len(alike), 1 << 15):  # equal hashes are verified byte by byte
+        x, y = order[alike[at : at + (1 << 15)] - 1], order[alike[at : at + (1 << 15)]]
+        equal = (windows[starts[x]] == windows[starts[y]]).all(axis=1)
+        found[x[equal]] = True
+        found[y[equal]] = True
     return np.split(found, np.cumsum(counts)[:-1])
 
 
@@ -216,10 +223,6 @@ def _spans(marks: np.ndarray, length: int) -> list[tuple[int, int]]:
 def _compare(buckets: DataFrame, length: int) -> DataFrame:
     """g, u and spans of the classes, compared within each bucket g."""
 
-    def one(rows: pd.DataFrame) -> list[tuple[int, int, list]]:
-        marks = repeated_starts(rows["bytes"].tolist(), length)
-        return [(g, u, [{"a": a, "b": b} for a, b in spans]) for g, u, m in zip(rows["g"], rows["u"], marks) if (spans := _spans(m, length))]
-
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
@@ -232,8 +235,16 @@ def _compare(buckets: DataFrame, length: int) -> DataFrame:
             yield frame(held)
 
     def frame(rows: pd.DataFrame) -> pd.DataFrame:
-        # buckets one after the other; windows of different buckets never have the same anchor
-        return pd.DataFrame(one(rows), columns=["g", "u", "spans"])
+        # lots of whole buckets, small enough for their windows to be sorted at once
+        g, u, off, pieces = rows["g"].to_numpy(), rows["u"].to_numpy(), rows["off"].to_numpy(), rows["bytes"].tolist()
+        ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+        out, at = [], 0
+        while at < len(g):
+            end = int(ends[min(np.searchsorted(ends, at + LOT), len(ends) - 1)])
+            marks = repeated_starts(pieces[at:end], g[at:end], off[at:end], length)
+            out += [(g[k], u[k], [{"a": a, "b": b} for a, b in spans]) for k, m in enumerate(marks, at) if (spans := _spans(m, length))]
+            at = end
+        return pd.DataFrame(out, columns=["g", "u", "spans"])
 
     n = shuffle_partitions(buckets.sparkSession)
     return buckets.repartition(n, "g").sortWithinPartitions("g").mapInPandas(rows, "g bigint, u bigint, spans array<struct<a:int,b:int>>")
@@ -266,14 +277,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     # an anchor that occurs once covers nothing
     met = runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     shared = materialize(runs.join(met, "g"), "shared")
-    classes = shared.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_t", "lo", "more")).alias("at"))
+    classes = shared.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_t", "lo", "more", "off")).alias("at"))
     kinds = classes.groupBy("g").agg(F.count("*").alias("kinds"))
     classes = materialize(classes.join(kinds, "g").select("g", "u", "n", "kinds", "at.*"), "classes")
     whole = classes.where("n > 1").select("g", "u", F.array(F.struct(F.lit(0).alias("a"), (F.col("more") + length).alias("b"))).alias("spans"))
     open_classes = classes.where("kinds > 1")
-    pieces = materialize(_around(docs, open_classes, length).join(classes.select("g", "u", "n", "kinds"), ["g", "u"]), "pieces")
+    pieces = materialize(_around(docs, open_classes, length).join(classes.select("g", "u", "n", "kinds", "off"), ["g", "u"]), "pieces")
     # pieces that occur several times are covered whole, but others are still compared with them
-    compared = _compare(pieces.where(F.col("kinds") <= bucket).select("g", "u", "bytes"), length)
+    compared = _compare(pieces.where(F.col("kinds") <= bucket).select("g", "u", "off", "bytes"), length)
     large = pieces.where(F.col("kinds") > bucket).select("g", "u", "bytes")
     if not large.isEmpty():
         compared = compared.union(_count_everywhere(large, length))
