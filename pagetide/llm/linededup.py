@@ -35,10 +35,11 @@ def _worded(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row for each line with a word: _d, _t, seq, no, h1, h2 and reach.
+    """One row for each line with a word: _d, _t, seq, no, h1, h2, reach and back.
 
     `reach` is the number of lines from here that first have `min_words` words
-    together, null if the document ends before.
+    together, null if the document ends before. `back` is the same number
+    towards the start, null also where that run is the `reach` of its first line.
     """
     split = _key(docs.select("doc_id", "text")).select(*_KEY, _worded(F.col("text")).alias("x"))
     counted = split.withColumn("w", F.transform("x", lambda x: F.regexp_count(x["s"], F.lit("[^ \t-\r]+"))))
@@ -46,9 +47,12 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("n"))
     # every line has a word, so no more than min_words lines are looked at
     ahead = F.transform("x", lambda x, i: F.aggregate(F.slice("w", i + 1, min_words), start, enough, lambda a: F.when(a["s"] >= min_words, a["n"])))
+    near = lambda i: F.reverse(F.slice("w", F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words))))
+    longer = lambda a, i: (a["s"] >= min_words) & (a["s"] - F.get("w", i) >= min_words)
+    behind = F.transform("x", lambda x, i: F.aggregate(near(i), start, enough, lambda a: F.when(longer(a, i), a["n"])))
     named = F.transform("x", lambda x: F.struct(x["no"].alias("no"), F.xxhash64(x["s"]).alias("h1"), F.xxhash64(F.lit(1), x["s"]).alias("h2")))
-    rows = counted.select(*_KEY, F.posexplode(F.arrays_zip(named.alias("a"), ahead.alias("r"))).alias("seq", "z"))
-    return rows.select(*_KEY, "seq", "z.a.no", "z.a.h1", "z.a.h2", F.col("z.r").alias("reach"))
+    rows = counted.select(*_KEY, F.posexplode(F.arrays_zip(named.alias("a"), ahead.alias("r"), behind.alias("b"))).alias("seq", "z"))
+    return rows.select(*_KEY, "seq", "z.a.no", "z.a.h1", "z.a.h2", F.col("z.r").alias("reach"), F.col("z.b").alias("back"))
 
 
 def _renamed(places: DataFrame, by: list[str]) -> DataFrame:
@@ -58,19 +62,28 @@ def _renamed(places: DataFrame, by: list[str]) -> DataFrame:
     return places.join(first, by)
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """_d, _t and gone, the numbers of the lines to remove, of documents that have any.
 
-    A line goes if it lies in a run of lines that together have `min_words`
-    words, and that also stands earlier, in a smaller doc_id or further up.
+    With `whole`, a line goes if it lies in any run of lines that together have
+    `min_words` words, and that also stands earlier, in a smaller doc_id or
+    further up: such a run is covered by the shortest runs that start at its
+    lines and the shortest that end at them. Without, only the former count, as
+    in the SQL of op5, and the last lines of a repeated run stay if they have
+    fewer than `min_words` words together.
     """
-    lines = _renamed(_lines(docs, min_words), ["h1", "h2"]).select(*_KEY, "seq", "no", "reach", "name")
+    columns = [*_KEY, "seq", "no", "reach", *(["back"] if whole else []), "name"]
+    lines = _renamed(_lines(docs, min_words), ["h1", "h2"]).select(*columns)
     names = materialize(lines, "lines")
     # only runs of repeated lines can repeat; they are known by the names of their first and last 2^k lines
     found, width, active = [], 1, names.select(*_KEY, "seq", "name")
     while True:
         ends = active.select(*_KEY, (F.col("seq") - 0).alias("at"), F.col("name").alias("end"))
-        runs = names.where((F.col("reach") >= width) & (F.col("reach") < 2 * width)).select(*_KEY, "seq", "reach")
+        runs = names.select(*_KEY, "seq", "reach")
+        if whole:
+            ways = F.array(F.struct("seq", "reach"), F.struct((F.col("seq") - F.col("back") + 1).alias("seq"), F.col("back").alias("reach")))
+            runs = names.select(*_KEY, F.inline(ways))
+        runs = runs.where((F.col("reach") >= width) & (F.col("reach") < 2 * width))
         runs = runs.join(active, [*_KEY, "seq"]).withColumn("at", F.col("seq") + F.col("reach") - width).join(ends, [*_KEY, "at"])
         again = _renamed(runs.withColumnRenamed("name", "start"), ["reach", "start", "end"])
         found.append(again.where(F.col("name") != F.struct(*_KEY, "seq")).select(*_KEY, "seq", "reach"))
@@ -87,15 +100,16 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return covered.join(names.select(*_KEY, "seq", "no"), [*_KEY, "seq"]).groupBy(*_KEY).agg(F.collect_set("no").alias("gone"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs`, all columns, with the later copies of repeated line runs cut from `text`.
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """`docs`, all columns, with the later copies of repeated line runs cut from `text`,
+    to their ends with `whole`.
 
     Adds n_lines, the lines with a word, and n_removed. Lines are compared
     without white space around them; lines without a word stay and never part
     a run. Null text stays null and has no lines. Rows that are equal in doc_id
     and text count as one document and fare alike. An empty table stays empty.
     """
-    gone = materialize(later_copies(docs, min_words), "gone").withColumnsRenamed({"_d": "_gd", "_t": "_gt"})
+    gone = materialize(later_copies(docs, min_words, whole), "gone").withColumnsRenamed({"_d": "_gd", "_t": "_gt"})
     keyed = _key(docs.drop("n_lines", "n_removed", "_d", "_t"))
     out = keyed.join(gone, (F.col("_d") == F.col("_gd")) & (F.col("_t") == F.col("_gt")), "left")
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
@@ -108,6 +122,6 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def keep_worded(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of `docs`; documents of which nothing is left but had words go."""
-    out = remove_repeats(docs, min_words)
+    """The columns of `docs`, repeated runs cut whole; documents of which nothing is left but had words go."""
+    out = remove_repeats(docs, min_words, whole=True)
     return out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns)

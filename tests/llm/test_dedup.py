@@ -74,3 +74,32 @@ def test_strings_equal_brute_force(spark):
     assert suffixdedup.remove_repeated_strings(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "z" * 5 + "k" * 3 + "y" * 20)] * 2 + [(None, "short")], "doc_id long, text string")
     assert sorted(r.n_removed for r in suffixdedup.remove_repeated_strings(twice, 20, 6).collect()) == [0, 28, 28]
+
+
+def brute_whole_runs(rows, min_words):
+    """Lines left of each document if every repeated run of `min_words` words goes, whatever its length."""
+    lines = {i: [(k, x.strip(SPACE)) for k, x in enumerate(t.split("\n")) if x.strip(SPACE)] for i, t in rows if t is not None}
+    seen, gone = set(), {i: set() for i in lines}
+    for i in sorted(lines):
+        for a in range(len(lines[i])):
+            for b in range(a + 1, len(lines[i]) + 1):
+                run = tuple(x for _, x in lines[i][a:b])
+                if sum(len(x.split()) for x in run) >= min_words:
+                    if run in seen:
+                        gone[i] |= {k for k, _ in lines[i][a:b]}
+                    seen.add(run)
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows if t is not None}
+
+
+def test_whole_runs_go_with_their_short_last_lines(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"w{i}" for i in range(50)) + "\nof three words\nend"
+    rows = [(1, f"{passage}\nfirst goes on"), (2, f"before it\n{passage}\nsecond ends"), (3, passage)]
+    stock = [" ".join(rng.choices(["a", "b", "c", "d"], k=rng.randint(1, 6))) for _ in range(10)]
+    rows += [(10 + i, "\n".join(rng.choice([*stock, " "]) for _ in range(rng.randint(0, 20)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (1, 5, 10):
+        got = {r.doc_id: r.text for r in linededup.remove_repeats(docs, words, whole=True).collect()}
+        assert got == brute_whole_runs(rows, words)
+    kept = {r.doc_id: r.text for r in linededup.keep_worded(docs).collect()}
+    assert kept[1] == rows[0][1] and kept[2] == "before it\nsecond ends" and 3 not in kept
