@@ -2,7 +2,7 @@
 
 The page becomes one sequence of words and tags. Words score by the zone they
 stand in, tags score negative, and one linear scan finds the contiguous region
-with the highest sum. Menus, adverts and other furniture inside the region is
+with the highest sum; what is cut inside an article scores nothing. Menus, adverts and other furniture inside the region is
 cut by its element or by its class, id or role.
 """
 
@@ -29,8 +29,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|(<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CUT_TAGS = frozenset("nav footer aside form button select option dialog menu object applet head".split())
@@ -43,20 +43,35 @@ _CUT_NAMES = frozenset(
 _IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
+_FORM = re.compile(r"<form\b", re.I)
+#: Elements that hold the page or its text, whatever their names say.
+_KEPT_TAGS = frozenset("html body article main".split())
+#: What follows these in a name is what the page has or lacks, not what the element is.
+_STATES = frozenset("no not has with without".split())
 
 
 def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag in _KEPT_TAGS:
+        return False
     if tag in _CUT_TAGS or (tag == "header" and not in_article):
         return True
-    if attributes:
-        if _HIDDEN.search(attributes):
-            return True
-        for m in _ATTRIBUTE.finditer(attributes):
-            for name in (m[1] or m[2] or m[3] or "").lower().split():
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden":
+            if not value.lower().startswith("until"):
+                return True
+        elif key == "aria-hidden":
+            if value.strip().lower() == "true":
+                return True
+        elif key == "style":
+            if _NO_DISPLAY.search(value):
+                return True
+        elif key in ("class", "id", "role"):
+            for name in value.lower().split():
                 if name in _CUT_NAMES or (name == "header" and not in_article):
                     return True
                 parts = re.split(r"[-_]+", name)
-                if len(parts) > 1 and (parts[0] in _CUT_NAMES or parts[-1] in _CUT_NAMES) and tag not in ("body", "html", "article", "main"):
+                if len(parts) > 1 and (parts[0] in _CUT_NAMES or (parts[-1] in _CUT_NAMES and _STATES.isdisjoint(parts))):
                     return True
     return False
 
@@ -64,9 +79,32 @@ def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
 def tokens(page: str) -> Iterator[tuple[str, str]]:
     """(kind, text) of each word run and tag of a page, in order.
 
-    Kinds are the keys of WEIGHTS. A text token carries its text; a block tag
-    carries one space and an inline tag nothing.
+    Kinds are the keys of WEIGHTS, "space", and "furniture" for what is cut
+    inside an article. A text token carries its text; a block tag carries one
+    space and an inline tag nothing. A form that holds an article, or more than
+    half of the words that nothing else cuts, is the page and not furniture.
     """
+    wide: set[int] = set()
+    if _FORM.search(page):
+        held: dict[int, list[int]] = {}
+        words = 0
+        for kind, text, forms, opens in _walk(page, None):
+            n = len(text.split()) if kind[:5] == "word:" and kind != "word:cut" else 0
+            words += n
+            for at in forms:
+                seen = held.setdefault(at, [0, 0])
+                seen[0], seen[1] = seen[0] + n, seen[1] + opens
+        wide = {at for at, (n, articles) in held.items() if articles or 2 * n > words}
+    for kind, text, _, _ in _walk(page, wide):
+        yield kind, text
+
+
+def _walk(page: str, wide: set[int] | None) -> Iterator[tuple[str, str, list[int], bool]]:
+    """The tokens, with the places of the open forms and whether an article opens.
+
+    Forms that begin at the places `wide` are not cut; None stands for all forms.
+    """
+    forms: list[int] = []
     marked = _ARTICLE.search(page) is not None
     stack: list[tuple[str, int, int, int]] = []
     cut = article = link = 0
@@ -75,6 +113,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         nonlocal cut, article, link
         for _, c, a, k in stack[at:]:
             cut, article, link = cut - c, article - a, link - k
+        del forms[len(forms) - sum(t == "form" for t, *_ in stack[at:]) :]
         del stack[at:]
 
     for m in _TOKEN.finditer(page):
@@ -82,15 +121,16 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         if text:
             if not text.isspace():
                 zone = "cut" if cut else "link" if link and not article else "article" if article else "rest" if marked else "body"
-                yield f"word:{zone}", text
+                yield "furniture" if cut and article else f"word:{zone}", text, forms, False
             else:
-                yield "space", " "
+                yield "space", " ", forms, False
             continue
         if not tag:
             continue
         tag = tag.lower()
-        kind = "tag:cut" if cut else "tag:inline" if tag in _INLINE else "tag:block"
-        yield kind, "" if tag in _INLINE else " "
+        kind = "furniture" if cut and article else "tag:cut" if cut else "tag:inline" if tag in _INLINE else "tag:block"
+        opens = tag in ("article", "main") and not m[2] and not cut
+        yield kind, "" if tag in _INLINE else " ", forms, opens
         if m[2]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if at is not None:
@@ -105,8 +145,12 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
                     if stack[i][0] not in _INLINE:
                         break
             if not m[4].rstrip().endswith("/"):
-                flags = (int(_is_cut(tag, m[4], article > 0)), int(tag in ("article", "main")), int(tag == "a"))
+                kept = tag == "form" and (wide is None or m.start() in wide)
+                # an article inside furniture is furniture
+                flags = (int(not kept and _is_cut(tag, m[4], article > 0)), int(opens), int(tag == "a"))
                 stack.append((tag, *flags))
+                if tag == "form":
+                    forms.append(m.start())
                 cut, article, link = cut + flags[0], article + flags[1], link + flags[2]
 
 
@@ -120,7 +164,7 @@ def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     for i, (kind, text) in enumerate(tokens(page)):
         kinds.append(kind)
         texts.append(text)
-        if kind == "space":
+        if kind in ("space", "furniture"):
             continue
         total += weights[kind] * (len(text.split()) if kind[0] == "w" else 1)
         if total <= 0:
@@ -129,7 +173,7 @@ def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
             best, first, last = total, start, i + 1
     out = []
     for kind, text in zip(kinds[first:last], texts[first:last]):
-        if kind in ("word:cut", "tag:cut"):
+        if kind in ("word:cut", "tag:cut", "furniture"):
             out.append(" ")
         else:
             out.append(html_lib.unescape(text) if "&" in text else text)
@@ -145,7 +189,7 @@ def fit_weights(labelled: list[tuple[str, str]], smoothing: float = 1.0) -> dict
     """
     inside, outside = dict.fromkeys(WEIGHTS, smoothing), dict.fromkeys(WEIGHTS, smoothing)
     for page, main in labelled:
-        sequence = [(k, " ".join(html_lib.unescape(t).split())) for k, t in tokens(page) if k != "space"]
+        sequence = [(k, " ".join(html_lib.unescape(t).split())) for k, t in tokens(page) if k not in ("space", "furniture")]
         marks = [bool(t) and t in main if k[0] == "w" else None for k, t in sequence]
         for i, (kind, text) in enumerate(sequence):
             mark = marks[i]

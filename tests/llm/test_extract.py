@@ -37,3 +37,31 @@ def test_frame(spark):
     assert out.columns == ["page_id", "url", "text"]
     assert sorted(r.text for r in out.collect()) == sorted([extract(PAGE)] * 2 + [""])
     assert html_extract.extract_text(pages.limit(0)).count() == 0
+
+
+def test_names_that_only_look_like_furniture():
+    words = "Some words of the main text stand here."
+    for attributes in ("class=overflow-hidden", 'style="overflow-x: hidden"', 'aria-hidden="false"', 'class="no-sidebar"', 'class="page has_sidebar"', "id=layout-with-nav"):
+        for tag in ("body", "div", "article", "main"):
+            assert extract(f"<{tag} {attributes}><p>{words}</p></{tag}>") == words
+    for tag in ("body", "article", "main"):
+        assert extract(f"<{tag} class='widget' hidden><p>{words}</p></{tag}>") == words
+    for attributes in ("hidden", 'hidden=""', "aria-hidden='true'", 'style="color: red; display : none"', "class=left-sidebar", "class=comment-has-replies"):
+        assert extract(f"<body><p>{words}</p><div {attributes}><p>more words</p></div></body>") == words
+    assert extract(f"<body><div hidden=until-found><p>{words}</p></div></body>") == words
+
+
+def test_form_around_the_page_stays_and_small_forms_go():
+    words = "Some words of the main text stand here."
+    menu = "<nav>" + "<a href=x>Home</a>" * 30 + "</nav>"
+    assert extract(f"<body><form id=aspnetForm>{menu}<div><p>{words}</p></div></form></body>") == words
+    assert extract(f"<body><form id=f><article><p>{words}</p></article></form><p>" + "rest " * 40 + "</p></body>") == words
+    assert extract(f"<body><p>{words}</p><form><p>Your name</p></form><p>And more of them stand here.</p></body>") == words + " And more of them stand here."
+
+
+def test_furniture_inside_an_article_parts_nothing():
+    first, second = "one " * 30, "two " * 30
+    page = f"<article><p>{first}</p><aside><p>{'other ' * 150}</p></aside><p>{second}</p></article>"
+    assert extract(page) == (first + second).strip()
+    inner = f"<article><p>{first}</p><aside><article><p>{'other ' * 500}</p></article></aside><p>{second}</p></article>"
+    assert extract(inner) == (first + second).strip()
