@@ -127,6 +127,8 @@ class Models:
 
     def predict(self, texts: list[str]) -> pd.DataFrame:
         """lang_pred, score (share of the likelihood), cross_entropy and rejected."""
+        if not self.languages:
+            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "cross_entropy": np.nan, "rejected": True})
         entropy, length = self.entropies(texts)
         best = entropy.argmin(axis=1)
         lowest = entropy[np.arange(len(texts)), best]
@@ -147,13 +149,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """lang, text and a flag for calibration, of about so many documents of each language."""
+    """lang, text and a flag for calibration, of about so many documents of each language.
+
+    A language with fewer than CALIBRATE_EVERY documents, or where all would
+    calibrate, has all of them counted and none that calibrate.
+    """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE_EVERY)) == 0
+    counts = known.groupBy("lang").agg(F.count("*").alias("_n"), F.count_if(~calibrates).alias("_c"))
+    few = (F.col("_n") < CALIBRATE_EVERY) | (F.col("_c") == 0)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
     # one row a language
     drawn = known.join(F.broadcast(counts), "lang").where(draw * F.col("_n") < F.lit(1_000_003 * per_language))
-    return drawn.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE_EVERY)) == 0).alias("calibrates"))
+    return drawn.select("lang", "text", (calibrates & ~few).alias("calibrates"))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,15 +182,16 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Models:
     """Fit the models on a bounded sample of the labelled documents that are not held out.
 
     The driver gets the n-gram counts of the sample, whose size `per_language`
-    bounds, and nothing of the rest. Without any labelled text there is no
-    model, which is an error.
+    bounds, and nothing of the rest. Without any labelled text there are models
+    of no language, which reject every text.
     """
     sample = _sample(docs, per_language)
     counted = sample.where(~F.col("calibrates")).select("lang", "text").mapInPandas(_count, "lang string, n int, key bigint, suffix bigint, context bigint, c bigint")
     grams = counted.groupBy("lang", "n", "key", "suffix", "context").agg(F.sum("c").alias("c")).toPandas()
     languages = sorted(grams["lang"].unique())
     if not languages:
-        raise ValueError("no labelled text to learn a language from")
+        none = np.zeros(0)
+        return Models([], [none.astype(np.uint64)] * ORDER, [np.zeros((0, 0), np.float32)] * ORDER, [np.zeros((0, 0), np.float32)] * ORDER, none, none, none)
     for c in ("key", "suffix", "context"):
         grams[c] = grams[c].to_numpy(np.int64).view(np.uint64)
     by_n = [grams[grams["n"] == n] for n in range(1, ORDER + 1)]
@@ -253,7 +262,8 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy and rejected of every whole text.
 
     A null text and one without a letter are `und` with score 0, a null
-    cross_entropy, and count as rejected. Each row is judged on its text alone,
+    cross_entropy, and count as rejected, as any text is with models of no
+    language. Each row is judged on its text alone,
     repeated rows each; ties go to the language that sorts first.
     """
     # a few megabytes, bounded by the sample that the models come from

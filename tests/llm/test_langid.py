@@ -20,3 +20,25 @@ def test_held_out_accuracy(spark):
     assert {(1, True, True), (2, True, True), (3, True, True), (4, False, True), (4, False, False)} <= found
     assert langid.identify(odd.limit(0), models).count() == 0
     assert langid.keep_identified(odd, models).columns == odd.columns
+
+
+def test_no_labelled_text_and_few_documents(spark, tmp_path):
+    import corpus_pipeline
+    from pagetide.llm import entries
+
+    docs = spark.createDataFrame([(1, "the and of that", None), (2, None, "en"), (None, "the and", "en")], "doc_id long, text string, lang string")
+    for name, table in (("empty", docs.limit(0)), ("unlabelled", docs)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        found = entries.op4_language_id(spark, str(tmp_path / name)).collect()
+        assert [(r.lang_pred, r.score, r.rejected) for r in found] == [("und", 0.0, True)] * table.count()
+        assert corpus_pipeline.language_id(spark, table, "").count() == 0
+    # hashes deal these documents to calibration
+    calibrate = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    ids = spark.createDataFrame([(i,) for i in calibrate], "doc_id long").where("pmod(xxhash64(doc_id, 1), 5) = 0").limit(7).collect()
+    words = {"en": "the and of that with this from water house", "de": "der die und nicht mit haus wasser leute über"}
+    for n in (1, 7):
+        rows = [(r.doc_id, words["en"], "en") for r in ids[:n]] + [(1000 + i, words["de"], "de") for i in range(40)]
+        few = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        models = langid.fit(few)
+        assert models.languages == ["de", "en"]
+        assert {(r.doc_id, r.lang_pred) for r in langid.identify(few, models).collect()} == {(r[0], r[2]) for r in rows}
