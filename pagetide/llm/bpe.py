@@ -2,9 +2,10 @@
 
 A rolling hash cuts texts into chunks, so that equal passages of different
 documents give equal chunks wherever they stand. Documents are brought together
-by their smallest chunk hash, each task encodes a chunk once and reuses its ids
-for every document that holds it, and the join of two chunks is repaired by
-encoding the words around it again until the ids agree on both sides.
+by their smallest chunk hash and sorted by it, a task reuses the ids of a chunk
+for every document that holds it while they are in its memo (MEMO_BYTES), and
+the join of two chunks is repaired by encoding the words around it again until
+the ids agree on both sides.
 """
 
 from __future__ import annotations
@@ -189,7 +190,8 @@ def gather(docs: DataFrame) -> DataFrame:
     """doc_id (as text) and text, dealt so that documents with equal chunks meet.
 
     The key is the smallest chunk hash, the choice least disturbed by edits. It
-    is a rebalance: copies too many for one task are split over several.
+    is a rebalance: copies too many for one task are split over several. Within
+    a partition they are sorted by the key, so that copies follow each other.
     """
 
     def smallest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -198,7 +200,7 @@ def gather(docs: DataFrame) -> DataFrame:
 
     # ids go through pandas as text, which beside nulls would make them floating point
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").withColumn("_chunk", F.pandas_udf(smallest, "long")("text"))
-    return keyed.hint("rebalance", "_chunk").drop("_chunk")
+    return keyed.hint("rebalance", "_chunk").sortWithinPartitions("_chunk").drop("_chunk")
 
 
 def _typed(df: DataFrame, like: DataFrame) -> DataFrame:

@@ -104,3 +104,13 @@ def test_packing(spark):
             assert b"".join(p[2] for p in parts) == np.array(ids, "<u4").tobytes()
             assert [p[1] for p in parts] == [4096 * k for k in range(len(parts))]
     assert packing.pack(packing.tokenize(docs.limit(0), WORDS)).count() == 0
+
+
+def test_copies_follow_each_other_in_a_partition(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, texts[i % 60]) for i in range(300)], "doc_id long, text string")
+    parts = [[r.text for r in p] for p in bpe.gather(docs).rdd.glom().collect()]
+    assert sum(map(len, parts)) == 300
+    for part in parts:
+        assert len([text for text, before in zip(part, [None, *part]) if text != before]) == len(set(part))
