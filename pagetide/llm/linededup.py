@@ -34,8 +34,8 @@ def _worded(text: Column) -> Column:
     return F.filter(all_lines, lambda x: x["s"] != "")
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row for each line with a word: _d, _t, seq, no, h1, h2, reach and back.
+def _lines(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
+    """One row for each line with a word: _d, _t, seq, no, h1, h2, reach and, with `whole`, back.
 
     `reach` is the number of lines from here that first have `min_words` words
     together, null if the document ends before. `back` is the same number
@@ -51,8 +51,9 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     longer = lambda a, i: (a["s"] >= min_words) & (a["s"] - F.get("w", i) >= min_words)
     behind = F.transform("x", lambda x, i: F.aggregate(near(i), start, enough, lambda a: F.when(longer(a, i), a["n"])))
     named = F.transform("x", lambda x: F.struct(x["no"].alias("no"), F.xxhash64(x["s"]).alias("h1"), F.xxhash64(F.lit(1), x["s"]).alias("h2")))
-    rows = counted.select(*_KEY, F.posexplode(F.arrays_zip(named.alias("a"), ahead.alias("r"), behind.alias("b"))).alias("seq", "z"))
-    return rows.select(*_KEY, "seq", "z.a.no", "z.a.h1", "z.a.h2", F.col("z.r").alias("reach"), F.col("z.b").alias("back"))
+    zipped = F.arrays_zip(named.alias("a"), ahead.alias("r"), *([behind.alias("b")] if whole else []))
+    rows = counted.select(*_KEY, F.posexplode(zipped).alias("seq", "z"))
+    return rows.select(*_KEY, "seq", "z.a.no", "z.a.h1", "z.a.h2", F.col("z.r").alias("reach"), *([F.col("z.b").alias("back")] if whole else []))
 
 
 def _renamed(places: DataFrame, by: list[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = Fals
     fewer than `min_words` words together.
     """
     columns = [*_KEY, "seq", "no", "reach", *(["back"] if whole else []), "name"]
-    lines = _renamed(_lines(docs, min_words), ["h1", "h2"]).select(*columns)
+    lines = _renamed(_lines(docs, min_words, whole), ["h1", "h2"]).select(*columns)
     names = materialize(lines, "lines")
     # only runs of repeated lines can repeat; they are known by the names of their first and last 2^k lines
     found, width, active = [], 1, names.select(*_KEY, "seq", "name")
