@@ -23,8 +23,8 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    pieces = packing.tokenize(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(pieces)
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

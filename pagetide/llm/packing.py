@@ -9,13 +9,16 @@ planned slots by a join on their rank within their length.
 from __future__ import annotations
 
 import bisect
-import collections
+import itertools
 import os
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,21 +28,24 @@ from pagetide.llm.vocabulary import BYTE_OF
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker remembers, the longest word remembered, and
-#: the characters of text that are split into words at a time.
-MEMO_WORDS, MEMO_CHARS, SPLIT_CHARS = 800_000, 48, 1_000_000
+#: Characters of text that are split into words at a time.
+SPLIT_CHARS = 8_000_000
 
-_PLAIN = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)$", re.M)
-_END = "\x01"
+# The pieces of a word are those of the tokenizer's own pattern, for these characters.
+_SIMPLE, _LETTERS = "^[!-~À-ÖØ-öø-ÿ]+$", "^[a-zß-öø-ÿ]+$"
+_PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
+_BLANK = re.compile("[ \n]")
+_END, _STOP = "\x01", "\x02"
 
 
 class WordIds:
     """Ids of a text under a tokenizer that never joins what white space parts.
 
-    Words repeat, so each worker keeps the ids of those it has met. The memo
-    starts anew when it is full; that costs time and never changes a result.
-    Plain Latin words are merged by tiktoken from the same vocabulary, which is
-    several times faster; all others go to the tokenizers library itself.
+    A group of texts is split and its words are numbered by Arrow, so that every
+    different word of a group is merged once, and numpy puts the ids in their
+    places. Words of ASCII and Latin-1 letters are merged by tiktoken from the
+    same vocabulary, which is several times faster; all others go to the
+    tokenizers library itself. Nothing is remembered from group to group.
     """
 
     def __init__(self, path: str):
@@ -50,87 +56,110 @@ class WordIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._memo: dict[str, bytes] = {"": b""}
-        # A word's last byte carries the mark of its end. Here the mark is a byte behind
-        # it, and joining both comes before every other merge, as those ids are lowest.
+        # The last byte of a piece of a word carries the mark of its end. Here the mark is a byte
+        # behind it, and joining both comes before every other merge, as those ids are lowest.
         ranks = {}
         for token, i in self._tokenizer.get_vocab(with_added_tokens=False).items():
             stem = token.removesuffix("</w>")
             ranks[bytes(map(BYTE_OF.__getitem__, stem)) + _END.encode() * (stem != token)] = i
-        # the mark alone stands for no id; nothing else can take the mark's own byte
-        self._own_mark = ranks.pop(_END.encode(), None)
+        # the marks alone stand for no id; no word that comes here has their bytes
         ranks[_END.encode()] = 1 << 30
-        self._plain = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
-        self._ends = np.zeros(max(r for r in ranks.values() if r < 1 << 30) + 1, bool)
-        self._ends[[i for t, i in ranks.items() if t.endswith(_END.encode()) and i < 1 << 30]] = True
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words; a full stop or comma behind a letter is a token of its own."""
-        plain = {a + b: (a.lower(), b) for a, b in _PLAIN.findall("\n".join(words))}
-        other = [w for w in words if w not in plain]
-        stems = list({stem for stem, _ in plain.values()})
-        of: dict[str, bytes] = {}
-        if stems:
-            ids = np.array(self._plain.encode_ordinary(_END.join(stems) + _END), "<u4")
-            raw, ends = ids.tobytes(), (4 * np.flatnonzero(self._ends[ids]) + 4).tolist()
-            of = dict(zip(stems, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-        rest = [*other, *{mark for _, mark in plain.values() if mark}]
-        own = dict(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(rest, add_special_tokens=False))))
-        return own | {w: of[stem] + (own[mark] if mark else b"") for w, (stem, mark) in plain.items()}
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        words = [text.replace("\n", " ").split(" ") for text in texts]
-        unknown = set().union(*words).difference(self._memo)
-        found = self._memo
-        if unknown:
-            new = self._learn(unknown)
-            short = {w: ids for w, ids in new.items() if len(w) <= MEMO_CHARS}
-            if len(found) + len(short) > MEMO_WORDS:
-                self._memo = {"": b""}
-                found = {w: found[w] for own in words for w in own if w in found}
-                self._memo.update(found)
-            self._memo.update(short)
-            found = self._memo if len(short) == len(new) else collections.ChainMap(self._memo, new)
-        return [b"".join(map(found.__getitem__, own)) for own in words]
-
-    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each whole text."""
-        group, size = [], 0
+        self._stop = ranks[_STOP.encode()]
+        self._fast = tiktoken.Encoding("words", pat_str=f"[^{_END}{_STOP}]+{_END}|{_STOP}", mergeable_ranks=ranks, special_tokens={})
+
+    def _merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all the words, where each word's begin, and how many it has."""
+        simple = pc.and_not(pc.match_substring_regex(words, _SIMPLE), pc.match_substring(words, "<|"))
+        lower = pc.utf8_lower(words.filter(simple))
+        letters = pc.match_substring_regex(lower, _LETTERS)
+        marked = pc.replace_substring_regex(lower.filter(pc.invert(letters)), _PIECES, f"\\1{_END}")
+        joined = lambda x, by: by.join([*x.to_numpy(zero_copy_only=False), ""])
+        text = joined(lower.filter(letters), _END + _STOP) + joined(marked, _STOP)
+        ids = self._fast.encode_to_numpy(text, disallowed_special=())
+        stops = np.flatnonzero(ids == self._stop)
+        other = [e.ids for e in self._tokenizer.encode_batch(words.filter(pc.invert(simple)).to_pylist(), add_special_tokens=False)]
+        ids = np.concatenate([ids[ids != self._stop], np.fromiter(itertools.chain.from_iterable(other), np.uint32)])
+        at, of = simple.to_numpy(zero_copy_only=False), letters.to_numpy(zero_copy_only=False)
+        inside = np.flatnonzero(at)
+        order = np.concatenate([inside[of], inside[~of], np.flatnonzero(~at)])  # of the words, as their ids come
+        n = np.concatenate([np.diff(stops, prepend=-1) - 1, np.fromiter(map(len, other), np.int64, len(other))])
+        width, begin = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        width[order], begin[order] = n, np.cumsum(n) - n
+        return ids, begin, width
+
+    def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the texts, one behind the other, and where each text ends."""
+        lists = pc.split_pattern(pa.array([text.replace("\n", " ") for text in texts], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        ids, begin, width = self._merge(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        n = width[codes]
+        ends = np.cumsum(n)
+        places = np.repeat(begin[codes] - (ends - n), n) + np.arange(ends[-1])
+        return ids[places].astype("<u4", copy=False), np.append(0, ends)[lists.offsets.to_numpy()[1:]]
+
+    def __call__(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each whole text, as unsigned 32-bit numbers.
+
+        A long text goes in parts that end at white space, so what is held for
+        it beside its ids does not grow with it, unless one word does.
+        """
+        group, size, parts = [], 0, []
+
+        def flush() -> Iterator[np.ndarray]:
+            nonlocal group, size
+            if group:
+                ids, ends = self._group([part for part, _ in group])
+                for (_, last), part in zip(group, np.split(ids, ends[:-1])):
+                    parts.append(part)
+                    if last:
+                        yield parts[0] if len(parts) == 1 else np.concatenate(parts)
+                        parts.clear()
+            group, size = [], 0
+
         for text in texts:
-            group.append(text)
-            size += len(text)
+            at = 0
+            while len(text) - at > SPLIT_CHARS and (cut := _BLANK.search(text, at + SPLIT_CHARS)):
+                group.append((text[at : cut.start()], False))
+                yield from flush()
+                at = cut.end()
+            group.append((text[at:], True))
+            size += len(text) - at
             if size >= SPLIT_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
+                yield from flush()
+        yield from flush()
 
 
 _encoders: dict[str, WordIds] = {}
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most `capacity` tokens: doc_id, piece, start, length, ids.
+def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """Pieces of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32 and ids.
 
     A document is its text's ids and then `end_id`; null text counts as empty,
     so every document has at least one piece. Only documents longer than
     `capacity` are cut; all their pieces but the last are full. `ids` is binary,
-    little-endian unsigned 32-bit. Each row is a document of its own, repeated
-    doc_ids included; other columns are left out.
+    little-endian unsigned 32-bit, and ids_crc32 its CRC; without `with_ids` only
+    the latter is made, which a plan needs no more than. Each row is a document
+    of its own, repeated doc_ids included; other columns are left out.
     """
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordIds(tokenizer_path))
-        end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
+        end = np.array([end_id], "<u4")
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encode(text or "" for text in batch["text"])):
-                ids += end
-                rows += [(doc_id, i, at // 4, min(step, len(ids) - at) // 4, ids[at : at + step]) for i, at in enumerate(range(0, len(ids), step))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+            for doc_id, found in zip(batch["doc_id"], encode(text or "" for text in batch["text"])):
+                ids = np.append(found, end)
+                for i, at in enumerate(range(0, len(ids), capacity)):
+                    own = ids[at : at + capacity]
+                    rows.append((doc_id, i, at, len(own), zlib.crc32(own), *([own.tobytes()] if with_ids else [])))
+            yield pd.DataFrame(rows, columns=columns)
 
     # ids go through pandas as text, which beside nulls would make them floating point
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = keyed.mapInPandas(pieces, "doc_id string, piece int, start bigint, length bigint, ids binary")
+    found = keyed.mapInPandas(pieces, "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
