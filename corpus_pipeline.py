@@ -41,8 +41,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pieces of the remaining documents with their places in sequences of 4096 tokens."""
     import public_tokenizers
 
-    pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(pieces)
 
 
 STAGES = [
