@@ -1,36 +1,33 @@
 """Near-duplicate groups by bottom-k sketches of word-shingle sets.
 
-One hash function gives each set a sketch, its k smallest hashes. Inverted
-lists of retained hashes bring documents together, rarest first; an estimate
-from the sketch of the union drops most chance meetings, and full sets confirm
-the rest. Equal sets are one vertex from the start, and a list is not expanded
-into pairs: its members meet one leader, and only members of lists that are not
-yet in one component, and that can still reach another, are compared in blocks.
+One hash function orders all shingles, and a set's sketch is its k smallest
+hashes, with k so large that no link is lost: the smallest shingle that two
+linked sets share is in both sketches. Inverted lists of retained hashes bring
+documents together; what the sketch of their union leaves possible drops most
+chance meetings, and full sets confirm the rest. Equal sets are one vertex from
+the start, and a list is not expanded into pairs: its members meet one leader,
+and only members of lists that are not yet in one component, and that can still
+reach another, are compared in blocks.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import materialize
 
-#: Hashes in a sketch, and how many of a full sketch two linked sets share at
-#: least: at a similarity of 0.8 all but one pair in a million do.
-K, SHARED = 32, 14
 #: Members of a list in a block; each task compares two blocks.
 BLOCK = 1024
-
-_SPACES = re.compile(r"[ \t-\r]+")
-_MEMO_WORDS = 500_000
-_LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+#: Characters of text that are hashed at a time.
+_CHARS_AT_ONCE = 4_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_word_hashes: dict[str, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,44 +36,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text.
-
-    Fewer words than `size` are one shingle; no words give none. Only A-Z are
-    lower-cased.
-    """
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one behind the other, and the number of each text's. Only A-Z are lower-cased."""
     import xxhash
 
-    words = [w for w in _SPACES.split(text.translate(_LOWER)) if w] if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    known = _word_hashes
-    if len(known) > _MEMO_WORDS:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - size + 1)
-    rolled = np.full(n, np.uint64(min(len(words), size)))
-    for k in range(min(size, len(words))):
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    coded = lists.values.dictionary_encode()
+    words, codes = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+    real = (words != "")[codes]  # blanks around a text leave empty words
+    ends = np.append(0, np.cumsum(real))[lists.offsets.to_numpy()]
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[codes][real], np.diff(ends)
+
+
+def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    n = len(hashes) - size + 1
+    rolled = np.full(n, np.uint64(size))
+    for k in range(size):
         rolled = _mix(rolled * _MIX[0] + hashes[k : k + n])
-    return np.unique(rolled)
+    return rolled
+
+
+def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each whole text.
 
+    Fewer words than `size` are one shingle; no words give none. Texts go in
+    groups of bounded length; a longer text takes some tens of bytes for each of
+    its words at a time.
+    """
+    at = 0
+    while at < len(texts):
+        group, held = [], 0
+        while at < len(texts) and (not group or held + len(texts[at] or "") <= _CHARS_AT_ONCE):
+            group.append(texts[at] or "")
+            held += len(group[-1])
+            at += 1
+        hashes, counts = _word_hashes(group)
+        ends = np.cumsum(counts)
+        rolled = _shingles(hashes, size) if len(hashes) >= size else hashes[:0]
+        for end, n in zip(ends.tolist(), counts.tolist()):
+            if n >= size:
+                yield np.unique(rolled[end - n : end - size + 1])
+            else:
+                yield _shingles(hashes[end - n : end], n) if n else hashes[:0]
+
+
+def retained(n: int, percent: int) -> int:
+    """How many of its n smallest hashes a set keeps.
+
+    Linked sets share at least `percent` in 100 of either. Of those, the
+    smallest can have no more than the rest of the set below it.
+    """
+    return n - -(-percent * n // 100) + 1 if n else 0
 
-def sketches(docs: DataFrame, size: int = 5, k: int = K) -> DataFrame:
+
+def sketches(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, set_id (128-bit hash of the whole set) and sketch of every document."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in batches:
-            sets = [shingle_hashes(t, size) for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
-                "n_shingles": np.array([len(s) for s in sets], np.int64),
-                "set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "sketch": [s[:k].view(np.int64) for s in sets],
-            })
+            out = [(len(s), xxhash.xxh3_128_digest(s), s[: retained(len(s), percent)].view(np.int64)) for s in shingle_sets(batch["text"].tolist(), size)]
+            frame = pd.DataFrame(out, columns=["n_shingles", "set_id", "sketch"])
+            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            yield frame
 
     # ids go through pandas as text, which beside nulls would make them floating point
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -89,7 +112,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "members": [shingle_hashes(t, size).view(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["doc_id"], "members": [s.view(np.int64) for s in shingle_sets(batch["text"].tolist(), size)]})
 
     found = docs.select("doc_id", "text").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
     return found.mapInPandas(rows, "node bigint, members array<bigint>")
@@ -114,28 +137,26 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def _posts(classes: DataFrame, k: int, shared: int) -> DataFrame:
-    """The inverted lists: value, node, n and alone, how many retained hashes no other set retains.
+def _posts(classes: DataFrame) -> DataFrame:
+    """The inverted lists: value, node and n, without values that one set alone retains."""
+    values = classes.select("node", "n", F.explode("sketch").alias("value"))
+    # written first, the counts let a join split the list of a very common value over several tasks
+    shared = materialize(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value"), "shared")
+    return values.join(shared, "value")
 
-    Two linked sets share at least `shared` in k of their retained hashes. If
-    each is listed under all but so many less one, rarest first, they meet in a
-    list. Hashes that one set alone retains come first and need no list.
-    """
-    values = classes.select("node", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
-    rare = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    listed = values.join(rare, "value").groupBy("node", "n", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
-    # sets so small that a linked one is in its sketch whole share 0.8 of them for sure
-    least = F.when(F.col("n") <= int(0.8 * k), F.ceil(F.col("n") * 0.8)).otherwise(F.floor(F.col("kept") * (shared / k)))
-    width = F.col("kept") - least + 1 - (F.col("kept") - F.size("v"))
-    alone = (F.col("kept") - F.size("v")).alias("alone")
-    return listed.where(width > 0).select("node", "n", alone, F.explode(F.slice("v", 1, width.cast("int"))).alias("v")).select(F.col("v.value").alias("value"), "node", "n", "alone")
+
+def _distinct(lists: DataFrame) -> DataFrame:
+    """One of all lists that have the same members, as values of one passage do."""
+    of = lists.groupBy("value").agg(F.count("*").alias("c"), F.min("node").alias("x"), F.max("node").alias("y"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"s{k}") for k in (1, 2)])
+    kept = materialize(of.groupBy("c", "x", "y", "s1", "s2").agg(F.min("value").alias("value")).select("value"), "distinct")
+    return lists.join(kept, "value")
 
 
 def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists, with components, whose members are not all in one component yet."""
-    known = lists.join(labels, "node")
+    known = materialize(lists.join(labels, "node"), "known")
     unresolved = known.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
-    return known.join(unresolved, "value")
+    return known.join(materialize(unresolved, "unresolved"), "value")
 
 
 def _able(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -149,9 +170,9 @@ def _able(lists: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
     members = sets.join(nodes, "node").select("node", "component", F.explode("members").alias("shingle"))
     common = members.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
     reach = members.join(common, "shingle").groupBy("node").agg(F.count("*").alias("reach"))
-    lists = lists.join(reach, "node").where(f"100 * reach >= {percent} * n")
+    lists = materialize(lists.join(reach, "node").where(f"100 * reach >= {percent} * n"), "able")
     smallest = lists.groupBy("value").agg(F.min("n").alias("least_n"))
-    lists = lists.join(smallest, "value").where(f"least_n < reach OR 100 * reach >= {percent} * (least_n + n - reach)")
+    lists = lists.join(materialize(smallest, "smallest"), "value").where(f"least_n < reach OR 100 * reach >= {percent} * (least_n + n - reach)")
     return _open(lists.drop("component", "least_n", "reach"), labels)
 
 
@@ -211,32 +232,32 @@ def _compare_blocks(lists: DataFrame, sets: DataFrame, percent: int, block: int
     return keyed.join(sets, "node").groupBy("value", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def group(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, shared: int = SHARED) -> DataFrame:
+def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents are linked if their sets of word shingles have a Jaccard
-    similarity of `percent` in 100 or more; component_id is the smallest
-    doc_id that links reach, and `kept` marks that document. A null or empty
-    text has no shingles and no link. Rows that share a doc_id count as one
-    vertex; a row with a null doc_id has no component and is kept. Other
-    columns are left out, and an empty table stays empty.
+    similarity of `percent` in 100 or more; no link is lost. component_id is
+    the smallest doc_id that links reach, and `kept` marks that document. A
+    null or empty text has no shingles and no link. Rows that share a doc_id
+    count as one vertex; a row with a null doc_id has no component and is kept.
+    Other columns are left out, and an empty table stays empty.
     """
-    everything = materialize(sketches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, k), "sketches")
+    everything = materialize(sketches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, percent), "sketches")
     rows = everything.where("doc_id IS NOT NULL")
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    lists = materialize(_posts(classes, k, shared), "lists")
+    lists = materialize(_posts(classes), "lists")
     # labels of the vertices that meet any other; the others stay alone
     labels = materialize(lists.select("node", F.col("node").alias("component")).distinct(), "labels")
     sets = materialize(_full_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels.select("node"), size), "sets")
     brief = materialize(classes.join(labels.select("node"), "node").select("node", "n", "sketch"), "brief")
-    # First every list is led by one member: families of copies become one component.
-    lists = materialize(_open(lists, labels), "open")
-    lead = lists.groupBy("value").agg(F.min(F.struct("alone", "node", "n")).alias("l")).select("value", F.col("l.node").alias("a"), F.col("l.n").alias("n_a"))
+    # First every list is led by its smallest member: families of copies become one component.
+    lists = materialize(_distinct(materialize(_open(lists, labels), "open")), "open")
+    lead = materialize(lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("l")).select("value", F.col("l.node").alias("a"), F.col("l.n").alias("n_a")), "lead")
     met = lists.withColumnRenamed("node", "b").join(lead, "value").where(f"a <> b AND 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    labels = _merge(labels, _confirm(_likely(pairs, brief, k, shared), sets, percent))
+    pairs = met.select("a", "b").distinct()
+    labels = _merge(labels, _confirm(_likely(pairs, brief, percent), sets, percent))
     # Then what is still open and able is compared in blocks.
     lists = materialize(_able(materialize(_open(lists.drop("component"), labels), "open"), sets, labels, percent), "open")
     if not lists.isEmpty():
@@ -256,13 +277,22 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, shared:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _likely(pairs: DataFrame, brief: DataFrame, k: int, shared: int) -> DataFrame:
-    """Pairs whose union sketch has enough hashes that both sets retain."""
+def _likely(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the sketch of their union leaves possible.
+
+    Up to the smaller of the two largest retained hashes both sets are known
+    whole. What they share there, and all that is left of the smaller rest,
+    bounds what they share at all, so no link is dropped.
+    """
     side = lambda s: brief.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
-    common = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
-    return both.where((common * k >= shared * F.size(union)) | (F.least("n_a", "n_b") <= int(0.8 * k))).select("a", "b").distinct()
+    # hashes are ordered as unsigned numbers, so the last of a sketch is its largest
+    unsigned = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)))
+    both = both.withColumn("_t", F.least(unsigned(F.element_at("sketch_a", -1)), unsigned(F.element_at("sketch_b", -1))))
+    known = lambda s: F.size(F.filter(f"sketch_{s}", lambda x: unsigned(x) <= F.col("_t")))
+    both = both.withColumn("_c", F.size(F.array_intersect("sketch_a", "sketch_b")).cast("long"))
+    most = F.col("_c") + F.least(F.col("n_a") - known("a"), F.col("n_b") - known("b"))
+    return both.where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,5 +305,5 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, without those of documents that another stands for."""
-    gone = group(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = group(docs, size, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
