@@ -3,26 +3,25 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from pagetide.llm import linededup, suffixdedup
 
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def brute_lines(rows, min_words):
-    """Lines left of each document, by the definition."""
+def brute_whole_runs(rows, min_words):
+    """Lines left of each document if every repeated run of `min_words` words goes, whatever its length."""
     lines = {i: [(k, x.strip(SPACE)) for k, x in enumerate(t.split("\n")) if x.strip(SPACE)] for i, t in rows if t is not None}
     seen, gone = set(), {i: set() for i in lines}
     for i in sorted(lines):
         for a in range(len(lines[i])):
-            words, b = 0, a
-            while words < min_words and b < len(lines[i]):
-                words += len(re.findall(r"[^\x20\x09-\x0D]+", lines[i][b][1]))
-                b += 1
-            if words >= min_words:
+            for b in range(a + 1, len(lines[i]) + 1):
                 run = tuple(x for _, x in lines[i][a:b])
-                if run in seen:
-                    gone[i] |= {k for k, _ in lines[i][a:b]}
-                seen.add(run)
+                if sum(len(x.split()) for x in run) >= min_words:
+                    if run in seen:
+                        gone[i] |= {k for k, _ in lines[i][a:b]}
+                    seen.add(run)
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows if t is not None}
 
 
@@ -36,8 +35,11 @@ def test_line_runs_equal_brute_force(spark):
         out = linededup.remove_repeats(docs, words)
         assert out.columns == ["doc_id", "text", "n_lines", "n_removed"]
         got = {r.doc_id: r.text for r in out.collect()}
-        assert {i: got[i] for i in got if i != 50} == brute_lines(rows, words)
+        assert {i: got[i] for i in got if i != 50} == brute_whole_runs(rows, words)
         assert got[50] is None
+    odd = docs.select("*", *[F.lit(7).alias(c) for c in ("gone", "_d", "_t", "_gd", "_gt", "row", "all", "name", "seq", "a.b")])
+    for out in (linededup.remove_repeats(odd, 10), linededup.keep_worded(odd, 10)):
+        assert out.where("gone = 7 AND _d = 7 AND row = 7 AND `a.b` = 7").count() == out.count() > 0
     kept = linededup.keep_worded(docs, 1)
     assert kept.columns == docs.columns and {50, 51, 52} <= {r.doc_id for r in kept.collect()}
     assert linededup.remove_repeats(docs.limit(0)).count() == 0
@@ -59,6 +61,14 @@ def brute_strings(rows, length):
     return out
 
 
+def test_very_long_text_of_lines(spark):
+    """A text of some megabytes that is mostly a copy: time grows with its lines, not with their square."""
+    lines = [f"line number {i} of a text with many of them here" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["own " + lines[0], *lines[1:]]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n) for r in linededup.remove_repeats(docs).select("*", F.length("text").alias("n")).collect()}
+    assert got[1][:2] == (60_000, 0) and got[2] == (60_000, 59_999, len("own " + lines[0]))
+
+
 def test_strings_equal_brute_force(spark):
     rng = random.Random(6)
     passages = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(15, 90))) for _ in range(6)]
@@ -76,21 +86,6 @@ def test_strings_equal_brute_force(spark):
     assert sorted(r.n_removed for r in suffixdedup.remove_repeated_strings(twice, 20, 6).collect()) == [0, 28, 28]
 
 
-def brute_whole_runs(rows, min_words):
-    """Lines left of each document if every repeated run of `min_words` words goes, whatever its length."""
-    lines = {i: [(k, x.strip(SPACE)) for k, x in enumerate(t.split("\n")) if x.strip(SPACE)] for i, t in rows if t is not None}
-    seen, gone = set(), {i: set() for i in lines}
-    for i in sorted(lines):
-        for a in range(len(lines[i])):
-            for b in range(a + 1, len(lines[i]) + 1):
-                run = tuple(x for _, x in lines[i][a:b])
-                if sum(len(x.split()) for x in run) >= min_words:
-                    if run in seen:
-                        gone[i] |= {k for k, _ in lines[i][a:b]}
-                    seen.add(run)
-    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows if t is not None}
-
-
 def test_whole_runs_go_with_their_short_last_lines(spark):
     rng = random.Random(5)
     passage = " ".join(f"w{i}" for i in range(50)) + "\nof three words\nend"
@@ -99,7 +94,11 @@ def test_whole_runs_go_with_their_short_last_lines(spark):
     rows += [(10 + i, "\n".join(rng.choice([*stock, " "]) for _ in range(rng.randint(0, 20)))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for words in (1, 5, 10):
-        got = {r.doc_id: r.text for r in linededup.remove_repeats(docs, words, whole=True).collect()}
+        got = {r.doc_id: r.text for r in linededup.remove_repeats(docs, words).collect()}
         assert got == brute_whole_runs(rows, words)
+    # the whole run goes, also its last line of one word
+    ten = "\n".join("one two three four five six seven eight nine ten".split())
+    got = {r.doc_id: r.text for r in linededup.remove_repeats(spark.createDataFrame([(1, f"{ten}\nfoo\nx"), (2, f"{ten}\nfoo\ny")], "doc_id long, text string")).collect()}
+    assert got == {1: f"{ten}\nfoo\nx", 2: "y"}
     kept = {r.doc_id: r.text for r in linededup.keep_worded(docs).collect()}
     assert kept[1] == rows[0][1] and kept[2] == "before it\nsecond ends" and 3 not in kept
