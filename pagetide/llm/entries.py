@@ -109,27 +109,6 @@ f AS (SELECT t.doc_id, CAST(coalesce(len(b.s), 0) AS BIGINT) AS n_lines, CAST(co
 SELECT doc_id, n_lines, n_removed, CAST(length(left_text) AS BIGINT) AS n_chars_left, md5(left_text) AS text_md5 FROM f
 """
 
-OP6_SQL,
-        "op7_quality_rules": OP7_SQL,
-    }
-
-
-OP5_SQL = r"""
-WITH a AS (SELECT doc_id, text, u.i AS no, regexp_replace(string_split(text, chr(10))[u.i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
-           FROM documents, LATERAL unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
-b AS (SELECT doc_id, list(s ORDER BY no) AS s, list(no ORDER BY no) AS no, list(len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) ORDER BY no) AS w
-      FROM a WHERE s <> '' GROUP BY doc_id),
-c AS (SELECT doc_id, s, no, u.i AS i, list_filter(range(1, 11), lambda n: u.i + n - 1 <= len(s) AND list_sum(w[u.i : u.i + n - 1]) >= 10)[1] AS n
-      FROM b, LATERAL unnest(range(1, len(s) + 1)) AS u(i)),
-d AS (SELECT doc_id, no, i, n, row_number() OVER (PARTITION BY s[i : i + n - 1] ORDER BY doc_id, i) AS copy FROM c WHERE n IS NOT NULL),
-e AS (SELECT doc_id, list(DISTINCT no[i + u.k]) AS gone FROM d, LATERAL unnest(range(0, n)) AS u(k) WHERE copy > 1 GROUP BY doc_id),
-f AS (SELECT t.doc_id, CAST(coalesce(len(b.s), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(e.gone), 0) AS BIGINT) AS n_removed,
-             CASE WHEN e.gone IS NULL THEN text ELSE
-               coalesce(array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda k: NOT list_contains(e.gone, k)), lambda k: string_split(text, chr(10))[k]), chr(10)), '') END AS left_text
-      FROM documents t LEFT JOIN b ON t.doc_id = b.doc_id LEFT JOIN e ON t.doc_id = e.doc_id)
-SELECT doc_id, n_lines, n_removed, CAST(length(left_text) AS BIGINT) AS n_chars_left, md5(left_text) AS text_md5 FROM f
-"""
-
 OP6_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
