@@ -18,12 +18,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in spark.checkpoint.dir; where that is unset, as in
-    tests on one machine, a new temporary folder serves.
+    A cluster names it in spark.checkpoint.dir; where that is unset and all runs
+    on one machine, as in tests, a new temporary folder serves. Elsewhere that
+    is an error, as executors would write to disks of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -49,7 +52,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `materialize` wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

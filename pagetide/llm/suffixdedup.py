@@ -3,10 +3,11 @@
 A sort of all suffixes would move many times the corpus. Suffixes that share a
 long prefix share its smallest k-gram, so they meet in the bucket of that
 k-gram (their anchor), and only there are they compared. A bucket holds the
-text around each anchor once for each different surrounding. Prefix polynomial
-hashes give the hash of any stretch in constant time; suffixes of a bucket are
-sorted by comparing the hash of their common extension, and equal neighbours
-are verified byte by byte.
+text around each anchor once for each different surrounding; a bucket of too
+many is dealt into those of longer anchors, until each is small or its strings
+are anchors themselves. Prefix polynomial hashes give the hash of any stretch in
+constant time; suffixes of a bucket are sorted by comparing the hash of their
+common extension, and equal neighbours are verified byte by byte.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import materialize, shuffle_partitions
+from pagetide.llm.common import discard, materialize, shuffle_partitions
 
 LENGTH, GRAM = 200, 48
-#: Different surroundings of an anchor that one task compares. Beyond that, their
-#: strings are counted by hash all over the cluster instead.
-BUCKET = 20_000
+#: Different surroundings in a bucket; one of more is dealt by longer anchors.
+BUCKET = 2_000
 #: Surroundings whose windows are sorted at once, more only where one bucket has more.
 LOT = 2_000
+#: Places of a text that are looked at together, so that memory does not grow with a text.
+SLICE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -93,39 +95,51 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return first, more, at, hashes[at]
 
 
+_CLASS = ["g", "u", "v"]
+
+
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """_d, _t, lo, more, off (from the first start to the anchor), g (hash of the anchor) and u (hash of all that the windows of the run cover)."""
+    """_d, _t, lo, more, off (from the first start to the anchor), g (hash of the anchor) and u, v (128-bit hash of all that the windows of the run cover)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in batches:
-            out = []
             for d, t, text in zip(batch["_d"], batch["_t"], batch["text"]):
                 data = text.encode()
-                first, more, at, g = anchors(data, length, gram)
-                if len(first):
-                    u = [xxhash.xxh64_intdigest(data[a : a + n + length]) for a, n in zip(first.tolist(), more.tolist())]
-                    out.append((np.full(len(first), d), np.full(len(first), t), first, more, at - first, g.view(np.int64), np.array(u, np.uint64).view(np.int64)))
-            if out:
-                yield pd.DataFrame(dict(zip(["_d", "_t", "lo", "more", "off", "g", "u"], map(np.concatenate, zip(*out)))))
-
-    return docs.where(F.octet_length("text") >= length).select("_d", "_t", "text").mapInPandas(rows, "_d bigint, _t bigint, lo int, more int, off int, g bigint, u bigint")
+                for begin in range(0, len(data) - length + 1, SLICE):
+                    first, more, at, g = anchors(data[begin : begin + SLICE + length - 1], length, gram)
+                    cover = b"".join([xxhash.xxh3_128_digest(data[begin + a : begin + a + n + length]) for a, n in zip(first.tolist(), more.tolist())])
+                    uv = np.frombuffer(cover, "<i8").reshape(-1, 2)
+                    yield pd.DataFrame({"_d": d, "_t": t, "lo": first + begin, "more": more, "off": at - first, "g": g.view(np.int64), "u": uv[:, 0], "v": uv[:, 1]})
+
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in rows(batches):
+            held.append(frame)
+            n += len(frame)
+            if n >= 50_000:
+                yield pd.concat(held)
+                held, n = [], 0
+        if held:
+            yield pd.concat(held)
+
+    return docs.where(F.octet_length("text") >= length).select("_d", "_t", "text").mapInPandas(gathered, "_d bigint, _t bigint, lo int, more int, off int, g bigint, u bigint, v bigint")
 
 
 def _around(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes that each wanted class of runs covers, cut from its first document."""
+    """Pieces: the bytes that each wanted class of runs covers, cut from its first document, with off."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text, classes in zip(batch["text"], batch["classes"]):
                 data = text.encode()
-                out += [(c["g"], c["u"], data[c["lo"] : c["lo"] + c["more"] + length]) for c in classes]
-            yield pd.DataFrame(out, columns=["g", "u", "bytes"])
+                out += [(c["g"], c["u"], c["v"], c["off"], data[c["lo"] : c["lo"] + c["more"] + length]) for c in classes]
+            yield pd.DataFrame(out, columns=[*_CLASS, "off", "bytes"])
 
-    lists = wanted.groupBy("_d", "_t").agg(F.collect_list(F.struct("g", "u", "lo", "more")).alias("classes"))
-    return docs.select("_d", "_t", "text").dropDuplicates(["_d", "_t"]).join(lists, ["_d", "_t"]).select("text", "classes").mapInPandas(rows, "g bigint, u bigint, bytes binary")
+    lists = wanted.groupBy("_d", "_t").agg(F.collect_list(F.struct(*_CLASS, "off", "lo", "more")).alias("classes"))
+    return docs.select("_d", "_t", "text").dropDuplicates(["_d", "_t"]).join(lists, ["_d", "_t"]).select("text", "classes").mapInPandas(rows, "g bigint, u bigint, v bigint, off int, bytes binary")
 
 
 def sort_suffixes(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, segments: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,13 +235,13 @@ def _spans(marks: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _compare(buckets: DataFrame, length: int) -> DataFrame:
-    """g, u and spans of the classes, compared within each bucket g."""
+    """g, u, v and spans of the classes whose pieces repeat something within their bucket `key`."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            whole = held["g"] != held["g"].iat[-1]  # the last bucket may go on
+            whole = held["key"] != held["key"].iat[-1]  # the last bucket may go on
             if whole.any():
                 yield frame(held[whole])
                 held = held[~whole]
@@ -236,60 +250,103 @@ def _compare(buckets: DataFrame, length: int) -> DataFrame:
 
     def frame(rows: pd.DataFrame) -> pd.DataFrame:
         # lots of whole buckets, small enough for their windows to be sorted at once
-        g, u, off, pieces = rows["g"].to_numpy(), rows["u"].to_numpy(), rows["off"].to_numpy(), rows["bytes"].tolist()
-        ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+        key, off, pieces = rows["key"].to_numpy(), rows["off"].to_numpy(), rows["bytes"].tolist()
+        names = list(zip(*(rows[c].tolist() for c in (*_CLASS, "base"))))
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
         out, at = [], 0
-        while at < len(g):
+        while at < len(key):
             end = int(ends[min(np.searchsorted(ends, at + LOT), len(ends) - 1)])
-            marks = repeated_starts(pieces[at:end], g[at:end], off[at:end], length)
-            out += [(g[k], u[k], [{"a": a, "b": b} for a, b in spans]) for k, m in enumerate(marks, at) if (spans := _spans(m, length))]
+            marks = repeated_starts(pieces[at:end], key[at:end], off[at:end], length)
+            for (*name, base), found in zip(names[at:end], marks):
+                if spans := _spans(found, length):
+                    out.append((*name, [{"a": base + a, "b": base + b} for a, b in spans]))
             at = end
-        return pd.DataFrame(out, columns=["g", "u", "spans"])
+        return pd.DataFrame(out, columns=[*_CLASS, "spans"])
 
     n = shuffle_partitions(buckets.sparkSession)
-    return buckets.repartition(n, "g").sortWithinPartitions("g").mapInPandas(rows, "g bigint, u bigint, spans array<struct<a:int,b:int>>")
+    return buckets.repartition(n, "key").sortWithinPartitions("key").mapInPandas(rows, "g bigint, u bigint, v bigint, spans array<struct<a:int,b:int>>")
 
 
-def _count_everywhere(buckets: DataFrame, length: int) -> DataFrame:
-    """As `_compare`, for buckets of any size: strings are counted by a 128-bit hash."""
+_PIECE = "key bigint, g bigint, u bigint, v bigint, base int, core int, wide int, off int, bytes binary"
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
 
-        for batch in batches:
-            for g, u, data in zip(batch["g"], batch["u"], batch["bytes"]):
-                n = len(data) - length + 1
-                yield pd.DataFrame({"g": g, "u": u, "i": np.arange(n), "h": [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]})
+def _longer(pieces: DataFrame, length: int) -> DataFrame:
+    """Pieces of large buckets, dealt by anchors of about half the slack more.
 
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        marks = np.zeros(rows["i"].max() + 1, bool)
-        marks[rows["i"]] = True
-        return pd.DataFrame({"g": rows["g"].iloc[:1], "u": rows["u"].iloc[:1], "spans": [[{"a": a, "b": b} for a, b in _spans(marks, length)]]})
+    `core` is where a piece's anchor begins and `wide` its bytes. Windows that
+    reach far enough to the right go to the bucket of the anchor that is longer
+    there, all others to that of the one longer to the left; equal windows hold
+    the anchor at the same place, so they go to the same bucket.
+    """
 
-    each = buckets.mapInPandas(strings, "g bigint, u bigint, i int, h binary")
-    again = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return each.join(again, "h").groupBy("g", "u").applyInPandas(joined, "g bigint, u bigint, spans array<struct<a:int,b:int>>")
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for g, u, v, base, core, wide, off, data in zip(*(batch[c] for c in (*_CLASS, "base", "core", "wide", "off", "bytes"))):
+                slack, last = length - wide, len(data) - length
+                right = (slack + 1) // 2
+                left = slack - right + 1
+                split = max(0, core + wide + right - length)  # the first window that holds the anchor's longer right side
+                for a, b, begin, size in ((split, last, core, wide + right), (0, min(split - 1, last), core - left, wide + left)):
+                    if a <= b:
+                        key = xxhash.xxh64_intdigest(data[begin : begin + size]) - (1 << 63)
+                        out.append((key, g, u, v, base + a, begin - a, size, off - a, data[a : b + length]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECE.split(", ")])
+
+    return pieces.mapInPandas(rows, _PIECE)
+
+
+def _same(pieces: DataFrame, length: int) -> DataFrame:
+    """As `_compare`, for buckets whose anchors are whole windows: equal ones are counted, by their bytes."""
+    counted = pieces.groupBy("bytes").agg(F.count("*").alias("n")).where("n > 1").select("bytes")
+    span = F.array(F.struct(F.col("base").alias("a"), (F.col("base") + length).alias("b")))
+    return pieces.join(materialize(counted, "same"), "bytes").select(*_CLASS, span.alias("spans"))
+
+
+def _compare_all(pieces: DataFrame, length: int, gram: int, bucket: int) -> DataFrame:
+    """As `_compare`, whatever the size of a bucket."""
+    found, wide = [], gram
+    pieces = materialize(pieces.select(F.col("g").alias("key"), *_CLASS, F.lit(0).alias("base"), F.col("off").alias("core"), F.lit(gram).alias("wide"), "off", "bytes"), "pieces")
+    while True:
+        # written before they are joined, so that the join can split the pieces of a large bucket
+        large = materialize(pieces.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"), "large")
+        if large.isEmpty():
+            return _union([*found, _compare(pieces, length)])
+        found.append(_compare(pieces.join(large, "key", "left_anti"), length))
+        pieces = materialize(_longer(pieces.join(large, "key"), length), "longer")
+        done = F.col("wide") >= length
+        found.append(_same(pieces.where(done), length))
+        pieces = pieces.where(~done)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """_d, _t and spans (a, b), the byte stretches to remove, of documents that have any."""
+    """_d, _t and spans (a, b), the byte stretches to remove, of documents that have any.
+
+    What is counted by a key is written before it is joined, so that joins can
+    split the rows of an anchor or a surrounding that very many documents have.
+    """
     runs = materialize(_runs(docs, length, gram), "runs")
     # an anchor that occurs once covers nothing
-    met = runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    met = materialize(runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "met")
     shared = materialize(runs.join(met, "g"), "shared")
-    classes = shared.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_t", "lo", "more", "off")).alias("at"))
-    kinds = classes.groupBy("g").agg(F.count("*").alias("kinds"))
-    classes = materialize(classes.join(kinds, "g").select("g", "u", "n", "kinds", "at.*"), "classes")
-    whole = classes.where("n > 1").select("g", "u", F.array(F.struct(F.lit(0).alias("a"), (F.col("more") + length).alias("b"))).alias("spans"))
-    open_classes = classes.where("kinds > 1")
-    pieces = materialize(_around(docs, open_classes, length).join(classes.select("g", "u", "n", "kinds", "off"), ["g", "u"]), "pieces")
+    discard(runs)
+    classes = materialize(shared.groupBy(*_CLASS).agg(F.count("*").alias("n"), F.min(F.struct("_d", "_t", "lo", "more", "off")).alias("at")).select(*_CLASS, "n", "at.*"), "classes")
+    whole = classes.where("n > 1").select(*_CLASS, F.array(F.struct(F.lit(0).alias("a"), (F.col("more") + length).alias("b"))).alias("spans"))
+    several = materialize(classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "several")
+    pieces = _around(docs, classes.join(several, "g"), length)
     # pieces that occur several times are covered whole, but others are still compared with them
-    compared = _compare(pieces.where(F.col("kinds") <= bucket).select("g", "u", "off", "bytes"), length)
-    large = pieces.where(F.col("kinds") > bucket).select("g", "u", "bytes")
-    if not large.isEmpty():
-        compared = compared.union(_count_everywhere(large, length))
-    covered = materialize(whole.union(compared.join(classes.where("n = 1").select("g", "u"), ["g", "u"])), "covered")
-    placed = shared.join(covered, ["g", "u"]).select("_d", "_t", F.explode("spans").alias("s"), "lo")
+    compared = materialize(_compare_all(pieces, length, gram, bucket), "compared")
+    covered = materialize(whole.union(compared.join(classes.where("n = 1").select(*_CLASS), _CLASS)), "covered")
+    placed = shared.join(covered, _CLASS).select("_d", "_t", F.explode("spans").alias("s"), "lo")
     return placed.groupBy("_d", "_t").agg(F.collect_list(F.struct((F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"))).alias("spans"))
 
 
@@ -318,9 +375,11 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int | N
     """
     gram = gram or min(GRAM, max(1, length // 4))
     added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
-    docs = docs.drop(*added, "_d", "_t", "_spans", "_cut").withColumn("text", F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("_t", F.xxhash64("text"))
-    spans = materialize(repeated_spans(keyed, length, gram, bucket), "spans").withColumnRenamed("spans", "_spans")
+    docs = docs.drop(*added)
+    # the row as one column, so that no name of its own meets those of the joins
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID)).alias("_d"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    keyed = keyed.withColumn("_t", F.xxhash64("text"))
+    spans = materialize(repeated_spans(keyed, length, gram, bucket), "spans")
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in batches:
@@ -330,11 +389,13 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int | N
             )
 
     result = F.pandas_udf(cut, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_bytes binary, text string")
-    joined = keyed.join(spans, ["_d", "_t"], "left").withColumn("_cut", result("text", "_spans"))
-    return joined.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], *[f"_cut.{c}" for c in added])
+    joined = keyed.join(spans, ["_d", "_t"], "left").withColumn("_cut", result("text", "spans"))
+    left = joined.select(F.col("row").withField("text", F.col("_cut.text")).alias("row"), *[f"_cut.{c}" for c in added])
+    return left.select("row.*", *added)
 
 
 def keep_unrepeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The columns of `docs` with repeated strings cut; documents that lose all their text go."""
-    out = remove_repeated_strings(docs, length)
-    return out.where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")).select(*docs.columns)
+    out = remove_repeated_strings(docs.select(F.struct("*").alias("row"), "doc_id", "text"), length)
+    left = out.where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != ""))
+    return left.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")

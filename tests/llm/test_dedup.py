@@ -75,7 +75,7 @@ def test_strings_equal_brute_force(spark):
     rows = [(i, "".join(rng.choice([*passages, "".join(rng.choice("xyzw ") for _ in range(rng.randint(0, 60)))]) for _ in range(rng.randint(0, 6)))) for i in range(40)]
     rows += [(50, None), (51, ""), (52, "a" * 300), (53, "ab" * 80), (54, "ab" * 81), (55, "x" * 19), (56, "q" * 20), (57, "r" * 20), (58, "r" * 20)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_spans string")
-    for bucket in (suffixdedup.BUCKET, 1):  # in one task, and counted everywhere
+    for bucket in (suffixdedup.BUCKET, 3, 1):  # compared at once, and dealt by longer anchors
         out = suffixdedup.remove_repeated_strings(docs, length=20, gram=6, bucket=bucket)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept_bytes).hexdigest()) for r in out.collect()}
         assert got == brute_strings(rows, 20)
@@ -102,3 +102,26 @@ def test_whole_runs_go_with_their_short_last_lines(spark):
     assert got == {1: f"{ten}\nfoo\nx", 2: "y"}
     kept = {r.doc_id: r.text for r in linededup.keep_worded(docs).collect()}
     assert kept[1] == rows[0][1] and kept[2] == "before it\nsecond ends" and 3 not in kept
+
+
+def test_strings_of_200_bytes_around_one_hot_passage(spark):
+    """A passage in every document, cut to other lengths, with and without context; at the real parameters."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    hot = text(60)
+    rows = [(i, f"{text(rng.randint(0, 20))} {hot[rng.randint(0, 40) : len(hot) - rng.randint(0, 90)]} {text(rng.randint(0, 20))}") for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)] + [(200, hot[:199]), (201, hot[:200]), (202, "é" * 150 + hot)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (suffixdedup.BUCKET, 4):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept_bytes).hexdigest()) for r in suffixdedup.remove_repeated_strings(docs, bucket=bucket).collect()}
+        assert got == brute_strings(rows, 200)
+
+
+def test_a_long_text_goes_in_slices(spark, monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    data = text.encode()
+    whole = {(int(a), int(n)) for a, n in zip(*suffixdedup.anchors(data, 20, 6)[:2])}
+    cut = [(k + int(a), int(n)) for k in range(0, len(data) - 19, 500) for a, n in zip(*suffixdedup.anchors(data[k : k + 500 + 19], 20, 6)[:2])]
+    assert [i for a, n in sorted(whole) for i in range(a, a + n + 1)] == [i for a, n in cut for i in range(a, a + n + 1)]
