@@ -1,13 +1,13 @@
 """Near-duplicate groups by bottom-k sketches of word-shingle sets.
 
-One hash function orders all shingles, and a set's sketch is its k smallest
-hashes, with k so large that no link is lost: the smallest shingle that two
-linked sets share is in both sketches. Inverted lists of retained hashes bring
-documents together; what the sketch of their union leaves possible drops most
-chance meetings, and full sets confirm the rest. Equal sets are one vertex from
-the start, and a list is not expanded into pairs: its members meet one leader,
-and only members of lists that are not yet in one component, and that can still
-reach another, are compared in blocks.
+One hash function orders all shingles, only that very frequent ones come last,
+and a set's sketch is its k first, with k so large that no link is lost: the
+first shingle that two linked sets share is in both sketches. Inverted lists of
+retained values bring documents together; what the sketch of their union leaves
+possible drops most chance meetings, and full sets confirm the rest. Equal sets
+are one vertex from the start, and a list is not expanded into pairs: its
+members meet one leader, and only members of lists that are not yet in one
+component, and that can still reach another, are compared in blocks.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from pagetide.llm.common import materialize
 
 #: Members of a list in a block; each task compares two blocks.
 BLOCK = 1024
+#: Frequent shingles that are ordered last, at most, and how often one must stand
+#: in so many shingles of a task to be among them. Any order gives the same links;
+#: with these last, a passage that many documents share makes no list of them all.
+FREQUENT, SOME, OF = 250_000, 4, 4_000_000
 #: Characters of text that are hashed at a time.
 _CHARS_AT_ONCE = 4_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -81,22 +85,60 @@ def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
 
 
 def retained(n: int, percent: int) -> int:
-    """How many of its n smallest hashes a set keeps.
+    """How many of its n shingles, the first in order, a set keeps.
 
-    Linked sets share at least `percent` in 100 of either. Of those, the
-    smallest can have no more than the rest of the set below it.
+    Linked sets share at least `percent` in 100 of either. Of those, the first
+    can have no more than the rest of the set before it.
     """
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def frequent(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of the most frequent shingles over all documents, FREQUENT at most."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def flush() -> pd.DataFrame:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            some = counts >= SOME
+            return pd.DataFrame({"value": values[some].view(np.int64), "n": counts[some]})
+
+        for batch in batches:
+            for one in shingle_sets(batch["text"].tolist(), size):
+                held.append(one)
+                n += len(one)
+                if n >= OF:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    counts = docs.select("text").mapInPandas(count, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
+    return np.sort(counts.orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()["value"].to_numpy(np.int64).view(np.uint64))
+
+
 def sketches(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the whole set) and sketch of every document."""
+    """doc_id, n_shingles, set_id (128-bit hash of the whole set) and sketch of every document.
+
+    The sketch holds places in the order of all shingles, ascending as unsigned
+    numbers: the upper 63 bits of the hash behind a bit that is set for
+    frequent ones.
+    """
+    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        common = np.append(last.value, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+        def sketch(one: np.ndarray) -> np.ndarray:
+            often = common[np.searchsorted(common, one)] == one
+            order = np.concatenate([one[~often] >> np.uint64(1), (one[often] >> np.uint64(1)) | np.uint64(1 << 63)])
+            return order[: retained(len(one), percent)].view(np.int64)
+
         for batch in batches:
-            out = [(len(s), xxhash.xxh3_128_digest(s), s[: retained(len(s), percent)].view(np.int64)) for s in shingle_sets(batch["text"].tolist(), size)]
+            out = [(len(s), xxhash.xxh3_128_digest(s), sketch(s)) for s in shingle_sets(batch["text"].tolist(), size)]
             frame = pd.DataFrame(out, columns=["n_shingles", "set_id", "sketch"])
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield frame
@@ -286,10 +328,11 @@ def _likely(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     """
     side = lambda s: brief.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # hashes are ordered as unsigned numbers, so the last of a sketch is its largest
+    # places are ordered as unsigned numbers, so the last of a sketch is its largest
     unsigned = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)))
     both = both.withColumn("_t", F.least(unsigned(F.element_at("sketch_a", -1)), unsigned(F.element_at("sketch_b", -1))))
     known = lambda s: F.size(F.filter(f"sketch_{s}", lambda x: unsigned(x) <= F.col("_t")))
+    # two shingles may share a place, which only raises the bound
     both = both.withColumn("_c", F.size(F.array_intersect("sketch_a", "sketch_b")).cast("long"))
     most = F.col("_c") + F.least(F.col("n_a") - known("a"), F.col("n_b") - known("b"))
     return both.where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()
