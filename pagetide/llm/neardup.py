@@ -21,14 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import materialize
+from pagetide.llm.common import discard, materialize
 
 #: Members of a list in a block; each task compares two blocks.
 BLOCK = 1024
 #: Frequent shingles that are ordered last, at most, and how often one must stand
 #: in so many shingles of a task to be among them. Any order gives the same links;
 #: with these last, a passage that many documents share makes no list of them all.
-FREQUENT, SOME, OF = 250_000, 4, 4_000_000
+FREQUENT, SOME, OF = 250_000, 3, 4_000_000
+#: Of this many shingles of a set, one more is retained than links need, so that linked sets share as many.
+EVERY = 10
 #: Characters of text that are hashed at a time.
 _CHARS_AT_ONCE = 4_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -87,10 +89,11 @@ def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
 def retained(n: int, percent: int) -> int:
     """How many of its n shingles, the first in order, a set keeps.
 
-    Linked sets share at least `percent` in 100 of either. Of those, the first
-    can have no more than the rest of the set before it.
+    Linked sets share at least `percent` in 100 of either. The j-th of what they
+    share has at least j - 1 less behind it, so both keep the first j if j more
+    are kept than what may differ: one for each EVERY shingles.
     """
-    return n - -(-percent * n // 100) + 1 if n else 0
+    return n - -(-percent * n // 100) + -(-n // EVERY) if n else 0
 
 
 def frequent(docs: DataFrame, size: int) -> np.ndarray:
@@ -179,12 +182,24 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def _posts(classes: DataFrame) -> DataFrame:
-    """The inverted lists: value, node and n, without values that one set alone retains."""
-    values = classes.select("node", "n", F.explode("sketch").alias("value"))
-    # written first, the counts let a join split the list of a very common value over several tasks
-    shared = materialize(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value"), "shared")
-    return values.join(shared, "value")
+def _posts(classes: DataFrame, percent: int) -> DataFrame:
+    """The inverted lists: value, node and n, without values and nodes that are in no link.
+
+    A linked set has at least `percent` in 100 of this one's shingles, so it
+    shares at least one retained value for each EVERY of those.
+    """
+    lists = classes.select("node", "n", F.explode("sketch").alias("value"))
+    fewest = F.ceil(F.ceil(percent * F.col("n") / F.lit(100.0)) / F.lit(float(EVERY)))
+    for _ in range(3):
+        # written first, the counts let a join split the list of a very common value over several tasks
+        shared = materialize(lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value"), "shared")
+        before, lists = lists, materialize(lists.join(shared, "value"), "lists")
+        nodes = lists.groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= fewest).select("node")
+        if hasattr(before, "_scratch_path"):
+            discard(before)
+        before, lists = lists, materialize(lists.join(nodes, "node"), "lists")
+        discard(before, shared)
+    return lists
 
 
 def _distinct(lists: DataFrame) -> DataFrame:
@@ -289,7 +304,7 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    lists = materialize(_posts(classes), "lists")
+    lists = _posts(classes, percent)
     # labels of the vertices that meet any other; the others stay alone
     labels = materialize(lists.select("node", F.col("node").alias("component")).distinct(), "labels")
     sets = materialize(_full_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels.select("node"), size), "sets")
