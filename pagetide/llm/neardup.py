@@ -1,38 +1,35 @@
 """Near-duplicate groups by bottom-k sketches of word-shingle sets.
 
-One hash function orders all shingles, only that very frequent ones come last,
-and a set's sketch is its k first, with k so large that no link is lost: the
-first shingle that two linked sets share is in both sketches. Inverted lists of
-retained values bring documents together; what the sketch of their union leaves
-possible drops most chance meetings, and full sets confirm the rest. Equal sets
-are one vertex from the start, and a list is not expanded into pairs: its
-members meet one leader, and only members of lists that are not yet in one
-component, and that can still reach another, are compared in blocks.
+One hash function gives each set a sketch, its k smallest hashes, with k so
+large that no link is lost: of the shingles that two linked sets share, the
+smallest are in both sketches. Inverted lists of retained hashes bring documents
+together; what the sketch of their union leaves possible drops most chance
+meetings, and full sets confirm the rest. Equal sets are one vertex from the
+start, and a list is not expanded into pairs: its members meet one leader, and
+only members of lists that are not yet in one component, and that can still
+reach another, are compared in blocks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import discard, materialize
+from pagetide.llm.suffixdedup import prefix_hashes, stretch_hashes
 
 #: Members of a list in a block; each task compares two blocks.
 BLOCK = 1024
-#: Frequent shingles that are ordered last, at most, and how often one must stand
-#: in so many shingles of a task to be among them. Any order gives the same links;
-#: with these last, a passage that many documents share makes no list of them all.
-FREQUENT, SOME, OF = 250_000, 3, 4_000_000
 #: Of this many shingles of a set, one more is retained than links need, so that linked sets share as many.
 EVERY = 10
 #: Characters of text that are hashed at a time.
-_CHARS_AT_ONCE = 4_000_000
+_CHARS_AT_ONCE = 500_000
+_BLANK = re.compile("[ \t-\r]")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -43,15 +40,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, one behind the other, and the number of each text's. Only A-Z are lower-cased."""
-    import xxhash
-
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
-    coded = lists.values.dictionary_encode()
-    words, codes = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
-    real = (words != "")[codes]  # blanks around a text leave empty words
-    ends = np.append(0, np.cumsum(real))[lists.offsets.to_numpy()]
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[codes][real], np.diff(ends)
+    """Hashes of the words of texts, one behind the other, and the number of each text's. Only A-Z are lower-cased."""
+    parts = [text.encode() for text in texts]
+    data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    data = data + np.where(data - np.uint8(65) < 26, np.uint8(32), np.uint8(0))
+    word = ~((data == 32) | (data - np.uint8(9) < 5))
+    edges = np.flatnonzero(np.diff(word, prepend=False))
+    begin, end = edges[::2], edges[1::2]
+    counts = np.diff(np.searchsorted(begin, np.cumsum([0, *[len(p) + 1 for p in parts]])))
+    return stretch_hashes(prefix_hashes(data), begin, end - begin), counts
 
 
 def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -66,82 +63,61 @@ def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of the word shingles of each whole text.
 
     Fewer words than `size` are one shingle; no words give none. Texts go in
-    groups of bounded length; a longer text takes some tens of bytes for each of
-    its words at a time.
+    groups of bounded length, and a longer one in parts that end at white space;
+    of it, some tens of bytes are held for each word.
     """
-    at = 0
-    while at < len(texts):
-        group, held = [], 0
-        while at < len(texts) and (not group or held + len(texts[at] or "") <= _CHARS_AT_ONCE):
-            group.append(texts[at] or "")
-            held += len(group[-1])
-            at += 1
-        hashes, counts = _word_hashes(group)
-        ends = np.cumsum(counts)
-        rolled = _shingles(hashes, size) if len(hashes) >= size else hashes[:0]
-        for end, n in zip(ends.tolist(), counts.tolist()):
-            if n >= size:
-                yield np.unique(rolled[end - n : end - size + 1])
-            else:
-                yield _shingles(hashes[end - n : end], n) if n else hashes[:0]
+    group: list[str] = []
+
+    def flush() -> Iterator[np.ndarray]:
+        yield from _sets(*_word_hashes(group), size)
+
+    held = 0
+    for text in texts:
+        text = text or ""
+        if group and held + len(text) > _CHARS_AT_ONCE:
+            yield from flush()
+            group, held = [], 0
+        if len(text) <= _CHARS_AT_ONCE:
+            group.append(text)
+            held += len(text)
+            continue
+        parts, at = [], 0
+        while len(text) - at > _CHARS_AT_ONCE and (cut := _BLANK.search(text, at + _CHARS_AT_ONCE)):
+            parts.append(_word_hashes([text[at : cut.start()]])[0])
+            at = cut.end()
+        hashes = np.concatenate([*parts, _word_hashes([text[at:]])[0]])
+        yield from _sets(hashes, np.array([len(hashes)]), size)
+    if group:
+        yield from flush()
+
+
+def _sets(hashes: np.ndarray, counts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    rolled = _shingles(hashes, size) if len(hashes) >= size else hashes[:0]
+    for end, n in zip(np.cumsum(counts).tolist(), counts.tolist()):
+        if n >= size:
+            yield np.unique(rolled[end - n : end - size + 1])
+        else:
+            yield _shingles(hashes[end - n : end], n) if n else hashes[:0]
 
 
 def retained(n: int, percent: int) -> int:
-    """How many of its n shingles, the first in order, a set keeps.
+    """How many of its n smallest hashes a set keeps.
 
     Linked sets share at least `percent` in 100 of either. The j-th of what they
-    share has at least j - 1 less behind it, so both keep the first j if j more
-    are kept than what may differ: one for each EVERY shingles.
+    share, in ascending order, is no further behind than j and all that may
+    differ, so both keep the first j: one for each EVERY shingles.
     """
     return n - -(-percent * n // 100) + -(-n // EVERY) if n else 0
 
 
-def frequent(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the most frequent shingles over all documents, FREQUENT at most."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-
-        def flush() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= SOME
-            return pd.DataFrame({"value": values[some].view(np.int64), "n": counts[some]})
-
-        for batch in batches:
-            for one in shingle_sets(batch["text"].tolist(), size):
-                held.append(one)
-                n += len(one)
-                if n >= OF:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    counts = docs.select("text").mapInPandas(count, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-    return np.sort(counts.orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()["value"].to_numpy(np.int64).view(np.uint64))
-
-
 def sketches(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the whole set) and sketch of every document.
-
-    The sketch holds places in the order of all shingles, ascending as unsigned
-    numbers: the upper 63 bits of the hash behind a bit that is set for
-    frequent ones.
-    """
-    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
+    """doc_id, n_shingles, set_id (128-bit hash of the whole set) and sketch of every document."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        common = np.append(last.value, np.uint64(0xFFFFFFFFFFFFFFFF))
-
-        def sketch(one: np.ndarray) -> np.ndarray:
-            often = common[np.searchsorted(common, one)] == one
-            order = np.concatenate([one[~often] >> np.uint64(1), (one[often] >> np.uint64(1)) | np.uint64(1 << 63)])
-            return order[: retained(len(one), percent)].view(np.int64)
-
         for batch in batches:
-            out = [(len(s), xxhash.xxh3_128_digest(s), sketch(s)) for s in shingle_sets(batch["text"].tolist(), size)]
+            out = [(len(s), xxhash.xxh3_128_digest(s), s[: retained(len(s), percent)].view(np.int64)) for s in shingle_sets(batch["text"].tolist(), size)]
             frame = pd.DataFrame(out, columns=["n_shingles", "set_id", "sketch"])
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield frame
@@ -343,11 +319,10 @@ def _likely(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     """
     side = lambda s: brief.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # places are ordered as unsigned numbers, so the last of a sketch is its largest
+    # hashes are ordered as unsigned numbers, so the last of a sketch is its largest
     unsigned = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)))
     both = both.withColumn("_t", F.least(unsigned(F.element_at("sketch_a", -1)), unsigned(F.element_at("sketch_b", -1))))
     known = lambda s: F.size(F.filter(f"sketch_{s}", lambda x: unsigned(x) <= F.col("_t")))
-    # two shingles may share a place, which only raises the bound
     both = both.withColumn("_c", F.size(F.array_intersect("sketch_a", "sketch_b")).cast("long"))
     most = F.col("_c") + F.least(F.col("n_a") - known("a"), F.col("n_b") - known("b"))
     return both.where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()

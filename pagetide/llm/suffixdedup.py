@@ -54,7 +54,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def stretch_hashes(prefix: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+def stretch_hashes(prefix: np.ndarray, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     return _mix((prefix[starts + length] - prefix[starts]) * _powers(len(prefix))[1][starts])
 
 

@@ -60,16 +60,6 @@ def test_groups_equal_brute_force(spark):
         assert out == {i: (n, c, c == i) for i, (n, c) in brute(rows, size, 80).items()}
 
 
-def test_frequent_shingles_go_last_and_lose_no_link(spark, monkeypatch):
-    rows = corpus(2)
-    docs = spark.createDataFrame(rows, SCHEMA)
-    monkeypatch.setattr(neardup, "SOME", 3)
-    often = neardup.frequent(docs.coalesce(1), 5)
-    assert 60 <= len(often) < 2000
-    out = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(docs.coalesce(1), 5).collect()}
-    assert out == brute(rows, 5, 80)
-
-
 def test_shingles_of_whole_texts_in_any_grouping(monkeypatch):
     texts = [None, "", " \t", "Ab", "ab cD  e\x0bf\x0cg\r\nh", "É É é \x1c x \u2003 y", "a " * 400 + "b", *["w%d w%d w%d w%d w%d w%d" % tuple(range(i, i + 6)) for i in range(50)]]
     whole = [x.tolist() for x in neardup.shingle_sets(texts, 4)]
