@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.llm.common import tidy
 from pagetide.llm.vocabulary import token_bytes
 
 #: A cut where the low bits of the rolling hash are zero: so many bytes apart on average.
@@ -220,7 +221,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             ids = [encoder.encode(text) if text else np.empty(0, np.uint32) for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids]})
 
-    return _typed(gather(docs).mapInPandas(rows, "doc_id string, n_tokens bigint, ids binary"), docs)
+    return _typed(gather(docs).mapInPandas(tidy(rows), "doc_id string, n_tokens bigint, ids binary"), docs)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -231,7 +232,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [encoder.decode(np.frombuffer(raw, "<u4")) for raw in batch["ids"]]})
 
-    return _typed(encoded.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(rows, "doc_id string, text string"), encoded)
+    return _typed(encoded.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(tidy(rows), "doc_id string, text string"), encoded)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -254,4 +255,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             digests.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield digests
 
-    return _typed(gather(docs).mapInPandas(rows, "doc_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string"), docs)
+    return _typed(gather(docs).mapInPandas(tidy(rows), "doc_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string"), docs)

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.llm.common import tidy
+
 ORDER = 4
 #: Bounds of the sample that the models are fitted on: documents of a language,
 #: one in so many of which calibrates the rejection instead of counting.
@@ -27,7 +29,7 @@ MARGIN = 1.5
 STEADY = 400
 UNKNOWN = "und"
 
-_CHARS_AT_ONCE = 500_000
+_CHARS_AT_ONCE = 200_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Models:
     of no language, which reject every text.
     """
     sample = _sample(docs, per_language)
-    counted = sample.where(~F.col("calibrates")).select("lang", "text").mapInPandas(_count, "lang string, n int, key bigint, suffix bigint, context bigint, c bigint")
+    counted = sample.where(~F.col("calibrates")).select("lang", "text").mapInPandas(tidy(_count), "lang string, n int, key bigint, suffix bigint, context bigint, c bigint")
     grams = counted.groupBy("lang", "n", "key", "suffix", "context").agg(F.sum("c").alias("c")).toPandas()
     languages = sorted(grams["lang"].unique())
     if not languages:
@@ -248,7 +250,7 @@ def _calibrate(models: Models, sample: DataFrame) -> Models:
             yield pd.DataFrame({"lang": batch["lang"], "h": entropy[np.arange(len(own)), own], "n": length})
 
     # one row for each calibration document, so bounded as the sample is
-    seen = sample.select("lang", "text").mapInPandas(measure, "lang string, h double, n bigint").toPandas()
+    seen = sample.select("lang", "text").mapInPandas(tidy(measure), "lang string, h double, n bigint").toPandas()
     for column, lang in enumerate(languages):
         own = seen[(seen["lang"] == lang) & (seen["n"] > 0)]
         if len(own):
@@ -278,7 +280,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
     # ids go through pandas as text, which beside nulls would make them floating point
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = keyed.mapInPandas(judge, "doc_id string, lang_pred string, score double, cross_entropy double, rejected boolean")
+    found = keyed.mapInPandas(tidy(judge), "doc_id string, lang_pred string, score double, cross_entropy double, rejected boolean")
     own = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
     return found.select(own, "lang_pred", "score", F.nanvl("cross_entropy", F.lit(None).cast("double")).alias("cross_entropy"), "rejected")
 
@@ -287,8 +289,11 @@ def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
     """The rows of `docs`, all columns, whose language is not rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield ~shared.value.predict([t or "" for t in batch])["rejected"]
 
+    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return tidy(judged)(batches)
+
     return docs.where(F.pandas_udf(accepted, "boolean")("text"))

@@ -5,9 +5,9 @@ large that no link is lost: of the shingles that two linked sets share, the
 smallest are in both sketches. Inverted lists of retained hashes bring documents
 together; what the sketch of their union leaves possible drops most chance
 meetings, and full sets confirm the rest. Equal sets are one vertex from the
-start, and a list is not expanded into pairs: its members meet one leader, and
-only members of lists that are not yet in one component, and that can still
-reach another, are compared in blocks.
+start, and a list is not expanded into pairs: its members meet one leader in
+each of a few rounds, and only members of lists that are then not in one
+component, and that can still reach another, are compared in blocks.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import discard, materialize
+from pagetide.llm.common import materialize, tidy
 from pagetide.llm.suffixdedup import prefix_hashes, stretch_hashes
 
 #: Members of a list in a block; each task compares two blocks.
 BLOCK = 1024
 #: Of this many shingles of a set, one more is retained than links need, so that linked sets share as many.
-EVERY = 10
+EVERY = 5
+#: Rounds in which every list is led by one member, before what is left is compared in blocks.
+ROUNDS = 4
 #: Characters of text that are hashed at a time.
 _CHARS_AT_ONCE = 500_000
 _BLANK = re.compile("[ \t-\r]")
@@ -124,7 +126,7 @@ def sketches(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     # ids go through pandas as text, which beside nulls would make them floating point
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = keyed.mapInPandas(rows, "doc_id string, n_shingles bigint, set_id binary, sketch array<bigint>")
+    found = keyed.mapInPandas(tidy(rows), "doc_id string, n_shingles bigint, set_id binary, sketch array<bigint>")
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -136,7 +138,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"node": batch["doc_id"], "members": [s.view(np.int64) for s in shingle_sets(batch["text"].tolist(), size)]})
 
     found = docs.select("doc_id", "text").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
-    return found.mapInPandas(rows, "node bigint, members array<bigint>")
+    return found.mapInPandas(tidy(rows), "node bigint, members array<bigint>")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -161,21 +163,23 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _posts(classes: DataFrame, percent: int) -> DataFrame:
     """The inverted lists: value, node and n, without values and nodes that are in no link.
 
-    A linked set has at least `percent` in 100 of this one's shingles, so it
-    shares at least one retained value for each EVERY of those.
+    A linked set has at least `percent` in 100 of this one's shingles, so the
+    two share at least `fewest` retained values, one for each EVERY of those.
+    Sets that share fewer with all others are out, and so are values that one
+    set alone then retains. Of the rest, each set is listed under all but its
+    `fewest` - 1 most common values: linked ones still meet in a list.
     """
     lists = classes.select("node", "n", F.explode("sketch").alias("value"))
     fewest = F.ceil(F.ceil(percent * F.col("n") / F.lit(100.0)) / F.lit(float(EVERY)))
-    for _ in range(3):
+    for last in (False, True):
         # written first, the counts let a join split the list of a very common value over several tasks
-        shared = materialize(lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value"), "shared")
-        before, lists = lists, materialize(lists.join(shared, "value"), "lists")
-        nodes = lists.groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= fewest).select("node")
-        if hasattr(before, "_scratch_path"):
-            discard(before)
-        before, lists = lists, materialize(lists.join(nodes, "node"), "lists")
-        discard(before, shared)
-    return lists
+        shared = materialize(lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+        before, lists = lists, materialize(lists.drop("df").join(shared, "value"), "lists")
+        nodes = lists.groupBy("node", "n").agg(F.count("*").alias("c"), *([F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v")] if last else [])).where(F.col("c") >= fewest)
+        if not last:
+            lists = materialize(lists.join(nodes.select("node"), "node"), "lists")
+    rare = F.slice("v", 1, (F.col("c") - fewest + 1).cast("int"))
+    return materialize(nodes.select("node", "n", F.explode(rare).alias("v")).select(F.col("v.value").alias("value"), "node", "n"), "lists")
 
 
 def _distinct(lists: DataFrame) -> DataFrame:
@@ -286,13 +290,20 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sets = materialize(_full_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels.select("node"), size), "sets")
     brief = materialize(classes.join(labels.select("node"), "node").select("node", "n", "sketch"), "brief")
     # First every list is led by its smallest member: families of copies become one component.
-    lists = materialize(_distinct(materialize(_open(lists, labels), "open")), "open")
-    lead = materialize(lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("l")).select("value", F.col("l.node").alias("a"), F.col("l.n").alias("n_a")), "lead")
-    met = lists.withColumnRenamed("node", "b").join(lead, "value").where(f"a <> b AND 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
-    pairs = met.select("a", "b").distinct()
-    labels = _merge(labels, _confirm(_likely(pairs, brief, percent), sets, percent))
+    # A leader has met all others of its list and leaves it, so most lists are soon done with.
+    for i in range(ROUNDS):
+        lists = _open(lists.select("value", "node", "n"), labels)
+        lists = materialize(lists if i else _distinct(materialize(lists, "open")), "open")
+        if lists.isEmpty():
+            break
+        lead = lists.groupBy("value").agg(F.min(F.struct("node", "n", "component")).alias("l"))
+        lead = materialize(lead.select("value", F.col("l.node").alias("a"), F.col("l.n").alias("n_a"), F.col("l.component").alias("c_a")), "lead")
+        lists = materialize(lists.withColumnRenamed("node", "b").join(lead, "value").where("a <> b"), "met")
+        near = lists.where(f"component <> c_a AND 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
+        labels = _merge(labels, _confirm(_likely(near.select("a", "b").distinct(), brief, percent), sets, percent))
+        lists = lists.select("value", F.col("b").alias("node"), "n")
     # Then what is still open and able is compared in blocks.
-    lists = materialize(_able(materialize(_open(lists.drop("component"), labels), "open"), sets, labels, percent), "open")
+    lists = materialize(_able(materialize(_open(lists.select("value", "node", "n"), labels), "open"), sets, labels, percent), "open")
     if not lists.isEmpty():
         labels = _merge(labels, _compare_blocks(lists, sets, percent))
     # rows of one doc_id but different sets join their classes

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import materialize, shuffle_partitions
+from pagetide.llm.common import materialize, shuffle_partitions, tidy
 from pagetide.llm.vocabulary import BYTE_OF
 
 CAPACITY = 4096
@@ -159,7 +159,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
 
     # ids go through pandas as text, which beside nulls would make them floating point
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = keyed.mapInPandas(pieces, "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
+    found = keyed.mapInPandas(tidy(pieces), "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

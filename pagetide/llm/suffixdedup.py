@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import discard, materialize, shuffle_partitions
+from pagetide.llm.common import discard, materialize, shuffle_partitions, tidy
 
 LENGTH, GRAM = 200, 48
 #: Different surroundings in a bucket; one of more is dealt by longer anchors.
@@ -124,7 +124,7 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield pd.concat(held)
 
-    return docs.where(F.octet_length("text") >= length).select("_d", "_t", "text").mapInPandas(gathered, "_d bigint, _t bigint, lo int, more int, off int, g bigint, u bigint, v bigint")
+    return docs.where(F.octet_length("text") >= length).select("_d", "_t", "text").mapInPandas(tidy(gathered), "_d bigint, _t bigint, lo int, more int, off int, g bigint, u bigint, v bigint")
 
 
 def _around(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _around(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame(out, columns=[*_CLASS, "off", "bytes"])
 
     lists = wanted.groupBy("_d", "_t").agg(F.collect_list(F.struct(*_CLASS, "off", "lo", "more")).alias("classes"))
-    return docs.select("_d", "_t", "text").dropDuplicates(["_d", "_t"]).join(lists, ["_d", "_t"]).select("text", "classes").mapInPandas(rows, "g bigint, u bigint, v bigint, off int, bytes binary")
+    return docs.select("_d", "_t", "text").dropDuplicates(["_d", "_t"]).join(lists, ["_d", "_t"]).select("text", "classes").mapInPandas(tidy(rows), "g bigint, u bigint, v bigint, off int, bytes binary")
 
 
 def sort_suffixes(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, segments: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +264,7 @@ def _compare(buckets: DataFrame, length: int) -> DataFrame:
         return pd.DataFrame(out, columns=[*_CLASS, "spans"])
 
     n = shuffle_partitions(buckets.sparkSession)
-    return buckets.repartition(n, "key").sortWithinPartitions("key").mapInPandas(rows, "g bigint, u bigint, v bigint, spans array<struct<a:int,b:int>>")
+    return buckets.repartition(n, "key").sortWithinPartitions("key").mapInPandas(tidy(rows), "g bigint, u bigint, v bigint, spans array<struct<a:int,b:int>>")
 
 
 _PIECE = "key bigint, g bigint, u bigint, v bigint, base int, core int, wide int, off int, bytes binary"
@@ -295,7 +295,7 @@ def _longer(pieces: DataFrame, length: int) -> DataFrame:
                         out.append((key, g, u, v, base + a, begin - a, size, off - a, data[a : b + length]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECE.split(", ")])
 
-    return pieces.mapInPandas(rows, _PIECE)
+    return pieces.mapInPandas(tidy(rows), _PIECE)
 
 
 def _same(pieces: DataFrame, length: int) -> DataFrame:
@@ -388,7 +388,11 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int | N
                 [(len(t.encode()), n, runs, kept, kept.decode("utf-8", "ignore")) for t, (n, runs, kept) in zip(texts, out)], columns=[*added, "text"]
             )
 
-    result = F.pandas_udf(cut, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_bytes binary, text string")
+    def tidied(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        return tidy(cut)(batches)
+
+    # once a row: a condition on the result must not have the texts cut again
+    result = F.pandas_udf(tidied, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_bytes binary, text string").asNondeterministic()
     joined = keyed.join(spans, ["_d", "_t"], "left").withColumn("_cut", result("text", "spans"))
     left = joined.select(F.col("row").withField("text", F.col("_cut.text")).alias("row"), *[f"_cut.{c}" for c in added])
     return left.select("row.*", *added)
