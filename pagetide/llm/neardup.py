@@ -18,15 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagetide.llm.common import materialize, tidy
+from pagetide.llm.common import discard, materialize, tidy
 from pagetide.llm.suffixdedup import prefix_hashes, stretch_hashes
 
 #: Members of a list in a block; each task compares two blocks.
 BLOCK = 1024
 #: Of this many shingles of a set, one more is retained than links need, so that linked sets share as many.
-EVERY = 5
+EVERY = 10
 #: Rounds in which every list is led by one member, before what is left is compared in blocks.
 ROUNDS = 4
 #: Characters of text that are hashed at a time.
@@ -169,15 +170,16 @@ def _posts(classes: DataFrame, percent: int) -> DataFrame:
     set alone then retains. Of the rest, each set is listed under all but its
     `fewest` - 1 most common values: linked ones still meet in a list.
     """
-    lists = classes.select("node", "n", F.explode("sketch").alias("value"))
     fewest = F.ceil(F.ceil(percent * F.col("n") / F.lit(100.0)) / F.lit(float(EVERY)))
-    for last in (False, True):
-        # written first, the counts let a join split the list of a very common value over several tasks
-        shared = materialize(lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-        before, lists = lists, materialize(lists.drop("df").join(shared, "value"), "lists")
-        nodes = lists.groupBy("node", "n").agg(F.count("*").alias("c"), *([F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v")] if last else [])).where(F.col("c") >= fewest)
-        if not last:
-            lists = materialize(lists.join(nodes.select("node"), "node"), "lists")
+    lists = classes.select("node", F.explode("sketch").alias("value"))
+    # most values are in one set only; one pass over them in order shows it, however many sets hold one
+    beside = W.partitionBy("value").orderBy("node")
+    met = lists.withColumn("met", F.coalesce(F.lag("node").over(beside), F.lead("node").over(beside))).where("met IS NOT NULL").select("value", "node")
+    met = materialize(met, "lists")
+    nodes = met.groupBy("node").agg(F.count("*").alias("c")).join(classes.select("node", "n"), "node").where(F.col("c") >= fewest)
+    lists = materialize(met.join(nodes.select("node", "n"), "node"), "lists")
+    shared = materialize(lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    nodes = lists.join(shared, "value").groupBy("node", "n").agg(F.count("*").alias("c"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v")).where(F.col("c") >= fewest)
     rare = F.slice("v", 1, (F.col("c") - fewest + 1).cast("int"))
     return materialize(nodes.select("node", "n", F.explode(rare).alias("v")).select(F.col("v.value").alias("value"), "node", "n"), "lists")
 
@@ -279,16 +281,19 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     count as one vertex; a row with a null doc_id has no component and is kept.
     Other columns are left out, and an empty table stays empty.
     """
-    everything = materialize(sketches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, percent), "sketches")
-    rows = everything.where("doc_id IS NOT NULL")
-    full = rows.where("n_shingles > 0")
-    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sketched = materialize(sketches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size, percent), "sketches")
+    everything = materialize(sketched.drop("sketch"), "rows")
+    full = everything.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = sketched.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
+    discard(sketched)
     lists = _posts(classes, percent)
     # labels of the vertices that meet any other; the others stay alone
     labels = materialize(lists.select("node", F.col("node").alias("component")).distinct(), "labels")
     sets = materialize(_full_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels.select("node"), size), "sets")
     brief = materialize(classes.join(labels.select("node"), "node").select("node", "n", "sketch"), "brief")
+    of_set = materialize(classes.select("set_id", "node"), "sets_of")
+    discard(classes)
     # First every list is led by its smallest member: families of copies become one component.
     # A leader has met all others of its list and leaves it, so most lists are soon done with.
     for i in range(ROUNDS):
@@ -307,7 +312,7 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if not lists.isEmpty():
         labels = _merge(labels, _compare_blocks(lists, sets, percent))
     # rows of one doc_id but different sets join their classes
-    own = full.select("doc_id", "set_id").join(classes.select("set_id", "node"), "set_id").join(labels, "node", "left")
+    own = full.select("doc_id", "set_id").join(of_set, "set_id").join(labels, "node", "left")
     own = own.select("doc_id", F.coalesce("component", "node").alias("component")).distinct()
     own = materialize(own, "own")
     several = own.groupBy("doc_id").agg(F.count("*").alias("c"), F.collect_set("component").alias("all")).where("c > 1")
