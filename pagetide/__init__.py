@@ -1 +1 @@
-"""Web, app and product analytics on PySpark."""
+"""Batches of client events to daily aggregates, cohorts and reports, as Spark jobs."""

@@ -103,23 +103,58 @@ def client_ip(connecting: Column, forwarded: Column, peer: Column) -> Column:
 
 def ip_number(ip: Column) -> Column:
     """Number of an IPv4 address, null for anything else."""
-    parts = F.split(F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), ip), r"\.")
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    parts = F.split(F.when(ip.rlike(rf"^{octet}(\.{octet}){{3}}$"), ip), r"\.")
     return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
 
 
-def country_of_ip(df: DataFrame, ip: str, ranges: DataFrame, block_bits: int = 16) -> DataFrame:
-    """`df` with `country` from a table of disjoint ranges (ip_lo, ip_hi, country); empty if in none.
-
-    Ranges are split by their address blocks, so that the range join has a key
-    and either side may be shuffled; a range over many blocks gives one row each.
+def ip6_digits(ip: Column) -> Column:
+    """The 32 hex digits of an IPv6 address, which sort as the addresses do; null for anything else."""
+    bare = F.lower(F.regexp_replace(ip, "%.*$", ""))
+    halves = F.split(F.when(bare.contains(":") & ~bare.rlike("::.*::|:::"), bare), "::")
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda x: x != "")
+    left, right = groups(0), groups(1)
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    valid = F.forall(full, lambda x: x.rlike("^[0-9a-f]{1,4}$")) & (F.size(full) == 8)
+    # two colons stand for a group at least, and single ones neither begin nor end an address
+    shape = F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0) & ~bare.rlike("^:[^:]|[^:]:$")
+    return F.when(valid & shape, F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ""))
+
+
+def country_of_ip(df: DataFrame, ip: str, ranges: DataFrame, ranges6: DataFrame | None = None, block_bits: int = 16) -> DataFrame:
+    """`df` with `country` from tables of disjoint ranges; empty if in none, and for what is no address.
+
+    `ranges` has ip_lo, ip_hi (numbers) and country; `ranges6` has them as the
+    32 hex digits of IPv6 addresses. Ranges are split by their address blocks,
+    so that the range join has a key and either side may be shuffled; a range
+    over many blocks gives one row each. IPv6 blocks are of /32, or the /16
+    where a range is wider. Rows without an address take no part in the joins.
     """
+    columns = [*df.drop("country").columns, "country"]
+    marked = df.drop("country").withColumn("_ip", ip_number(F.col(ip))).withColumn("_ip6", ip6_digits(F.col(ip)))
+    none = marked.where("_ip IS NULL AND _ip6 IS NULL").withColumn("country", F.lit(""))
+    out = _in_ranges4(marked.where("_ip IS NOT NULL"), ranges, block_bits).select(*columns).unionByName(none.select(*columns))
+    six = marked.where("_ip6 IS NOT NULL")
+    if ranges6 is None:
+        return out.unionByName(six.withColumn("country", F.lit("")).select(*columns))
+    number = lambda c, n: F.conv(F.substring(c, 1, n), 16, 10).cast("long")
+    wide = number("ip_hi", 8) - number("ip_lo", 8) > 65536
+    blocks = F.when(wide, F.transform(F.sequence(number("ip_lo", 4), number("ip_hi", 4)), lambda x: -x - 1)).otherwise(F.sequence(number("ip_lo", 8), number("ip_hi", 8)))
+    keyed = ranges6.select(F.explode(blocks).alias("_block"), "ip_lo", "ip_hi", F.col("country").alias("_country"))
+    found = six.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.explode(F.array(number("_ip6", 8), -number("_ip6", 4) - 1)))
+    inside = (found["_block"] == keyed["_block"]) & F.col("_ip6").between(F.col("ip_lo"), F.col("ip_hi"))
+    named = found.join(keyed, inside, "left").groupBy("_row", *[F.col(c) for c in columns[:-1]]).agg(F.coalesce(F.max("_country"), F.lit("")).alias("country"))
+    return out.unionByName(named.select(*columns))
+
+
+def _in_ranges4(df: DataFrame, ranges: DataFrame, block_bits: int) -> DataFrame:
     size = 1 << block_bits
     keyed = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("ip_lo") / size), F.floor(F.col("ip_hi") / size))))
     keyed = keyed.select("_block", "ip_lo", "ip_hi", F.col("country").alias("_country"))
-    numbered = df.drop("country").withColumn("_ip", ip_number(F.col(ip))).withColumn("_block", F.floor(F.col("_ip") / size))
+    numbered = df.withColumn("_block", F.floor(F.col("_ip") / size))
     inside = (numbered["_block"] == keyed["_block"]) & F.col("_ip").between(F.col("ip_lo"), F.col("ip_hi"))
-    joined = numbered.join(keyed, inside, "left").withColumn("country", F.coalesce("_country", F.lit("")))
-    return joined.select(*df.drop("country").columns, "country")
+    return numbered.join(keyed, inside, "left").withColumn("country", F.coalesce("_country", F.lit("")))
 
 
 def enrich_hits(raw: DataFrame) -> DataFrame:

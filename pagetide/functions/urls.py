@@ -12,7 +12,7 @@ from pagetide.functions.enrich import url_host
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 _TAIL = _SCHEME + r"[^/?#]*"
-#: Shapes that are never names of routes, and two that only sometimes are.
+# The shapes of ids; the last two are masked only where a mask asks for them.
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 ULID = r"^[0-7][0-9A-HJKMNP-TV-Z]{25}$"
 NUMERIC = r"^[0-9]+$"

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide import schemas
 from pagetide.operators import cohorts
 from pagetide.plans.views import VIEWS, Lazy, Tables, retention_cells
+from pagetide.sources import store
 
 _FAMILIES = ("web", "product", "app")
 
@@ -76,6 +77,54 @@ def daily_pass(t: Tables, today: datetime.date, known_actors: DataFrame | None =
     return Pass(aggregates, days, found, cells, raw)
 
 
+def age_out(spark: SparkSession, root: str, t: Tables, today: datetime.date) -> dict[str, str]:
+    """Run the daily pass on the stored tables under `root`: families by name, aggregates, agg_days.
+
+    For each project, its aged-out days are aggregated and written, then noted,
+    and only then dropped from the raw tables, so a pass that stops anywhere can
+    run again. A project that fails leaves the others alone; the result has its
+    error. There are a few days for each project, and one job an aggregate.
+    """
+    failed = {}
+    for project in [r["alias"] for r in t.projects.where("NOT archived").select("alias").collect()]:
+        own = lambda df: df.where(F.col("project") == project)  # noqa: B023, E731
+        try:
+            part = replace(t, web=own(t.web), app=own(t.app), product=own(t.product), projects=t.projects.where(F.col("alias") == project))
+            done = daily_pass(part, today)
+            noted = done.agg_days if t.agg_days is None else done.agg_days.join(t.agg_days, ["family", "project", "day"], "left_anti")
+            days = own(noted).collect()
+            for name, (family, _) in VIEWS.items():
+                if any(r["family"] == family for r in days):
+                    store.replace_days(done.aggregates[name], f"{root}/aggregates/{name}")
+            if days:
+                spark.createDataFrame([(r["family"], r["project"], r["day"]) for r in days], schemas.AGG_DAYS).write.mode("append").parquet(f"{root}/agg_days")
+            for r in days:
+                if r["family"] in _FAMILIES:
+                    store.drop_partition(spark, f"{root}/{r['family']}", project, r["day"])
+        except Exception as error:  # one project's trouble is reported, not passed on
+            failed[project] = str(error)
+    return failed
+
+
+def opened(spark: SparkSession, root: str, projects: DataFrame, identities: DataFrame, **caps: int) -> Tables:
+    """The stored tables under `root`, raw and aggregated, for views and for the next pass."""
+    raw = [store.read_table(spark, f"{root}/{family}", schemas.FAMILIES[family]) for family in ("web", "app", "product")]
+    agg = {name: spark.read.parquet(path) for name in VIEWS if store.exists(spark, path := f"{root}/aggregates/{name}")}
+    return Tables(*raw, projects, identities, agg=agg, agg_days=store.read_table(spark, f"{root}/agg_days", schemas.AGG_DAYS), **caps)
+
+
+def erase_stored(spark: SparkSession, root: str, project: str) -> None:
+    """Drop every partition of a project under `root`; no other project's files are read or written."""
+    for name in (*_FAMILIES, *[f"aggregates/{v}" for v in VIEWS]):
+        store.drop_partition(spark, f"{root}/{name}", project)
+
+
+def rename_stored(spark: SparkSession, root: str, old: str, new: str) -> None:
+    """Move every partition of a project under `root` to another alias; no file is read or written."""
+    for name in (*_FAMILIES, *[f"aggregates/{v}" for v in VIEWS]):
+        store.move_project(spark, f"{root}/{name}", old, new)
+
+
 def merge_cells(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     """Retention cells where a recomputed cell wins only if its day still had all rows: counts never shrink."""
     keys = ["project", "surface", "cohort_day", "day_offset"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import datetime
+import secrets
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,7 @@ def stringify(value: Column) -> Column:
     """A JSON value as text: null is empty, numbers are shortest and without exponent, the rest is JSON."""
     kind = F.schema_of_variant(value)
     text = value.try_cast("string")
-    plain = F.coalesce(value.try_cast("decimal(38,12)").cast("string"), text)
-    number = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
+    number = plain_number(value.try_cast("double"))
     return (
         F.when(value.isNull() | (kind == "VOID"), "")
         .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT|BIGINT|INT)"), number)
@@ -38,6 +38,22 @@ def stringify(value: Column) -> Column:
     )
 
 
+def plain_number(number: Column) -> Column:
+    """The shortest digits of a double, without an exponent however large or small it is."""
+    text = number.cast("string")
+    mantissa = F.regexp_extract(text, r"^-?([0-9.]+)", 1)
+    whole, fraction = F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
+    digits = F.concat(whole, fraction)
+    point = F.length(whole) + F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    missing = point - F.length(digits)
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(missing >= 0, F.concat(digits, F.repeat(F.lit("0"), missing)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    )
+    return F.concat(F.when(text.startswith("-"), "-").otherwise(""), plain)
+
+
 def merge(batch: Column, event: Column) -> Column:
     """Attributes of the batch under those of the event."""
     none = F.create_map().cast("map<string,string>")
@@ -56,12 +72,6 @@ def unknown_reserved(attributes: Column) -> Column:
     return F.filter(F.map_keys(attributes), lambda k: k.startswith("$") & ~k.isin(RESERVED))
 
 
-def origin_pattern(allowed: str) -> str:
-    """Anchored pattern of an allowed origin: a lone star is anything, other stars stop at a slash."""
-    bare = allowed.rstrip("/")
-    return ".*" if bare == "*" else "[^/]*".join(map(re.escape, bare.split("*")))
-
-
 def _origin_allowed(origin: Column, allowed: Column) -> Column:
     bare = F.regexp_replace(origin, "/+$", "")
 
@@ -116,8 +126,29 @@ def authorise(envelopes: DataFrame, projects: DataFrame, keys: DataFrame) -> Dat
     return known.withColumn("reject_reason", reason)
 
 
+def check_salts(salts: DataFrame) -> None:
+    """Refuse salts whose times overlap, as an event in both would be stored twice. There are a few at most."""
+    after = F.lead("valid_from").over(W.orderBy("valid_from"))
+    if not salts.withColumn("_next", after).where(F.col("_next") < F.col("valid_to")).isEmpty():
+        raise ValueError("the times of two salts overlap")
+
+
+def rotate_salts(salts: DataFrame, now: datetime.datetime, hours: int = 24) -> DataFrame:
+    """Salts after a rotation: those whose time is over are destroyed, and now has one, drawn at random if need be.
+
+    Write the result over the old table; with a salt its hashes can be linked no more.
+    """
+    kept = salts.where(F.col("valid_to") > F.lit(now))
+    if not kept.where(F.col("valid_from") <= F.lit(now)).isEmpty():
+        return kept
+    later = kept.agg(F.min("valid_from")).first()[0]
+    end = min(filter(None, (now + datetime.timedelta(hours=hours), later)))
+    return kept.unionByName(salts.sparkSession.createDataFrame([(now, end, secrets.token_hex(32))], schemas.SALTS))
+
+
 def explode_events(batches: DataFrame, salts: DataFrame, raw_days: dict[str, int] | None = None) -> DataFrame:
     """One row for each event of the accepted batches, validated, timed and with its identity."""
+    check_salts(salts)
     days = raw_days or {family: kept for family, (kept, _) in schemas.RETENTION_DAYS.items()}
     good = batches.where("reject_reason IS NULL")
     # salts are few, one for each day that is still open
@@ -128,7 +159,7 @@ def explode_events(batches: DataFrame, salts: DataFrame, raw_days: dict[str, int
         text(F.col("b.attributes")).alias("_batch"), F.posexplode("b.events").alias("index", "e"),
     )
     rows = rows.withColumn("a", merge(F.col("_batch"), text(F.col("e.attributes")))).drop("_batch")
-    value = lambda k: F.coalesce(F.try_element_at("a", F.lit(k)), F.lit(""))
+    value = lambda k: F.left(F.coalesce(F.try_element_at("a", F.lit(k)), F.lit("")), F.lit(MAX_VALUE))
     name = F.coalesce(F.col("e.name"), F.lit(""))
     family = F.when(name == "$pageview", "web").when(name == "$screen_view", "app").otherwise("product")
     given = F.coalesce(F.col("e.id"), F.lit(""))
@@ -137,6 +168,8 @@ def explode_events(batches: DataFrame, salts: DataFrame, raw_days: dict[str, int
         .when((given != "") & ~given.rlike(UUID), "id is not a UUID")
         .when((name == "$pageview") & (value("$path") == ""), "$path is required")
         .when((name == "$screen_view") & (value("$screen") == ""), "$screen is required")
+        # an id hashed without a secret could be guessed from the hash
+        .when(F.col("salt").isNull() & ((F.col("identity") != "identified") | ((value("$user_id") == "") & (value("$install_id") == ""))), "no salt for its time")
     )
     kept = F.lit(None)
     for one, default in days.items():
@@ -171,7 +204,11 @@ def families(events: DataFrame) -> dict[str, DataFrame]:
 def normalise(envelopes: DataFrame, projects: DataFrame, keys: DataFrame, salts: DataFrame, raw_days: dict[str, int] | None = None) -> Normalised:
     """All outputs of the ingest of a table of envelopes. No address or user agent is in any."""
     batches = authorise(envelopes, projects, keys)
-    events = explode_events(batches, salts, raw_days)
+    return outputs(batches, explode_events(batches, salts, raw_days))
+
+
+def outputs(batches: DataFrame, events: DataFrame) -> Normalised:
+    """What `normalise` gives, from authorised batches and their exploded events; keep those where several parts are used."""
     rejected_batches = batches.where("reject_reason IS NOT NULL").select("batch_id", "received_at", "project", F.lit(None).cast("int").alias("index"), "reject_reason")
     rejected = events.where("reject_reason IS NOT NULL").select("batch_id", "received_at", "project", "index", "reject_reason")
     unknown = events.where("reject_reason IS NULL").select("batch_id", "index", F.explode(F.transform("unknown", lambda k: F.concat(F.lit("unknown reserved key "), k))).alias("reason"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagetide.functions import enrich, hashing, urls
 from pagetide.operators import cohorts, lifecycle, normalise, rollups, sessions
-from pagetide.plans import reports, views
+from pagetide.plans import catalog_flows, reports, views
 from pagetide.plans.views import Tables
 from pagetide.sources import driver_tables as source
 from pagetide.sources import store
@@ -454,3 +454,5 @@ _add(
     lambda s, d: lifecycle.keyless_projects(source.registry(s, d)[0], source.registry(s, d)[1].withColumn("disabled", F.col("project") == "p1")),
     "SELECT alias FROM projects WHERE alias = 'p1'",
 )
+
+catalog_flows.register(_add, _report, _on, _ACCEPTED, _NOON, _OPEN)

@@ -16,11 +16,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.operators.rollups import APP_DIMENSIONS, WEB_DIMENSIONS
-from pagetide.plans.views import Tables, register_views, view
+from pagetide.plans.views import Tables, register_views, view, view_names
 
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 
+#: Functions, and words that may stand before a bracket, in a guarded query.
+QUERY_FUNCTIONS = frozenset(
+    "select from where and or not in exists any all as over on using case when then else having by union except intersect between like values filter within distinct interval "
+    "count sum avg min max count_if median stddev stddev_samp stddev_pop variance var_samp var_pop corr percentile approx_percentile approx_count_distinct mode first last any_value "
+    "bool_and bool_or every some collect_list collect_set array_agg listagg string_agg max_by min_by grouping grouping_id rollup cube sets "
+    "row_number rank dense_rank ntile lag lead first_value last_value nth_value percent_rank cume_dist "
+    "abs ceil ceiling floor round bround sqrt exp ln log log2 log10 pow power mod pmod sign signum greatest least div "
+    "coalesce nullif nvl nvl2 ifnull if isnull isnotnull cast try_cast try_divide "
+    "concat concat_ws length char_length lower upper trim ltrim rtrim substring substr left right replace split split_part instr locate lpad rpad reverse initcap startswith endswith contains regexp_extract regexp_replace regexp_like regexp_count "
+    "date date_add date_sub datediff date_diff date_trunc trunc date_format to_date to_timestamp year quarter month week weekofyear day dayofmonth dayofweek weekday dayofyear hour minute second last_day next_day add_months months_between make_date current_date extract unix_timestamp timestamp "
+    "array map struct named_struct size cardinality element_at try_element_at map_keys map_values array_contains explode posexplode sort_array array_join array_distinct".split()
+)
+
+
 def _in_range(t: Tables, name: str, project: str, frm: str, to: str) -> DataFrame:
     for day in (frm, to):
         if not _DATE.fullmatch(day):
@@ -119,13 +133,24 @@ def query(t: Tables, sql: str, max_rows: int = 1000, seconds: float = 10.0) -> t
     """Rows of one SELECT over the views, and whether more were cut off.
 
     It runs as a subquery, which nothing but a query can be, and is stopped
-    when its time is over. The views are those of `register_views`.
+    when its time is over. It may read the views of `register_views` and no
+    other table or file, and call QUERY_FUNCTIONS and no other function.
     """
     body = sql.strip().rstrip(";")
-    if not re.match(r"(?i)(select|with)\b", body) or ";" in re.sub(r"'[^']*'", "", body):
-        raise ValueError("one SELECT or WITH statement is asked for")
+    bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", body)
+    if not re.match(r"(?i)(select|with)\b", body) or re.search(r";|--|/\*|`|\$\{", bare):
+        raise ValueError("one SELECT or WITH statement, without comments and backquotes, is asked for")
+    unknown = {name.lower() for name in re.findall(r"([A-Za-z_]\w*)\s*\(", bare)} - QUERY_FUNCTIONS
     spark = t.web.sparkSession
+    # relations as the parser sees them, in subqueries too; a common table expression is one of the query's own
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(body).treeString()
+    own = {x.strip().lower() for group in re.findall(r"CTE \[([^\]]*)\]", tree) for x in group.split(",")}
+    own |= {x.lower() for x in re.findall(r"(?i)(?:\bwith|,)\s+(?:recursive\s+)?(\w+)\s*(?:\([^)]*\)\s*)?as\s*\(", bare)}
+    read = {x.replace(" ", "").lower() for x in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)}
+    unknown -= own
     register_views(spark, t)
+    if unknown or read - own - set(view_names()):
+        raise ValueError(f"not allowed in a query: {', '.join(sorted(unknown | (read - own - set(view_names()))))}")
     tag = f"pagetide-query-{uuid.uuid4().hex}"
     timer = threading.Timer(seconds, spark.interruptTag, [tag])
     spark.addTag(tag)

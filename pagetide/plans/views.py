@@ -131,14 +131,20 @@ def retention_cells(t: Tables) -> DataFrame:
     return cohorts.retention(cohorts.actors(t.app, t.web, t.product), t.app, t.web, t.product, t.projects)
 
 
+def view_names() -> list[str]:
+    return [*VIEWS, "v_retention", "v_events_flat", "projects", "identities"]
+
+
 def register_views(spark: SparkSession, t: Tables) -> list[str]:
     """Make every view, and projects and identities, temporary views of a session."""
-    names = [*VIEWS, "v_retention", "v_events_flat"]
-    for name in names:
-        view(name, t).createOrReplaceTempView(name)
-    t.projects.createOrReplaceTempView("projects")
-    t.identities.createOrReplaceTempView("identities")
-    return [*names, "projects", "identities"]
+    for name in view_names():
+        extracted(name, t).createOrReplaceTempView(name)
+    return view_names()
+
+
+def extracted(name: str, t: Tables) -> DataFrame:
+    """A view, or the projects or identities table."""
+    return {"projects": t.projects, "identities": t.identities}[name] if name in ("projects", "identities") else view(name, t)
 
 
 def export_extract(name: str, t: Tables, path: str, with_sentinel: bool = False) -> None:
@@ -147,10 +153,10 @@ def export_extract(name: str, t: Tables, path: str, with_sentinel: bool = False)
 
 
 def extract(name: str, t: Tables, with_sentinel: bool = False) -> DataFrame:
-    df = view(name, t)
+    df = extracted(name, t)
     if not with_sentinel:
         return df
     blank = {"string": F.lit(""), "date": F.lit("1970-01-01").cast("date"), "timestamp": F.lit("1970-01-01").cast("timestamp")}
-    row = df.sparkSession.range(1).select(*[blank.get(kind, F.lit(0)).cast(kind).alias(c) for c, kind in df.dtypes])
+    row = df.sparkSession.range(1).select(*[blank.get(kind, F.lit(None if "<" in kind else 0)).cast(kind).alias(c) for c, kind in df.dtypes])
     some = df.limit(1).agg(F.count("*").alias("_n"))
     return df.unionByName(row.crossJoin(some).where("_n = 0").drop("_n"))

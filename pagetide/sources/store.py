@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,17 +60,54 @@ def all_raw_days(*tables: DataFrame) -> DataFrame:
     return days.distinct().orderBy("day")
 
 
-def append_new(rows: DataFrame, path: str, schema: str) -> None:
-    """Add rows whose id is not yet in the partitions they go to; replays add nothing."""
+def append_new(rows: DataFrame, path: str, schema: str, within_days: int = 31) -> None:
+    """Add rows whose id is not stored yet; replays add nothing.
+
+    A replay can fall on another day, as an event without a time is taken for
+    the time received. So ids are looked for up to `within_days` around the
+    days of the rows, which is as long as raw days are kept; the days are
+    written into the condition, so that no other partition is read.
+    """
     spark = rows.sparkSession
     fresh = rows.dropDuplicates(["project", "id"])
     if exists(spark, path):
-        touched = fresh.select(*_PARTITION).distinct()
-        known = read_table(spark, path, schema).join(touched, _PARTITION, "left_semi").select("project", "id")
+        first, last = rows.agg(F.min("day"), F.max("day")).first()
+        if first is None:
+            return
+        span = datetime.timedelta(within_days)
+        known = read_table(spark, path, schema).where(F.col("day").between(F.lit(first - span), F.lit(last + span))).select("project", "id")
         fresh = fresh.join(known, ["project", "id"], "left_anti")
     fresh.write.mode("append").partitionBy(*_PARTITION).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def drop_partition(spark: SparkSession, path: str, project: str, day: datetime.date | None = None) -> bool:
+    """Delete a project's partition of a stored table, or one day of it, without reading a row; whether it was there."""
+    where, store = _files(spark, f"{path}/project={project}" + (f"/day={day}" if day else ""))
+    return store.delete(where, True)
+
+
+def move_project(spark: SparkSession, path: str, old: str, new: str) -> bool:
+    """Give a project's partition another alias, without reading a row; whether it was there. The new one must be free."""
+    where, store = _files(spark, f"{path}/project={old}")
+    to, _ = _files(spark, f"{path}/project={new}")
+    if store.exists(to):
+        raise ValueError(f"alias {new} is taken")
+    return store.exists(where) and store.rename(where, to)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors see (spark.checkpoint.dir); a local one where all run on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder or 'file://' + tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
 def replace_days(rows: DataFrame, path: str) -> None:
     """Replace exactly the (project, day) partitions that are in `rows`; no rows change nothing."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTITION).parquet(path)

@@ -8,13 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagetide import schemas
 from pagetide.operators import lifecycle
-from pagetide.operators.normalise import authorise, explode_events, families, minute_counters, normalise
+from pagetide.operators.normalise import authorise, explode_events, minute_counters, outputs
 from pagetide.operators.sessions import GAP_SECONDS
 from pagetide.sources.store import append_new
 
 
 def ingest_stream(envelopes: DataFrame, projects: DataFrame, keys: DataFrame, salts: DataFrame, tables: str, checkpoint: str, trigger: dict | None = None, agg_days: DataFrame | None = None) -> StreamingQuery:
-    """Write the three families, the quarantine and the display names of a stream of envelopes.
+    """Write the three families, quarantine, display names, notices, batch results and minute counters of a stream of envelopes.
 
     The checkpoint makes a batch run again after a failure, and appends leave
     out ids that are there already, so every event is stored once. Times are
@@ -23,8 +23,10 @@ def ingest_stream(envelopes: DataFrame, projects: DataFrame, keys: DataFrame, sa
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        out = normalise(batch, projects, keys, salts)
+        # parsed once: every output below reads the kept batches and events
+        batches = authorise(batch, projects, keys).persist()
+        events = explode_events(batches, salts).persist()
+        out = outputs(batches, events)
         for family, rows in (("web", out.web), ("app", out.app), ("product", out.product)):
             if agg_days is not None:
                 rows, late = lifecycle.late_rows(rows, agg_days, family)
@@ -32,8 +34,10 @@ def ingest_stream(envelopes: DataFrame, projects: DataFrame, keys: DataFrame, sa
             append_new(rows, f"{tables}/{family}", schemas.FAMILIES[family])
         # a batch that runs again replaces what it wrote
         out.quarantine.write.mode("overwrite").parquet(f"{tables}/quarantine/batch={number}")
-        out.names.write.mode("overwrite").parquet(f"{tables}/names/batch={number}")
-        batch.unpersist()
+        for name, rows in (("names", out.names), ("notices", out.notices), ("results", out.batch_results), ("minutes", minute_counters(events))):
+            rows.write.mode("overwrite").parquet(f"{tables}/{name}/batch={number}")
+        events.unpersist()
+        batches.unpersist()
 
     return envelopes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
@@ -63,7 +67,3 @@ def live_sessions(hits: DataFrame, gap_s: int = GAP_SECONDS, lateness: str = "10
         F.count("*").alias("hit_count"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("duration_sec")
     )
     return sessions.drop("w")
-
-
-def web_family(events: DataFrame) -> DataFrame:
-    return families(events)["web"]

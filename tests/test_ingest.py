@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagetide import schemas
@@ -88,6 +89,33 @@ def test_validation_times_and_identity(spark):
     assert made == [r.id for r in out.product.where("event_name = '$strange'").collect()]
 
 
+def test_salts_are_checked_and_rotated(spark):
+    salt = lambda *rows: spark.createDataFrame(list(rows), schemas.SALTS)
+    day = datetime.timedelta(1)
+    sent = frame(spark, envelope("b", "kd", [{"name": "x"}]))
+    with pytest.raises(ValueError, match="overlap"):
+        normalise.normalise(sent, *registry(spark)[:2], salt((NOON - day, NOON + day, "a"), (NOON, NOON + 2 * day, "b")))
+    out = normalise.normalise(sent, *registry(spark)[:2], salt())
+    assert out.product.count() == 0 and [r.reject_reason for r in out.quarantine.collect()] == ["no salt for its time"]
+    old = salt((NOON - 2 * day, NOON - day, "old"))
+    new = normalise.rotate_salts(old, NOON).collect()
+    assert len(new) == 1 and new[0].valid_from == NOON and new[0].valid_to == NOON + day and len(new[0].salt) == 64
+    assert normalise.rotate_salts(salt(*new), NOON + day / 2).collect() == new
+
+
+def test_plain_numbers(spark):
+    cases = {0.0: "0", 3.0: "3", -2.5: "-2.5", 1.5e30: "15" + "0" * 29, 1e-15: "0." + "0" * 14 + "1", 0.001: "0.001", 123456789.125: "123456789.125", 1e7: "10000000", -1.25e-7: "-0.000000125"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "x double, want string")
+    assert df.where(normalise.plain_number(F.col("x")) != F.col("want")).collect() == []
+
+
+def test_addresses(spark):
+    cases = [("1.2.3.4", 16909060, None), ("10.0.0.300", None, None), ("01.2.3.4", None, None), ("::", None, "0" * 32), ("2001:DB8::1", None, "20010db8" + "0" * 23 + "1"), ("1:2:3:4:5:6:7:8", None, "".join(f"000{i}" for i in range(1, 9)))]
+    cases += [(x, None, None) for x in ("1:2:3", ":1:2:3:4:5:6:7:8", "1::2::3", "12345::", "g::1", "", None, "1:2:3:4:5:6:7:8::", ":::")]
+    df = spark.createDataFrame(cases, "ip string, n long, h string")
+    assert df.where(~enrich.ip_number(F.col("ip")).eqNullSafe(F.col("n")) | ~enrich.ip6_digits(F.col("ip")).eqNullSafe(F.col("h"))).collect() == []
+
+
 def test_stream_equals_batch_and_replays_add_nothing(spark, tmp_path):
     events = [{"id": f"00000000-0000-4000-8000-0000000000{i:02}", "name": n, "attributes": {"$path": "/a", "$screen": "/s"}} for i, n in enumerate(["$pageview", "$screen_view", "signup", "signup"])]
     sent = frame(spark, envelope("b1", "ka", events), envelope("b2", "ka", events[:2]))

@@ -141,6 +141,28 @@ def test_daily_pass_and_late_rows(spark, hits):
     assert lifecycle.daily_pass(t, datetime.date(2026, 8, 12)).agg_days.count() == 0
 
 
+def test_a_failing_project_leaves_the_others_alone(spark, hits, tmp_path, monkeypatch):
+    both = hits.unionByName(hits.withColumn("project", F.lit("other")))
+    registry = projects(spark).unionByName(projects(spark).withColumn("alias", F.lit("other"))).withColumn("retention", F.lit(None).cast("struct<web:struct<raw_days:int,aggregate_days:int>,product:struct<raw_days:int,aggregate_days:int>,app:struct<raw_days:int,aggregate_days:int>>"))
+    root = str(tmp_path)
+    both.write.partitionBy("project", "day").parquet(f"{root}/web")
+    drop = store.drop_partition
+
+    def refuse(s, path, project, day=None):
+        if project == "app":
+            raise OSError("no disk")
+        return drop(s, path, project, day)
+
+    monkeypatch.setattr(store, "drop_partition", refuse)
+    names = spark.createDataFrame([], schemas.IDENTITIES)
+    failed = lifecycle.age_out(spark, root, lifecycle.opened(spark, root, registry, names), datetime.date(2026, 8, 20))
+    assert set(failed) == {"app"}
+    after = lifecycle.opened(spark, root, registry, names)
+    assert {r.project for r in after.web.select("project").distinct().collect()} == {"app"}
+    # the days are noted, so rows that could not be dropped are not counted twice
+    assert {(r.project, r.pageviews) for r in views.view("v_web_daily", after).collect()} == {("app", 4), ("other", 4)}
+
+
 def test_store_is_idempotent(spark, hits, tmp_path):
     path = str(tmp_path / "web")
     for _ in range(2):
@@ -169,9 +191,13 @@ def test_read_functions_refuse(spark, hits):
         reports.web_overview(t, "app", "yesterday", "2026-08-31")
     with pytest.raises(ValueError, match="no dimension"):
         reports.web_breakdown(t, "app", "2026-08-01", "2026-08-31", "nope")
-    for sql in ("DROP TABLE x", "SELECT 1; SELECT 2", ""):
+    spark.range(3).createOrReplaceTempView("secret")
+    outside = ["SELECT * FROM text.`/etc/passwd`", "SELECT * FROM secret", "SELECT java_method('java.lang.System', 'exit', '1')", "SELECT reflect('java.util.UUID', 'randomUUID')", "SELECT * FROM range(5)"]
+    outside += ["SELECT (SELECT max(id) FROM secret) AS m FROM v_web_daily", "WITH a AS (SELECT * FROM secret) SELECT * FROM a", "SELECT 1 -- x", "SELECT * FROM v_web_daily WHERE EXISTS (SELECT 1 FROM secret)", "SELECT * FROM parquet.secret"]
+    for sql in ("DROP TABLE x", "SELECT 1; SELECT 2", "", *outside):
         with pytest.raises(ValueError):
             reports.query(t, sql)
+    assert reports.query(t, "WITH a AS (SELECT path FROM v_web_pages WHERE path <> 'x;(y)') SELECT count(*) AS n FROM a")[0][0].n == 2
     assert reports.query(t, "SELECT path FROM v_web_pages", max_rows=1)[1] is True
     assert reports.query(t, "SELECT count(*) AS n FROM v_web_pages", max_rows=1)[1] is False
     assert views.extract("v_app_daily", t, with_sentinel=True).count() == 1
