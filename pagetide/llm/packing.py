@@ -29,7 +29,7 @@ from pagetide.llm.vocabulary import BYTE_OF
 CAPACITY = 4096
 END_ID = 1
 #: Characters of text that are split into words at a time.
-SPLIT_CHARS = 8_000_000
+SPLIT_CHARS = 2_000_000
 
 # The pieces of a word are those of the tokenizer's own pattern, for these characters.
 _SIMPLE, _LETTERS = "^[!-~À-ÖØ-öø-ÿ]+$", "^[a-zß-öø-ÿ]+$"

@@ -28,6 +28,7 @@ BUCKET = 2_000
 LOT = 2_000
 #: Places of a text that are looked at together, so that memory does not grow with a text.
 SLICE = 1 << 20
+_ROWS = 500
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -383,10 +384,13 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int | N
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in batches:
-            out = [_cut(t.encode(), () if s is None else s) for t, s in zip(texts, lists)]
-            yield pd.DataFrame(
-                [(len(t.encode()), n, runs, kept, kept.decode("utf-8", "ignore")) for t, (n, runs, kept) in zip(texts, out)], columns=[*added, "text"]
-            )
+            for at in range(0, len(texts), _ROWS):  # what is held of the results is a part of the batch
+                out = []
+                for text, spans in zip(texts.iloc[at : at + _ROWS], lists.iloc[at : at + _ROWS]):
+                    data = text.encode()
+                    n, runs, kept = _cut(data, () if spans is None else spans)
+                    out.append((len(data), n, runs, kept, kept.decode("utf-8", "ignore")))
+                yield pd.DataFrame(out, columns=[*added, "text"])
 
     def tidied(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         return tidy(cut)(batches)
