@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,9 +27,11 @@ WEIGHTS = {
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|(<)",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?][^>]*>|([^<]+)|(<)",
     re.S | re.I,
 )
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_IN_TAG = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -76,6 +79,66 @@ def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class _Tags:
+    """Where tags of a page end, in time linear in the page.
+
+    A tag ends at the first `>` outside quotes; without one, its `<` is text.
+    What a failed search has passed outside quotes fails for later tags too,
+    and the next quote or `>` is looked up once for all places before it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.failed = page, set()
+        self.begin = self.next = -1
+
+    def _special(self, at: int) -> int:
+        if not self.begin <= at <= self.next:
+            m = _IN_TAG.search(self.page, at)
+            self.begin, self.next = at, m.start() if m else len(self.page)
+        return self.next
+
+    def end(self, at: int) -> int:
+        """Place of the `>` for the attributes that begin at `at`, or -1."""
+        passed = []
+        while True:
+            quote = self._special(at)
+            if self.page[quote : quote + 1] == ">":
+                return quote
+            if quote in self.failed:
+                break
+            passed.append(quote)
+            if quote == len(self.page) or (close := self.page.find(self.page[quote], quote + 1)) < 0:
+                break
+            at = close + 1
+        self.failed.update(passed)
+        return -1
+
+
+def _pieces(page: str) -> Iterator[tuple[int, str, str, str, str]]:
+    """(place, text, slash, tag, attributes) of each text and tag; comments, scripts and the like give nothing."""
+    tags, at, last = _Tags(page), 0, page.rfind(">")
+    while at < len(page):
+        if at > last and page[at] == "<":  # nothing but a comment can begin here
+            m = _COMMENT.match(page, at)
+            if not m:
+                yield at, "<", "", "", ""
+            at = m.end() if m else at + 1
+            continue
+        m = _TOKEN.match(page, at)
+        if m[3]:
+            end = tags.end(m.end())
+            if end < 0:
+                yield at, "<", "", "", ""
+                at += 1
+            else:
+                yield at, "", m[2], m[3], page[m.end() : end]
+                at = end + 1
+            continue
+        if text := m[4] or m[5]:
+            yield at, text, "", "", ""
+        at = m.end()
+
+
 def tokens(page: str) -> Iterator[tuple[str, str]]:
     """(kind, text) of each word run and tag of a page, in order.
 
@@ -86,15 +149,18 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
     """
     wide: set[int] = set()
     if _FORM.search(page):
-        held: dict[int, list[int]] = {}
-        words = 0
+        held: dict[int, tuple[int, int]] = {}
+        opened: list[tuple[int, int, int]] = []  # the open forms, with the words and articles before them
+        words = articles = 0
         for kind, text, forms, opens in _walk(page, None):
-            n = len(text.split()) if kind[:5] == "word:" and kind != "word:cut" else 0
-            words += n
-            for at in forms:
-                seen = held.setdefault(at, [0, 0])
-                seen[0], seen[1] = seen[0] + n, seen[1] + opens
-        wide = {at for at, (n, articles) in held.items() if articles or 2 * n > words}
+            while opened and (len(opened) > len(forms) or opened[-1][0] != forms[len(opened) - 1]):
+                at, n, a = opened.pop()
+                held[at] = (words - n, articles - a)
+            opened += [(at, words, articles) for at in forms[len(opened) :]]
+            words += len(text.split()) if kind[:5] == "word:" and kind != "word:cut" else 0
+            articles += opens
+        held |= {at: (words - n, articles - a) for at, n, a in opened}
+        wide = {at for at, (n, a) in held.items() if a or 2 * n > words}
     for kind, text, _, _ in _walk(page, wide):
         yield kind, text
 
@@ -107,17 +173,21 @@ def _walk(page: str, wide: set[int] | None) -> Iterator[tuple[str, str, list[int
     forms: list[int] = []
     marked = _ARTICLE.search(page) is not None
     stack: list[tuple[str, int, int, int]] = []
+    blocks: list[int] = []  # places in the stack of what is not inline
+    depth: Counter[str] = Counter()
     cut = article = link = 0
 
     def close(at: int) -> None:
         nonlocal cut, article, link
-        for _, c, a, k in stack[at:]:
+        for t, c, a, k in stack[at:]:
             cut, article, link = cut - c, article - a, link - k
+            depth[t] -= 1
+        while blocks and blocks[-1] >= at:
+            blocks.pop()
         del forms[len(forms) - sum(t == "form" for t, *_ in stack[at:]) :]
         del stack[at:]
 
-    for m in _TOKEN.finditer(page):
-        text, tag = m[5] or m[6], m[3]
+    for place, text, slash, tag, attributes in _pieces(page):
         if text:
             if not text.isspace():
                 zone = "cut" if cut else "link" if link and not article else "article" if article else "rest" if marked else "body"
@@ -125,32 +195,27 @@ def _walk(page: str, wide: set[int] | None) -> Iterator[tuple[str, str, list[int
             else:
                 yield "space", " ", forms, False
             continue
-        if not tag:
-            continue
         tag = tag.lower()
         kind = "furniture" if cut and article else "tag:cut" if cut else "tag:inline" if tag in _INLINE else "tag:block"
-        opens = tag in ("article", "main") and not m[2] and not cut
+        opens = tag in ("article", "main") and not slash and not cut
         yield kind, "" if tag in _INLINE else " ", forms, opens
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                close(at)
+        if slash:
+            if depth[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
         elif tag not in _VOID:
             ends = _IMPLIED_END.get(tag, ()) or ({"p"} if tag in _ENDS_P else ())
-            if ends:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        close(i)
-                        break
-                    if stack[i][0] not in _INLINE:
-                        break
-            if not m[4].rstrip().endswith("/"):
-                kept = tag == "form" and (wide is None or m.start() in wide)
+            if blocks and stack[blocks[-1]][0] in ends:
+                close(blocks[-1])
+            if not attributes.rstrip().endswith("/"):
+                kept = tag == "form" and (wide is None or place in wide)
                 # an article inside furniture is furniture
-                flags = (int(not kept and _is_cut(tag, m[4], article > 0)), int(opens), int(tag == "a"))
+                flags = (int(not kept and _is_cut(tag, attributes, article > 0)), int(opens), int(tag == "a"))
+                if tag not in _INLINE:
+                    blocks.append(len(stack))
+                depth[tag] += 1
                 stack.append((tag, *flags))
                 if tag == "form":
-                    forms.append(m.start())
+                    forms.append(place)
                 cut, article, link = cut + flags[0], article + flags[1], link + flags[2]
 
 
@@ -207,7 +272,8 @@ def fit_weights(labelled: list[tuple[str, str]], smoothing: float = 1.0) -> dict
 def extract_text(pages: DataFrame, html: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
     """Main text of every page: the columns of `pages` without the html, and `text`.
 
-    Null or empty html, and pages without any word, give an empty text. Each
+    The time is linear in the page, whatever its tags leave open. Null or empty
+    html, and pages without any word, give an empty text. Each
     page is treated on its own, so repeated rows give repeated results. An
     input column that is itself called `text` is replaced.
     """

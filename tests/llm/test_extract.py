@@ -65,3 +65,19 @@ def test_furniture_inside_an_article_parts_nothing():
     assert extract(page) == (first + second).strip()
     inner = f"<article><p>{first}</p><aside><article><p>{'other ' * 500}</p></article></aside><p>{second}</p></article>"
     assert extract(inner) == (first + second).strip()
+
+
+def test_tags_that_never_end():
+    assert extract("<p>a <b word <i x='1> more") == "a <b word <i x='1> more"
+    assert extract("<p>a <b title='x>y' class=\"u\">word</b> <i \"> more") == "a word <i \"> more"
+    assert extract("one <a <a <a") == "one <a <a <a"
+    assert extract("<div><b><p>one<p>two</x></p></div>") == "one two"
+
+
+def test_time_is_linear_in_the_page():
+    # each of these took hours where a tag looked again at what others had passed
+    n = 50_000
+    assert extract("<a " * n) == ("<a " * n).strip()
+    assert extract('<a "' * n + "'>") == '<a "' * n + "'>"
+    for page in ("<div>" * n + "word</x>" * n, "<div>" + "<b>" * n + "word<p></p>" * n, "<form>" * n + "word <i>" * n, "<form>word<article>" * n):
+        assert len(extract(page)) >= 4 * n
