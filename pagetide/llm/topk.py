@@ -30,12 +30,12 @@ def quantize(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     """vec_id and vec, the components as floor(scale * x).
 
     Left out: rows with a null vec_id, a null vector, or a component that is
-    null, NaN or infinite. Of rows that share a vec_id, the one with the
-    smallest vector stays. Other columns are left out.
+    null, NaN or infinite. Rows that share a vec_id all stay. Other columns are
+    left out.
     """
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable).select("vec_id", whole.alias("vec")).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable).select("vec_id", whole.alias("vec"))
 
 
 def _scores(queries: pd.DataFrame, candidates: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -104,32 +104,34 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0) -> Dat
     """query_id, rank, vec_id and score of the k best candidates of each query.
 
     `vectors` needs vec_id and embedding; `is_query` is a condition on vec_id.
-    Candidates are all rows but the query's own, fewer than k give all, and
-    ties go to the smaller vec_id. Vectors of unequal length are compared as if
+    Candidates are all rows with another vec_id than the query's, fewer than k
+    give all, and ties go to the smaller vec_id. Rows that share a vec_id are
+    candidates each; if it is a query's, their scores go into one list. Vectors of unequal length are compared as if
     the shorter went on with zeros. `quantize` says which rows take part; with
     no query the result is empty.
     """
     spark = vectors.sparkSession
-    rows = materialize(quantize(vectors, scale), "vectors")
+    # rows are dealt by numbers of their own, so that a vec_id of very many rows fills no block
+    rows = materialize(quantize(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
     squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, n_queries, most = rows.agg(F.count("*"), F.count_if(is_query), F.max(squares)).first()
     bound = math.ceil(most or 0) + 1
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     blocks = max(shuffle_partitions(spark), -(-n // CANDIDATE_BLOCK))
-    spread = lambda many: F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int")
+    spread = lambda many: F.pmod(F.xxhash64("row"), F.lit(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     # other names for the same columns: the two sides of a cogroup must differ
-    candidates = rows.select(F.col("vec_id").alias("vec_id"), F.col("vec").alias("vec")).withColumn("block", spread(blocks)).withColumn("query_block", every(query_blocks))
-    queries = rows.where(is_query).withColumn("query_block", spread(query_blocks)).withColumn("block", every(blocks))
+    candidates = rows.select(F.col("vec_id").alias("vec_id"), F.col("vec").alias("vec"), spread(blocks).alias("block"), every(query_blocks).alias("query_block"))
+    queries = rows.where(is_query).select("vec_id", "vec", spread(query_blocks).alias("query_block"))
 
     def run(state: DataFrame, function, schema: str) -> DataFrame:
-        known = queries.join(state.withColumnRenamed("query_id", "vec_id"), "vec_id")
+        known = queries.join(state.withColumnRenamed("query_id", "vec_id"), "vec_id").withColumn("block", every(blocks))
         return known.groupBy("query_block", "block").cogroup(candidates.groupBy("query_block", "block")).applyInPandas(function, schema)
 
     levels = 1
     while BINS**levels < 2 * bound + 1:
         levels += 1
-    state = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.lit(0).cast("long").alias("inside"), F.lit(k).cast("long").alias("need"))
+    state = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.lit(0).cast("long").alias("inside"), F.lit(k).cast("long").alias("need")).distinct()
     for level in reversed(range(levels)):
         counts = run(state, _count(BINS**level, -bound), "query_id bigint, bin bigint, n bigint").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         above = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

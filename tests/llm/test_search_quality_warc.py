@@ -13,20 +13,16 @@ from pagetide.llm import quality, topk, warc
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.integers(-3, 4, 8) / 16]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 420)]
-    odd = [(500, None), (501, [1.0, None]), (520, [float("nan")]), (521, [float("inf")]), (None, [1.0]), (540, []), (7, [9.0] * 8)]
+    odd = [(500, None), (501, [1.0, None]), (520, [float("nan")]), (521, [float("inf")]), (None, [1.0]), (540, []), (7, [9.0] * 8), (7, [9.0] * 8), (40, [8.0] * 8), (60, [-1.0] * 8)]
     schema = "vec_id long, embedding array<float>, rank string"
     df = spark.createDataFrame([(*v, "clash") for v in vectors + odd], schema)
-    whole = {}
-    for i, v in vectors + odd:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(64 * x) for x in v]
-            whole[i] = min(whole.get(i, q), q)
-    want = set()
-    for q in (i for i in whole if i % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q)[:20]
-        want |= {(q, k, c, -s) for k, (s, c) in enumerate(scored, 1)}
-    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()}
-    assert got == want
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors + odd if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q in {i for i, _ in whole if i % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for i, v in whole if i == q for c, w in whole if c != q)[:20]
+        want += [(q, k, c, -s) for k, (s, c) in enumerate(scored, 1)]
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()]
+    assert sorted(got) == sorted(want)
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (3, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 8192), (0, 2, 3, 8192)]
     assert topk.top_k(few.limit(0), F.col("vec_id") == 0).count() == 0 and topk.top_k(few, F.col("vec_id") == 99).count() == 0
