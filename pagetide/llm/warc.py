@@ -97,11 +97,14 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Of equal payloads of at least `min_bytes` bytes, the largest page_id is the
     response and has no refers_to. A null page_id counts as smaller than any.
+    Only payloads that come again are joined, and they are written first, so
+    that the join can split the pages of one that very many pages have.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_digest", F.unhex(F.sha1("html")))
-    first = rows.groupBy("_digest").agg(F.max("page_id").alias("_response"))
+    several = rows.groupBy("_digest").agg(F.max("page_id").alias("_response"), F.count("*").alias("_n"))
+    first = materialize(several.where("_n > 1").drop("_n"), "payloads")
     refers = F.when((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_response")), F.col("_response"))
-    return rows.join(first, "_digest").select("page_id", "url", "html", refers.alias("refers_to"))
+    return rows.join(first, "_digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
