@@ -51,6 +51,13 @@ _FORM = re.compile(r"<form\b", re.I)
 _KEPT_TAGS = frozenset("html body article main".split())
 #: What follows these in a name is what the page has or lacks, not what the element is.
 _STATES = frozenset("no not has with without".split())
+#: "social" begins names of furniture only before these; social-sciences is a section.
+_SOCIAL = frozenset("bar block box buttons button follow icons icon links link list media menu nav networks share sharing widget".split())
+
+
+def _begins_furniture(first: str, second: str) -> bool:
+    """Whether a name of several parts is furniture by its first one; ad-free says what the page lacks."""
+    return first in _CUT_NAMES and second != "free" and (first != "social" or second in _SOCIAL)
 
 
 def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
@@ -74,7 +81,7 @@ def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
                 if name in _CUT_NAMES or (name == "header" and not in_article):
                     return True
                 parts = re.split(r"[-_]+", name)
-                if len(parts) > 1 and (parts[0] in _CUT_NAMES or (parts[-1] in _CUT_NAMES and _STATES.isdisjoint(parts))):
+                if len(parts) > 1 and (_begins_furniture(parts[0], parts[1]) or (parts[-1] in _CUT_NAMES and _STATES.isdisjoint(parts))):
                     return True
     return False
 

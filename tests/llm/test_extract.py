@@ -41,12 +41,12 @@ def test_frame(spark):
 
 def test_names_that_only_look_like_furniture():
     words = "Some words of the main text stand here."
-    for attributes in ("class=overflow-hidden", 'style="overflow-x: hidden"', 'aria-hidden="false"', 'class="no-sidebar"', 'class="page has_sidebar"', "id=layout-with-nav"):
+    for attributes in ("class=overflow-hidden", 'style="overflow-x: hidden"', 'aria-hidden="false"', 'class="no-sidebar"', 'class="page has_sidebar"', "id=layout-with-nav", "class=ad-free-article", "id=social-sciences"):
         for tag in ("body", "div", "article", "main"):
             assert extract(f"<{tag} {attributes}><p>{words}</p></{tag}>") == words
     for tag in ("body", "article", "main"):
         assert extract(f"<{tag} class='widget' hidden><p>{words}</p></{tag}>") == words
-    for attributes in ("hidden", 'hidden=""', "aria-hidden='true'", 'style="color: red; display : none"', "class=left-sidebar", "class=comment-has-replies"):
+    for attributes in ("hidden", 'hidden=""', "aria-hidden='true'", 'style="color: red; display : none"', "class=left-sidebar", "class=comment-has-replies", "class=social-links", "id=ad-slot-1"):
         assert extract(f"<body><p>{words}</p><div {attributes}><p>more words</p></div></body>") == words
     assert extract(f"<body><div hidden=until-found><p>{words}</p></div></body>") == words
 
