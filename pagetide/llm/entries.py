@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, html_extract, langid, linededup, neardup, packing, quality, suffixdedup, topk, warc
+from pagetide.llm import bpe, crosstok, html_extract, langid, linededup, neardup, packing, quality, suffixdedup, topk, warc
 from pagetide.llm.common import read, shuffle_partitions
 
 
@@ -65,6 +65,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(read(spark, sf_dir, "documents"), size=4)
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = [_vocabulary(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    return crosstok.digest(read(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -77,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_warc_archives": op9_warc_archives,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op13_cross_tokenizer": op13_cross_tokenizer,
     }
 
 
