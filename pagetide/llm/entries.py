@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, crosstok, html_extract, langid, linededup, neardup, packing, quality, suffixdedup, topk, warc
+from pagetide.llm import bpe, crosstok, html_extract, langid, linededup, neardup, negatives, packing, quality, suffixdedup, topk, warc
 from pagetide.llm.common import read, shuffle_partitions
 
 
@@ -65,6 +65,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(read(spark, sf_dir, "documents"), size=4)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_warc_archives": op9_warc_archives,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_cross_tokenizer": op13_cross_tokenizer,
     }
 
@@ -93,6 +100,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": OP5_SQL,
         "op6_exact_top_k": OP6_SQL,
         "op7_quality_rules": OP7_SQL,
+        "op12_hard_negatives": OP12_SQL,
     }
 
 
@@ -150,3 +158,14 @@ SELECT s.doc_id, n_words, word_chars, n_symbols, CAST(len(wl) - len(list_distinc
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND word_chars - coalesce(f.lost, 0) >= 0.5 * word_chars AS kept
 FROM s LEFT JOIN f ON s.doc_id = f.doc_id
 """
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""

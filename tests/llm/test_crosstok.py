@@ -60,12 +60,13 @@ def test_alignment_equals_brute_force(spark):
 def test_any_memo_gives_one_alignment(monkeypatch):
     v = crosstok.vocabularies(*PATHS)
     texts = [t or "" for t in TEXTS] * 2
-    alone = [crosstok.Aligner(v).align(*ids) for ids in v.encode(texts)]
+    encoded = [ids for ids in v.encode(texts) if ids]
+    alone = [crosstok.Aligner(v).align(*ids) for ids in encoded]
     for windows, tokens in ((50_000, 32), (3, 32), (50_000, 2)):
         monkeypatch.setattr(crosstok, "MEMO_WINDOWS", windows)
         monkeypatch.setattr(crosstok, "MEMO_TOKENS", tokens)
         aligner = crosstok.Aligner(v)
-        for ids, (groups, links) in zip(v.encode(texts), alone):
+        for ids, (groups, links) in zip(encoded, alone):
             again = aligner.align(*ids)
             assert again[0] == groups and (again[1] == links).all()
 
