@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetide.llm import bpe, crosstok, html_extract, langid, linededup, neardup, negatives, packing, quality, suffixdedup, topk, warc
+from pagetide.llm import bpe, crosstok, html_extract, langid, linededup, neardup, negatives, packing, pitman, quality, suffixdedup, topk, warc
 from pagetide.llm.common import read, shuffle_partitions
 
 
@@ -65,6 +65,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(read(spark, sf_dir, "documents"), size=4)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pitman.score(docs, pitman.fit(docs))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_warc_archives": op9_warc_archives,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_lm_scoring": op11_lm_scoring,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_cross_tokenizer": op13_cross_tokenizer,
     }
