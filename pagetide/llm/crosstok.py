@@ -3,7 +3,7 @@
 Each whole text is encoded by both tokenizers. Byte offsets where tokens of both
 end, and where both next tokens are marked by a space, are anchors: they cut the
 text into windows, about a word each. A window is known by its token ids alone,
-so its alignment is worked out once and remembered by its id tuple. Inside a
+so in a run of texts its alignment is worked out once for each id tuple. Inside a
 window, the offsets where both tokenizers end a token make groups; the two
 tokens that end there are a link. A last pass over the links gives each how
 often its id pair is linked in the corpus.
@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetide.llm.common import materialize, tidy
+from pagetide.llm.neardup import _mix
 from pagetide.llm.vocabulary import token_bytes
 
-#: Windows in either half of a worker's memo, and the most tokens of one that it remembers.
-MEMO_WINDOWS, MEMO_TOKENS = 50_000, 32
-#: Characters of text that are encoded at a time; a longer text goes alone.
-_CHARS_AT_ONCE = 300_000
+#: Characters of texts that are aligned together and share a memo of windows; a longer text goes alone.
+_CHARS_AT_ONCE = 600_000
 #: Characters that both libraries class alike, whatever version of Unicode they hold.
 _PLAIN = re.compile("[\\n\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 _B = 1 << 16  # ids of B follow those of A in a window's key
@@ -135,7 +134,11 @@ def vocabularies(*paths: str) -> Vocabularies:
 
 
 class Windows:
-    """The windows of one text: cut at anchors, known by their ids, aligned in bulk."""
+    """The windows of a run of texts: cut at anchors, known by their ids, each different one aligned once.
+
+    The texts' tokens stand one behind the other. Each text begins with a space
+    for both tokenizers, so its end is an anchor.
+    """
 
     def __init__(self, v: Vocabularies, a: np.ndarray, b: np.ndarray):
         self.v, self.a, self.b = v, a, b
@@ -148,82 +151,77 @@ class Windows:
         # an anchor is the last of them, or one before two tokens that are both marked by a space
         anchor = np.ones(len(self.last_a), bool)
         anchor[:-1] = v.spaced_a[a[self.last_a[:-1] + 1]] & v.spaced_b[b[self.last_b[:-1] + 1]]
+        #: By window: its last group, and the ends of its tokens.
         self.last = np.flatnonzero(anchor)
         self.to_a, self.to_b = self.last_a[self.last] + 1, self.last_b[self.last] + 1
 
     def _beside(self, to_a: np.ndarray, to_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> np.ndarray:
         """Cut both rows of values at these places and lay each part of A before its part of B."""
         from_b = np.concatenate([[0], to_b[:-1]])
-        out = np.empty(len(of_a) + len(of_b), "<u4")
+        out = np.empty(len(of_a) + len(of_b), np.int64)
         out[np.arange(len(of_a)) + np.repeat(from_b, np.diff(to_a, prepend=0))] = of_a
         out[np.arange(len(of_b)) + np.repeat(to_a, np.diff(to_b, prepend=0))] = of_b
         return out
 
-    def keys(self) -> list[bytes]:
-        """Of each window, A's ids and then B's plus 65536, as little-endian unsigned 32-bit."""
-        raw, ends = self._beside(self.to_a, self.to_b, self.a, self.b + _B).tobytes(), (4 * (self.to_a + self.to_b)).tolist()
-        return [raw[s:e] for s, e in zip([0, *ends[:-1]], ends)]
+    def same(self) -> np.ndarray:
+        """For each window, one with the same ids, the same for all such windows.
 
-    def align(self, wanted: list[int]) -> Iterator[tuple[str, bytes]]:
-        """Groups of the wanted windows as `a1,a2|b1;a3|b2`, and the places of their links in `pairs`.
-
-        The places are little-endian unsigned 32-bit. What follows each id is
-        the end of its group, the bar between A and B, or a comma.
+        Windows meet by a hash of their id tuples, and the tuples are compared.
+        """
+        ids = self._beside(self.to_a, self.to_b, self.a, self.b + _B)
+        ends = self.to_a + self.to_b
+        starts = np.concatenate([[0], ends[:-1]])
+        lengths = ends - starts
+        place = np.arange(len(ids)) - np.repeat(starts, lengths)
+        hashes = np.add.reduceat(_mix((ids + (place << 17)).astype(np.uint64)), starts)
+        _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+        like = first[group]
+        other = ids[np.minimum(np.repeat(starts[like], lengths) + place, len(ids) - 1)] != ids
+        wrong = (lengths[like] != lengths) | np.logical_or.reduceat(other, starts)
+        return np.where(wrong, np.arange(len(like)), like)
+
+    def align(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Groups of each window as `a1,a2|b1;a3|b2;`, the places of all links in `pairs`, and each window's number of links.
+
+        What follows an id is the end of its group, the bar between A and B, or a comma.
         """
+        like = self.same()
+        wanted, memo = np.unique(like, return_inverse=True)
         after_a, after_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
         after_a[self.last_a], after_b[self.last_b] = 1, 2
         spelled = self._beside(self.last_a + 1, self.last_b + 1, 3 * self.a + after_a, 3 * self.b + after_b)
-        texts = list(map(self.v.spelled.__getitem__, spelled.tolist()))
-        ends = [0, *(self.to_a + self.to_b).tolist()]
-        among = np.zeros(len(self.last), bool)
-        among[wanted] = True
-        lengths = np.diff(self.last, prepend=-1)
-        linked = np.flatnonzero(np.repeat(among, lengths))
-        links = self.v.place(self.a[self.last_a[linked]] * _B + self.b[self.last_b[linked]]).astype("<u4").tobytes()
-        to = (4 * np.cumsum(lengths[wanted])).tolist()
-        for w, s, e in zip(wanted, [0, *to], to):
-            yield "".join(texts[ends[w] : ends[w + 1]]), links[s:e]
-
-
-class Aligner:
-    """Aligns texts window by window, with a memo of windows by their ids.
-
-    The memo has a new and an old half; a full new half becomes the old one, so
-    that what comes again and again stays.
-    """
-
-    def __init__(self, v: Vocabularies):
-        self.v = v
-        self._new: dict[bytes, tuple[str, bytes]] = {}
-        self._old: dict[bytes, tuple[str, bytes]] = {}
-
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
-        """Groups of a text and its links as places in `pairs`."""
-        if not len(a):
-            return "", np.empty(0, np.uint32)
-        windows = Windows(self.v, a, b)
-        keys = windows.keys()
-        found = list(map(self._new.get, keys))
-        missing: list[int] = []
-        for w in [w for w, x in enumerate(found) if x is None]:
-            if (known := self._old.get(keys[w])) is not None:
-                found[w] = self._new[keys[w]] = known
-            else:
-                missing.append(w)
-        if missing:
-            for w, aligned in zip(missing, windows.align(missing)):
-                found[w] = aligned
-                if len(keys[w]) <= 4 * MEMO_TOKENS:
-                    self._new[keys[w]] = aligned
-        if len(self._new) > MEMO_WINDOWS:
-            self._old, self._new = self._new, {}
-        groups, links = zip(*found)
-        return "".join(groups)[:-1], np.frombuffer(b"".join(links), "<u4")
+        ends, n_links = self.to_a + self.to_b, np.diff(self.last, prepend=-1)
+        chosen = np.zeros(len(like), bool)
+        chosen[wanted] = True
+        texts = list(map(self.v.spelled.__getitem__, spelled[np.repeat(chosen, np.diff(ends, prepend=0))].tolist()))
+        to = np.cumsum(np.diff(ends, prepend=0)[wanted]).tolist()
+        groups = ["".join(texts[s:e]) for s, e in zip([0, *to], to)]
+        linked = np.flatnonzero(np.repeat(chosen, n_links))
+        links = self.v.place(self.a[self.last_a[linked]] * _B + self.b[self.last_b[linked]])
+        first = (np.cumsum(n_links[wanted]) - n_links[wanted])[memo]
+        every = np.arange(n_links.sum()) + np.repeat(first - (np.cumsum(n_links) - n_links), n_links)
+        return list(map(groups.__getitem__, memo.tolist())), links[every], n_links
+
+
+def align_run(v: Vocabularies, texts: list[str]) -> Iterator[tuple[int, int, str, np.ndarray]]:
+    """Numbers of tokens of A and of B, groups, and links (places in `pairs`) of each text of a run."""
+    empty = np.empty(0, np.int64)
+    ids = [x or (empty, empty) for x in v.encode(texts)]
+    a, b = (np.concatenate([empty, *(x[k] for x in ids)]) for k in (0, 1))
+    if not len(a):
+        yield from ((0, 0, "", empty) for _ in texts)
+        return
+    windows = Windows(v, a, b)
+    groups, links, n_links = windows.align()
+    ends = np.searchsorted(windows.to_a, np.cumsum([len(x[0]) for x in ids]), "right")
+    upto = np.concatenate([[0], np.cumsum(n_links)])[ends].tolist()
+    for (own_a, own_b), s, e, s_link, e_link in zip(ids, [0, *ends.tolist()], ends.tolist(), [0, *upto], upto):
+        yield len(own_a), len(own_b), "".join(groups[s:e])[:-1], links[s_link:e_link]
 
 
 def _pack(links: np.ndarray) -> bytes:
     """Sorted numbers as differences, their low bytes first: small when compressed."""
-    steps = np.diff(np.sort(links), prepend=np.uint32(0)).astype("<u4")
+    steps = np.diff(np.sort(links), prepend=0).astype("<u4")
     return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
@@ -254,15 +252,11 @@ def align(docs: DataFrame, *paths: str) -> DataFrame:
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(vocabularies(*paths))
+        v = vocabularies(*paths)
         for batch in batches:
             at = 0
             for run in _runs([text or "" for text in batch["text"].tolist()]):
-                out = []
-                for ids in aligner.v.encode(run):
-                    a, b = ids or (np.empty(0, np.int64),) * 2
-                    groups, links = aligner.align(a, b)
-                    out.append((len(a), len(b), groups, len(links), _pack(links)))
+                out = [(n_a, n_b, groups, len(links), _pack(links)) for n_a, n_b, groups, links in align_run(v, run)]
                 frame = pd.DataFrame(out, columns=["n_a", "n_b", "groups", "n_links", "links"])
                 frame.insert(0, "doc_id", batch["doc_id"].to_numpy()[at : at + len(run)])
                 at += len(run)

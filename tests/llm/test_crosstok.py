@@ -57,18 +57,20 @@ def test_alignment_equals_brute_force(spark):
     assert crosstok.digest(docs.limit(0), *PATHS).count() == 0
 
 
-def test_any_memo_gives_one_alignment(monkeypatch):
+def test_any_run_gives_one_alignment():
     v = crosstok.vocabularies(*PATHS)
     texts = [t or "" for t in TEXTS] * 2
-    encoded = [ids for ids in v.encode(texts) if ids]
-    alone = [crosstok.Aligner(v).align(*ids) for ids in encoded]
-    for windows, tokens in ((50_000, 32), (3, 32), (50_000, 2)):
-        monkeypatch.setattr(crosstok, "MEMO_WINDOWS", windows)
-        monkeypatch.setattr(crosstok, "MEMO_TOKENS", tokens)
-        aligner = crosstok.Aligner(v)
-        for ids, (groups, links) in zip(encoded, alone):
-            again = aligner.align(*ids)
-            assert again[0] == groups and (again[1] == links).all()
+    alone = [row for t in texts for row in crosstok.align_run(v, [t])]
+    for size in (2, 7, len(texts)):
+        together = [row for at in range(0, len(texts), size) for row in crosstok.align_run(v, texts[at : at + size])]
+        assert [(*x[:3], x[3].tolist()) for x in together] == [(*x[:3], x[3].tolist()) for x in alone]
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    v = crosstok.vocabularies(*PATHS)
+    want = [x[:3] for x in crosstok.align_run(v, [TEXTS[0], TEXTS[5]])]
+    monkeypatch.setattr(crosstok, "_mix", lambda x: x * 0)
+    assert [x[:3] for x in crosstok.align_run(v, [TEXTS[0], TEXTS[5]])] == want
 
 
 def test_packed_links_come_back():
