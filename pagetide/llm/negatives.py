@@ -93,55 +93,60 @@ class Side:
                     k += n
 
 
+def _products(a: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows, by one matrix product where the pairs are many."""
+    if 8 * len(i) > len(a) * len(c):
+        return (a @ c.T)[i, j]
+    return np.einsum("ns,ns->n", a[i], c[j])
+
+
 def _bounds(a: Side, c: Side, i: np.ndarray, j: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the inner products of some pairs."""
     (mean_a, rest_a), (mean_c, rest_c) = a.levels[level], c.levels[level]
-    slack = _SLACK * a.length[i] * c.length[j] + 1e-6
-    middle, reach = np.einsum("ns,ns->n", mean_a[i], mean_c[j]), np.einsum("ns,ns->n", rest_a[i], rest_c[j]) + slack
+    middle = _products(mean_a, mean_c, i, j)
+    reach = _products(rest_a, rest_c, i, j) + _SLACK * a.length[i] * c.length[j] + 1e-6
     return middle - reach, middle + reach
 
 
 def _scores(a: Side, c: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     if len(i) and a.length.max() * c.length.max() < 2**53:  # exact in doubles
-        return np.einsum("nd,nd->n", a.exact[i], c.exact[j]).astype(np.int64)
+        return _products(a.exact, c.exact, i, j).astype(np.int64)
     return np.einsum("nd,nd->n", a.vec[i], c.vec[j])
 
 
-def _kth(group: np.ndarray, value: np.ndarray, n_groups: int, k: int) -> np.ndarray:
-    """The kth largest value of each group, -inf where it has fewer."""
-    out = np.full(n_groups, -np.inf)
-    order = np.lexsort((-value, group))
-    group, value = group[order], value[order]
-    first = np.searchsorted(group, np.arange(n_groups))
-    at = first + k - 1
-    has = at < np.searchsorted(group, np.arange(n_groups), "right")
-    out[has] = value[at[has]]
-    return out
+def _kth(i: np.ndarray, j: np.ndarray, value: np.ndarray, shape: tuple[int, int], k: int) -> np.ndarray:
+    """The kth largest value of each row of a matrix of which these places are filled, -inf where it has fewer."""
+    if shape[1] < k:
+        return np.full(shape[0], -np.inf)
+    whole = np.full(shape, -np.inf)
+    whole[i, j] = value
+    return np.partition(whole, shape[1] - k, axis=1)[:, shape[1] - k]
 
 
-def best_in_block(a: Side, c: Side, allowed: np.ndarray, k: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, candidate and score of the k best allowed candidates of each anchor that score from low to high.
+def best_in_block(a: Side, c: Side, allowed: np.ndarray, k: int, limits: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the limits, anchor, candidate and score of the k best allowed candidates that score from low to high.
 
-    A pair leaves once its bounds lie outside the limits, or once k pairs of its
-    anchor surely lie inside them and above it.
+    `limits` holds low and high scores by anchor. A pair leaves once for all of
+    them its bounds lie outside, or k pairs of its anchor surely lie inside and
+    above it.
     """
     i, j = np.nonzero(allowed)
     for level in range(len(SEGMENTS)):
         lower, upper = _bounds(a, c, i, j, level)
-        possible, sure = np.ones(len(i), bool), lower
-        if low is not None:
-            possible = (upper >= low[i]) & (lower <= high[i])
-            sure = np.where((lower >= low[i]) & (upper <= high[i]), lower, -np.inf)
-        possible &= upper >= _kth(i, sure, len(allowed), k)[i]
-        i, j = i[possible], j[possible]
+        stays = np.zeros(len(i), bool)
+        for low, high in limits:
+            sure = np.flatnonzero((lower >= low[i]) & (upper <= high[i]))
+            kth = _kth(i[sure], j[sure], lower[sure], allowed.shape, k)
+            stays |= (upper >= low[i]) & (lower <= high[i]) & (upper >= kth[i])
+        i, j = i[stays], j[stays]
     score = _scores(a, c, i, j)
-    if low is not None:
+    for low, high in limits:
         inside = (score >= low[i]) & (score <= high[i])
-        i, j, score = i[inside], j[inside], score[inside]
-    order = np.lexsort((c.vec_id[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[rank < k], j[rank < k], score[rank < k]
+        at = np.flatnonzero(inside)
+        at = at[score[at] >= _kth(i[at], j[at], score[at].astype(float), allowed.shape, k)[i[at]]]
+        at = at[np.lexsort((c.vec_id[j[at]], -score[at], i[at]))]
+        first = np.arange(len(at)) - np.searchsorted(i[at], i[at]) < k
+        yield i[at][first], j[at][first], score[at][first]
 
 
 def _sides(anchors: pd.DataFrame, candidates: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Side, Side]]:
@@ -159,21 +164,25 @@ def _positives(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
         out = [pd.DataFrame({"anchor": [], "positive_id": [], "positive_score": []}, dtype="int64")]
         for some, a, c in _sides(anchors, candidates):
             allowed = (a.label[:, None] == c.label) & (a.vec_id[:, None] != c.vec_id)
-            i, j, score = best_in_block(a, c, allowed, k)
+            none = np.full(len(some), np.inf)
+            ((i, j, score),) = best_in_block(a, c, allowed, k, [(-none, none)])
             out.append(pd.DataFrame({"anchor": some["row"].to_numpy()[i], "positive_id": c.vec_id[j], "positive_score": score}))
         return pd.concat(out)
 
     return find
 
 
-def _negatives(k: int, percent: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _negatives(k: int, k_positives: int, percent: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def find(anchors: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"anchor": [], "positive_score": [], "negative_id": [], "negative_score": []}, dtype="int64")]
         for some, a, c in _sides(anchors, candidates):
-            most = some["positive_score"].to_numpy(np.int64)
+            most = np.array([list(x) + [-1] * (k_positives - len(x)) for x in some["positive_scores"]], np.int64)
             least = -(-percent * most // 100)
-            i, j, score = best_in_block(a, c, a.label[:, None] != c.label, k, least, most)
-            out.append(pd.DataFrame({"anchor": some["row"].to_numpy()[i], "positive_score": most[i], "negative_id": c.vec_id[j], "negative_score": score}))
+            different = a.label[:, None] != c.label
+            # a positive below zero has no score between that share of it and itself
+            limits = [(np.where(m < 0, np.inf, n), np.where(m < 0, -np.inf, m)) for m, n in zip(most.T, least.T)]
+            for which, (i, j, score) in enumerate(best_in_block(a, c, different, k, limits)):
+                out.append(pd.DataFrame({"anchor": some["row"].to_numpy()[i], "positive_score": most[i, which], "negative_id": c.vec_id[j], "negative_score": score}))
         return pd.concat(out)
 
     return find
@@ -214,8 +223,8 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     found = search(anchors, n_anchors, _positives(positives), "anchor long, positive_id long, positive_score long")
     best = materialize(first(found, ["anchor"], "positive_score", "positive_id", positives).drop("rank"), "positives")
     # positives of equal score have the same negatives
-    asked = anchors.join(best.select(F.col("anchor").alias("row"), "positive_score").distinct(), "row")
-    found = search(asked, n_anchors * positives, _negatives(negatives, percent), "anchor long, positive_score long, negative_id long, negative_score long")
+    asked = anchors.join(best.groupBy(F.col("anchor").alias("row")).agg(F.collect_set("positive_score").alias("positive_scores")), "row")
+    found = search(asked, n_anchors, _negatives(negatives, positives, percent), "anchor long, positive_score long, negative_id long, negative_score long")
     hard = first(found, ["anchor", "positive_score"], "negative_score", "negative_id", negatives)
     named = best.join(anchors.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id")), "anchor")
     return named.join(hard, ["anchor", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
