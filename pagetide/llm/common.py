@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,21 +40,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pagetide-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts lineage with files that survive a lost executor, and fixes row
     numbers and ids that a recomputation could change. The shuffle files
-    behind it are of no more use and go at once.
+    behind it are of no more use and go at once. `batch_rows` bounds the rows
+    that go to a Python worker at a time, for rows that are long.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     written = spark.read.schema(df.schema).parquet(path)
     written._scratch_path = path
     return written
@@ -66,6 +71,14 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def _release() -> None:
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function over batches that gives unused memory back to the system when its partition ends.
 
@@ -75,11 +88,18 @@ def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
 
     def run(batches: Iterator) -> Iterator:
         yield from function(batches)
-        import pyarrow
+        _release()
+
+    return run
+
+
+def tidy_group(function: Callable) -> Callable:
+    """The same for a function of one group, after each of them."""
 
-        pyarrow.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+    def run(rows):
+        out = function(rows)
+        _release()
+        return out
 
     return run
 
