@@ -56,6 +56,19 @@ def retention(known: DataFrame, app: DataFrame, web: DataFrame, product: DataFra
     )
 
 
+def known_actors(log: DataFrame) -> DataFrame:
+    """The actors of a log to which passes append: the surface of the first entry, the earliest and the latest day."""
+    return log.groupBy("project", "actor_id").agg(
+        F.min_by("surface", F.struct("seq", "first_seen_day")).alias("surface"), F.min("first_seen_day").alias("first_seen_day"), F.max("last_seen_day").alias("last_seen_day")
+    )
+
+
+def merge_cells(existing: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Retention cells where a recomputed cell wins only if its day still had all rows: counts never shrink."""
+    keys = ["project", "surface", "cohort_day", "day_offset"]
+    return existing.unionByName(fresh).groupBy(*keys).agg(F.max("actors").alias("actors"))
+
+
 def with_cohort_size(cells: DataFrame) -> DataFrame:
     """Retention cells with the size of their cohort, its actors at offset 0."""
     cohort = ["project", "surface", "cohort_day"]

@@ -44,7 +44,11 @@ def frozen_identity_days(t: Tables, leaving: DataFrame) -> DataFrame:
 
 @dataclass
 class Pass:
-    """What a daily pass computed. Write `aggregates`, then add `agg_days`, then drop the raw days."""
+    """What a daily pass computed.
+
+    Write `aggregates`, append `actors` and `retention` to their logs, then add
+    `agg_days`, then drop the raw days.
+    """
 
     aggregates: dict[str, DataFrame]
     agg_days: DataFrame
@@ -67,8 +71,13 @@ def daily_pass(t: Tables, today: datetime.date, known_actors: DataFrame | None =
         leaving = leaving.join(t.agg_days, ["family", "project", "day"], "left_anti")
     stored = leaving.unionByName(frozen_identity_days(t, leaving))
     aggregates = {name: compute(t.only(family, stored)) for name, (family, compute) in VIEWS.items()}
-    found = cohorts.actors(t.app, t.web, t.product, known_actors)
-    cells = cohorts.retention(found, t.app, t.web, t.product, live)
+    known = t.known if known_actors is None else known_actors
+    days = leaving.select("project", "day").distinct()
+    part = {name: getattr(t, name).join(days, ["project", "day"], "left_semi") for name in _FAMILIES}
+    found = cohorts.identified_only(cohorts.actors(t.app, t.web, t.product, known), live)
+    cells = cohorts.retention(found, part["app"], part["web"], part["product"], live)
+    seen = cohorts.actors(part["app"], part["web"], part["product"]).select("project", "actor_id")
+    found = found.join(seen, ["project", "actor_id"], "left_semi").withColumn("seq", F.lit(today))
     raw = {}
     for family, frame in (("web", t.web), ("app", t.app), ("product", t.product)):
         gone = leaving.where(F.col("family") == family).select("project", "day")
@@ -77,58 +86,108 @@ def daily_pass(t: Tables, today: datetime.date, known_actors: DataFrame | None =
     return Pass(aggregates, days, found, cells, raw)
 
 
-def age_out(spark: SparkSession, root: str, t: Tables, today: datetime.date) -> dict[str, str]:
-    """Run the daily pass on the stored tables under `root`: families by name, aggregates, agg_days.
+def _store_pass(spark: SparkSession, root: str, t: Tables, today: datetime.date) -> None:
+    """Write what a pass over these tables computes; a rerun writes the same again, up to the note that ends it."""
+    done = daily_pass(t, today)
+    noted = done.agg_days if t.agg_days is None else done.agg_days.join(t.agg_days, ["family", "project", "day"], "left_anti")
+    days = noted.collect()  # the days that leave now, a few for each project
+    if not days:
+        return
+    for name, (family, _) in VIEWS.items():
+        if any(r["family"] == family for r in days):
+            store.replace_days(done.aggregates[name], f"{root}/aggregates/{name}")
+    for name, rows in (("actors", done.actors), ("cells", done.retention)):
+        rows.write.mode("append").partitionBy("project").parquet(f"{root}/{name}")
+    note(spark, root, [(r["family"], r["project"], r["day"]) for r in days])
+
 
-    For each project, its aged-out days are aggregated and written, then noted,
-    and only then dropped from the raw tables, so a pass that stops anywhere can
-    run again. A project that fails leaves the others alone; the result has its
-    error. There are a few days for each project, and one job an aggregate.
+def note(spark: SparkSession, root: str, days: list[tuple]) -> None:
+    """The step that makes days stored: from here on views take them from the aggregates."""
+    spark.createDataFrame(days, schemas.AGG_DAYS).coalesce(1).write.mode("append").partitionBy("project").parquet(f"{root}/agg_days")
+
+
+def age_out(spark: SparkSession, root: str, t: Tables, today: datetime.date) -> dict[str, str]:
+    """Run the daily pass on the stored tables under `root`: families by name, aggregates, logs, agg_days.
+
+    Aged-out days of all projects are aggregated and written, then noted, and
+    only then dropped from the raw tables. A pass may stop anywhere: days that
+    are not noted are computed again from their raw rows, over what an earlier
+    try has written, and every later pass drops the raw rows of all noted days
+    beyond their window, late ones that came in meanwhile too. If the pass
+    fails, each project is tried alone, so that one with broken data leaves the
+    others be; the result has the errors by project. Aggregates beyond their
+    window go last, by folder.
     """
-    failed = {}
-    for project in [r["alias"] for r in t.projects.where("NOT archived").select("alias").collect()]:
-        own = lambda df: df.where(F.col("project") == project)  # noqa: B023, E731
-        try:
+    failed: dict[str, str] = {}
+    projects = [r["alias"] for r in t.projects.where("NOT archived").select("alias").collect()]
+    try:
+        _store_pass(spark, root, t, today)
+    except Exception:  # which project it was shows below
+        for project in projects:
+            own = lambda df: df.where(F.col("project") == project)  # noqa: B023, E731
             part = replace(t, web=own(t.web), app=own(t.app), product=own(t.product), projects=t.projects.where(F.col("alias") == project))
-            done = daily_pass(part, today)
-            noted = done.agg_days if t.agg_days is None else done.agg_days.join(t.agg_days, ["family", "project", "day"], "left_anti")
-            days = own(noted).collect()
-            for name, (family, _) in VIEWS.items():
-                if any(r["family"] == family for r in days):
-                    store.replace_days(done.aggregates[name], f"{root}/aggregates/{name}")
-            if days:
-                spark.createDataFrame([(r["family"], r["project"], r["day"]) for r in days], schemas.AGG_DAYS).write.mode("append").parquet(f"{root}/agg_days")
-            for r in days:
-                if r["family"] in _FAMILIES:
-                    store.drop_partition(spark, f"{root}/{r['family']}", project, r["day"])
-        except Exception as error:  # one project's trouble is reported, not passed on
-            failed[project] = str(error)
+            noted = store.read_table(spark, f"{root}/agg_days", schemas.AGG_DAYS)
+            try:
+                _store_pass(spark, root, replace(part, agg_days=noted), today)
+            except Exception as error:
+                failed[project] = str(error)
+    windows = retention_windows(t.projects.where("NOT archived"))
+    noted = store.read_table(spark, f"{root}/agg_days", schemas.AGG_DAYS)
+    for r in aged_out_days(t.web, t.app, t.product, windows, today).join(noted, ["family", "project", "day"], "left_semi").collect():
+        try:
+            store.drop_partition(spark, f"{root}/{r['family']}", r["project"], r["day"])
+        except Exception as error:
+            failed[r["project"]] = str(error)
+    prune_stored(spark, root, windows, today)
     return failed
 
 
+def prune_stored(spark: SparkSession, root: str, windows: DataFrame, today: datetime.date) -> int:
+    """Drop the folders of stored aggregate days beyond each project's window; how many went."""
+    kept = {(r["project"], r["family"]): r["aggregate_days"] for r in windows.collect()}
+    gone = 0
+    for name, (family, _) in VIEWS.items():
+        for (project, own), days in kept.items():
+            if own == ("app" if family == "identity" else family) and days is not None:
+                for day in store.stored_days(spark, f"{root}/aggregates/{name}", project):
+                    if day < today - datetime.timedelta(days):
+                        gone += store.drop_partition(spark, f"{root}/aggregates/{name}", project, day)
+    return gone
+
+
 def opened(spark: SparkSession, root: str, projects: DataFrame, identities: DataFrame, **caps: int) -> Tables:
     """The stored tables under `root`, raw and aggregated, for views and for the next pass."""
     raw = [store.read_table(spark, f"{root}/{family}", schemas.FAMILIES[family]) for family in ("web", "app", "product")]
     agg = {name: spark.read.parquet(path) for name in VIEWS if store.exists(spark, path := f"{root}/aggregates/{name}")}
-    return Tables(*raw, projects, identities, agg=agg, agg_days=store.read_table(spark, f"{root}/agg_days", schemas.AGG_DAYS), **caps)
+    known = cohorts.known_actors(store.read_table(spark, f"{root}/actors", schemas.ACTORS))
+    cells = store.read_table(spark, f"{root}/cells", schemas.CELLS)
+    agg_days = store.read_table(spark, f"{root}/agg_days", schemas.AGG_DAYS)
+    return Tables(*raw, projects, identities, agg=agg, agg_days=agg_days, known=known, cells=cells, **caps)
+
+
+#: Every table under a root, each with a folder for each project.
+STORED = (*_FAMILIES, *[f"aggregates/{v}" for v in VIEWS], "actors", "cells", "agg_days")
 
 
 def erase_stored(spark: SparkSession, root: str, project: str) -> None:
-    """Drop every partition of a project under `root`; no other project's files are read or written."""
-    for name in (*_FAMILIES, *[f"aggregates/{v}" for v in VIEWS]):
+    """Drop every partition of a project under `root`, its notes last; no other project's files are read or written."""
+    for name in STORED:
         store.drop_partition(spark, f"{root}/{name}", project)
 
 
 def rename_stored(spark: SparkSession, root: str, old: str, new: str) -> None:
-    """Move every partition of a project under `root` to another alias; no file is read or written."""
-    for name in (*_FAMILIES, *[f"aggregates/{v}" for v in VIEWS]):
+    """Move every partition of a project under `root` to another alias; no file is read or written.
+
+    A taken alias is an error before anything moves. One that stops halfway can
+    run again: what has moved is left alone.
+    """
+    if not all(store.is_free(spark, f"{root}/{name}", old, new) for name in STORED):
+        raise ValueError(f"alias {new} is taken")
+    for name in STORED:
         store.move_project(spark, f"{root}/{name}", old, new)
 
 
-def merge_cells(existing: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Retention cells where a recomputed cell wins only if its day still had all rows: counts never shrink."""
-    keys = ["project", "surface", "cohort_day", "day_offset"]
-    return existing.unionByName(fresh).groupBy(*keys).agg(F.max("actors").alias("actors"))
+merge_cells = cohorts.merge_cells
 
 
 def late_rows(rows: DataFrame, agg_days: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:

@@ -224,6 +224,52 @@ def _aged_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.view("v_web_daily", stored).join(raw, ["project", "day"], "left").fillna(0, ["raw_rows"])
 
 
+def _store_families(spark: SparkSession, t: Tables) -> str:
+    root = store.scratch(spark, "store")
+    for family in schemas.FAMILIES:
+        getattr(t, family).write.partitionBy("project", "day").parquet(f"{root}/{family}")
+    return root
+
+
+def _pass(spark: SparkSession, root: str, t: Tables, projects: DataFrame | None = None) -> Tables:
+    """The stored tables after one more daily pass."""
+    projects = t.projects if projects is None else projects
+    failed = lifecycle.age_out(spark, root, lifecycle.opened(spark, root, projects, t.identities), datetime.date(2024, 1, 31))
+    if failed:
+        raise RuntimeError(str(failed))
+    return lifecycle.opened(spark, root, projects, t.identities)
+
+
+def _aged_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohorts after the raw rows of most days are gone."""
+    t = _plain_tables(spark, sf_dir)
+    root = _store_families(spark, t)
+    return views.view("v_retention", _pass(spark, root, t))
+
+
+def _renamed_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a project that age, take another alias, get a late row each, and go through one more pass."""
+    t = _plain_tables(spark, sf_dir)
+    root = _store_web(spark, t)
+    late = t.web.where("project = 'p2' AND day < '2024-01-20'").dropDuplicates(["project", "day"]).withColumn("project", F.lit("renamed"))
+    late = late.withColumn("id", F.concat(F.lit("late"), F.col("id")))
+    _pass(spark, root, t)
+    lifecycle.rename_stored(spark, root, "p2", "renamed")
+    late.write.mode("append").partitionBy("project", "day").parquet(f"{root}/web")
+    renamed = t.projects.withColumn("alias", F.when(F.col("alias") == "p2", F.lit("renamed")).otherwise(F.col("alias")))
+    return views.view("v_web_daily", _pass(spark, root, t, renamed))
+
+
+def _interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass that wrote and noted its days but dropped none of their rows, and the next one."""
+    t = _plain_tables(spark, sf_dir)
+    root = _store_web(spark, t)
+    lifecycle._store_pass(spark, root, lifecycle.opened(spark, root, t.projects, t.identities), datetime.date(2024, 1, 31))
+    stored = _pass(spark, root, t)
+    raw = stored.web.groupBy("project", "day").agg(F.count("*").alias("raw_rows"))
+    return views.view("v_web_daily", stored).join(raw, ["project", "day"], "left").fillna(0, ["raw_rows"])
+
+
 def _erased(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _store_web(spark, _plain_tables(spark, sf_dir))
     lifecycle.erase_stored(spark, root, "p1")
@@ -280,6 +326,9 @@ UNION ALL SELECT 'p' || CAST(p AS VARCHAR), 'group', 'g' || CAST(u % 7 AS VARCHA
     add("str_4_live_counters", _live_counters, f", {accepted} {minutes} WHERE day_start < (SELECT max(day_start) FROM ok) GROUP BY ALL")
     report("rd_10_guarded_query", on(_guarded), "SELECT day, pageviews, CAST(row_number() OVER (ORDER BY pageviews DESC, day) AS INTEGER) AS place FROM v_web_daily WHERE project = 'p0'")
     report("lif_1_4_stored_views", _aged_view, "SELECT v.*, CASE WHEN v.project = 'p1' OR v.day >= DATE '2024-01-24' THEN v.pageviews ELSE 0 END AS raw_rows FROM v_web_daily v")
+    report("lif_4_interrupted_pass", _interrupted, "SELECT v.*, CASE WHEN v.project = 'p1' OR v.day >= DATE '2024-01-24' THEN v.pageviews ELSE 0 END AS raw_rows FROM v_web_daily v")
+    report("lif_1_vw_20_aged_retention", _aged_retention, "SELECT * FROM v_retention")
+    report("lif_7_renamed_late_row", _renamed_late, "SELECT * REPLACE (CASE WHEN project = 'p2' THEN 'renamed' ELSE project END AS project) FROM v_web_daily")
     add("lif_6_7_stored_partitions", _erased, "SELECT CASE project WHEN 'p2' THEN 'renamed' ELSE project END AS project, day, count(*) AS n FROM web_hits WHERE project <> 'p1' GROUP BY ALL")
     add("coh_6_prune_known_actors", on(lambda t: cohorts.prune_actors(cohorts.actors(t.app, t.web, t.product), views.retention_cells(t), datetime.date(2024, 1, 25))[0]), "SELECT * FROM actors WHERE last_seen_day >= '2024-01-25'")
     report(

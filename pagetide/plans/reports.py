@@ -129,28 +129,64 @@ def identities(t: Tables, project: str, frm: str, to: str, kind: str, limit: int
     return top.select("id", F.coalesce("name", F.lit("")).alias("name"), "actors", "users", "hits", "views", "events")
 
 
+def _outside(plan, allowed: set[str]) -> set[str]:
+    """Relations that an analysed plan reads other than through the allowed views, and calls that leave the engine."""
+    found: set[str] = set()
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+
+    def inside(expression) -> None:
+        kind = expression.getClass().getSimpleName()
+        if "Reflect" in kind or kind.endswith(("UDF", "UDAF")) or "HiveGenericUDF" in kind:
+            found.add(kind)
+        if kind in ("ScalarSubquery", "LateralSubquery", "Exists", "ListQuery"):
+            walk(expression.plan())
+        for child in each(expression.children()):
+            inside(child)
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "SubqueryAlias" and node.identifier().name().lower() in allowed and node.child().getClass().getSimpleName() == "View":
+            return
+        for expression in each(node.expressions()):
+            inside(expression)
+        below = [*each(node.children()), *(each(node.innerChildren()) if kind == "WithCTE" else [])]
+        if not below and kind not in ("OneRowRelation", "LocalRelation", "CTERelationRef"):
+            found.add(kind)
+        for child in below:
+            walk(child)
+
+    walk(plan)
+    return found
+
+
 def query(t: Tables, sql: str, max_rows: int = 1000, seconds: float = 10.0) -> tuple[list, bool]:
     """Rows of one SELECT over the views, and whether more were cut off.
 
-    It runs as a subquery, which nothing but a query can be, and is stopped
-    when its time is over. It may read the views of `register_views` and no
-    other table or file, and call QUERY_FUNCTIONS and no other function.
+    It runs as a subquery, which nothing but a query can be, in a session of its
+    own, and is stopped when its time is over. It may read the views of
+    `view_names` and no other table or file, and call QUERY_FUNCTIONS and no
+    other function. The names are checked as they are parsed, and the relations
+    and calls once more in the analysed plan. A common table expression may not
+    have the name of a view, a table or a function.
     """
     body = sql.strip().rstrip(";")
     bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", body)
     if not re.match(r"(?i)(select|with)\b", body) or re.search(r";|--|/\*|`|\$\{", bare):
         raise ValueError("one SELECT or WITH statement, without comments and backquotes, is asked for")
-    unknown = {name.lower() for name in re.findall(r"([A-Za-z_]\w*)\s*\(", bare)} - QUERY_FUNCTIONS
-    spark = t.web.sparkSession
+    spark = t.web.sparkSession.newSession()
     # relations as the parser sees them, in subqueries too; a common table expression is one of the query's own
     tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(body).treeString()
     own = {x.strip().lower() for group in re.findall(r"CTE \[([^\]]*)\]", tree) for x in group.split(",")}
     own |= {x.lower() for x in re.findall(r"(?i)(?:\bwith|,)\s+(?:recursive\s+)?(\w+)\s*(?:\([^)]*\)\s*)?as\s*\(", bare)}
+    calls = {name.lower() for name in re.findall(r"([A-Za-z_]\w*)\s*\(", bare)}
     read = {x.replace(" ", "").lower() for x in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)}
-    unknown -= own
-    register_views(spark, t)
-    if unknown or read - own - set(view_names()):
-        raise ValueError(f"not allowed in a query: {', '.join(sorted(unknown | (read - own - set(view_names()))))}")
+    views = set(view_names())
+    taken = {x for x in own if x in views or x in QUERY_FUNCTIONS or spark.catalog.functionExists(x) or spark.catalog.tableExists(x)}
+    if refused := taken | (calls - QUERY_FUNCTIONS - own) | (read - own - views):
+        raise ValueError(f"not allowed in a query: {', '.join(sorted(refused))}")
+    register_views(spark, t, sorted(read & views))
+    if refused := _outside(spark.sql(f"SELECT * FROM ({body})")._jdf.queryExecution().analyzed(), views):
+        raise ValueError(f"not allowed in a query: {', '.join(sorted(refused))}")
     tag = f"pagetide-query-{uuid.uuid4().hex}"
     timer = threading.Timer(seconds, spark.interruptTag, [tag])
     spark.addTag(tag)

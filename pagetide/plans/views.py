@@ -46,6 +46,9 @@ class Tables:
     #: Stored aggregates by view name, and the days that they hold: family, project, day.
     agg: Mapping[str, DataFrame] = field(default_factory=dict)
     agg_days: DataFrame | None = None
+    #: Actors and retention cells of days whose raw rows may be gone.
+    known: DataFrame | None = None
+    cells: DataFrame | None = None
     attribute_cap: int = rollups.ATTRIBUTE_CAP
     dimension_cap: int = rollups.DIMENSION_CAP
 
@@ -84,12 +87,15 @@ VIEWS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
 
 
 def stitch(name: str, t: Tables) -> DataFrame:
-    """The stored half of a view and the live half of all other days."""
+    """The stored half of a view, the days that are noted, and the live half of all other days."""
     family, live = VIEWS[name]
     if name not in t.agg:
         return live(t)
     fresh = live(t.without(family))
-    return t.agg[name].select(*fresh.columns).unionByName(fresh)
+    stored = t.agg[name].select(*fresh.columns)
+    if t.agg_days is not None:  # a pass that stopped may have written days that it did not note
+        stored = stored.join(t.agg_days.where(F.col("family") == family).select(*_DAY), _DAY, "left_semi")
+    return stored.unionByName(fresh)
 
 
 def flat_events(product: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,18 +134,25 @@ def view(name: str, t: Tables) -> DataFrame:
 
 
 def retention_cells(t: Tables) -> DataFrame:
-    return cohorts.retention(cohorts.actors(t.app, t.web, t.product), t.app, t.web, t.product, t.projects)
+    """Cells of the raw days, by all actors ever known, beside the stored ones of days that have left."""
+    fresh = cohorts.retention(cohorts.actors(t.app, t.web, t.product, t.known), t.app, t.web, t.product, t.projects)
+    return fresh if t.cells is None else cohorts.merge_cells(t.cells, fresh)
 
 
 def view_names() -> list[str]:
     return [*VIEWS, "v_retention", "v_events_flat", "projects", "identities"]
 
 
-def register_views(spark: SparkSession, t: Tables) -> list[str]:
-    """Make every view, and projects and identities, temporary views of a session."""
-    for name in view_names():
-        extracted(name, t).createOrReplaceTempView(name)
-    return view_names()
+def register_views(spark: SparkSession, t: Tables, names: list[str] | None = None) -> list[str]:
+    """Make views (all, if none are named), projects and identities temporary views of `spark`, which may be a session of its own."""
+    names = view_names() if names is None else names
+    for name in names:
+        frame = extracted(name, t)
+        if frame.sparkSession is not spark:
+            plan = frame._jdf.queryExecution().analyzed()
+            frame = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+        frame.createOrReplaceTempView(name)
+    return names
 
 
 def extracted(name: str, t: Tables) -> DataFrame:

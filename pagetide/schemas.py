@@ -15,6 +15,9 @@ INGEST_KEYS = "key string, project string, label string, disabled boolean"
 IDENTITIES = "project string, kind string, id string, name string, last_seen_day date, updated_at timestamp"
 SALTS = "valid_from timestamp, valid_to timestamp, salt string"
 AGG_DAYS = "family string, project string, day date"
+#: Logs that a daily pass appends to; `seq` is the day of the pass, so that the first entry of an actor can be told.
+ACTORS = "project string, actor_id string, surface string, first_seen_day date, last_seen_day date, seq date"
+CELLS = "project string, surface string, cohort_day date, day_offset long, actors long"
 
 #: A client's request body; attribute values are JSON scalars of any type.
 BODY = "struct<key:string,attributes:map<string,variant>,events:array<struct<id:string,ts:string,name:string,attributes:map<string,variant>>>>"

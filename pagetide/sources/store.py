@@ -91,13 +91,25 @@ def drop_partition(spark: SparkSession, path: str, project: str, day: datetime.d
     return store.delete(where, True)
 
 
+def is_free(spark: SparkSession, path: str, old: str, new: str) -> bool:
+    """Whether a project's partition can take another alias: it is not there, or the new alias is free."""
+    where, store = _files(spark, f"{path}/project={old}")
+    return not store.exists(where) or not store.exists(_files(spark, f"{path}/project={new}")[0])
+
+
 def move_project(spark: SparkSession, path: str, old: str, new: str) -> bool:
     """Give a project's partition another alias, without reading a row; whether it was there. The new one must be free."""
-    where, store = _files(spark, f"{path}/project={old}")
-    to, _ = _files(spark, f"{path}/project={new}")
-    if store.exists(to):
+    if not is_free(spark, path, old, new):
         raise ValueError(f"alias {new} is taken")
-    return store.exists(where) and store.rename(where, to)
+    where, store = _files(spark, f"{path}/project={old}")
+    return store.exists(where) and store.rename(where, _files(spark, f"{path}/project={new}")[0])
+
+
+def stored_days(spark: SparkSession, path: str, project: str) -> list[datetime.date]:
+    """Days of a project's partitions, from the folders' names."""
+    where, store = _files(spark, f"{path}/project={project}")
+    names = [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+    return [datetime.date.fromisoformat(name[4:]) for name in names if name.startswith("day=")]
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -163,6 +163,84 @@ def test_a_failing_project_leaves_the_others_alone(spark, hits, tmp_path, monkey
     assert {(r.project, r.pageviews) for r in views.view("v_web_daily", after).collect()} == {("app", 4), ("other", 4)}
 
 
+_RETENTION = "struct<web:struct<raw_days:int,aggregate_days:int>,product:struct<raw_days:int,aggregate_days:int>,app:struct<raw_days:int,aggregate_days:int>>"
+
+
+def _identified(spark):
+    return projects(spark).withColumn("identity", F.lit("identified")).withColumn("retention", F.lit(None).cast(_RETENTION))
+
+
+def _seen(t, *names):
+    return {name: sorted(map(str, views.view(name, t).collect())) for name in names}
+
+
+def test_a_pass_may_stop_anywhere(spark, hits, tmp_path, monkeypatch):
+    root, registry, names = str(tmp_path), _identified(spark), spark.createDataFrame([], schemas.IDENTITIES)
+    days = rows(spark, schemas.WEB_HITS, hit("v1", "10:00"), hit("v2", "11:00"), hit("v1", "10:00", day=D11), hit("v3", "10:00", day=D11))
+    days.write.partitionBy("project", "day").parquet(f"{root}/web")
+    t = lambda: lifecycle.opened(spark, root, registry, names)
+    checked = ("v_web_daily", "v_web_pages", "v_retention")
+    before = _seen(t(), *checked)
+    assert len(before["v_retention"]) == 3
+
+    def fail(*_):
+        raise OSError("no disk")
+
+    calls = []
+    whole = store.replace_days
+
+    def third(rows_, path):
+        calls.append(path)
+        return fail() if len(calls) % 3 == 0 else whole(rows_, path)
+
+    for module, name, function in ((store, "replace_days", third), (lifecycle, "note", fail), (store, "drop_partition", fail)):
+        with monkeypatch.context() as patch:
+            patch.setattr(module, name, function)
+            assert lifecycle.age_out(spark, root, t(), datetime.date(2026, 8, 30)) != {}
+        assert _seen(t(), *checked) == before and t().web.count() == 4, name
+    assert lifecycle.age_out(spark, root, t(), datetime.date(2026, 8, 30)) == {}
+    assert t().web.count() == 0 and _seen(t(), *checked) == before
+
+
+def test_renamed_and_erased_days_stay_so(spark, hits, tmp_path):
+    root, registry, names = str(tmp_path), _identified(spark), spark.createDataFrame([], schemas.IDENTITIES)
+    hits.write.partitionBy("project", "day").parquet(f"{root}/web")
+    assert lifecycle.age_out(spark, root, lifecycle.opened(spark, root, registry, names), datetime.date(2026, 8, 30)) == {}
+    lifecycle.rename_stored(spark, root, "app", "new")
+    lifecycle.rename_stored(spark, root, "app", "new")  # a second try finds nothing to do
+    registry = registry.withColumn("alias", F.lit("new"))
+    store.append_new(rows(spark, schemas.WEB_HITS, hit("v9", "09:00")).withColumn("project", F.lit("new")).withColumn("id", F.lit("late")), f"{root}/web", schemas.WEB_HITS)
+    t = lifecycle.opened(spark, root, registry, names)
+    want = _seen(t, "v_web_daily")
+    assert {(r.project, r.day, r.pageviews) for r in views.view("v_web_daily", t).collect()} == {("new", D10, 4)}
+    assert lifecycle.age_out(spark, root, t, datetime.date(2026, 8, 30)) == {}
+    t = lifecycle.opened(spark, root, registry, names)
+    assert _seen(t, "v_web_daily") == want and t.web.count() == 0
+    with pytest.raises(ValueError, match="taken"):
+        spark.range(1).write.parquet(f"{root}/web/project=new/day={D10}")
+        spark.range(1).write.parquet(f"{root}/web/project=old/day={D10}")
+        lifecycle.rename_stored(spark, root, "old", "new")
+    lifecycle.erase_stored(spark, root, "new")
+    assert lifecycle.opened(spark, root, registry, names).agg_days.count() == 0
+    # an alias that is used again begins anew
+    store.append_new(rows(spark, schemas.WEB_HITS, hit("v1", "10:00")).withColumn("project", F.lit("new")), f"{root}/again", schemas.WEB_HITS)
+    t = lifecycle.opened(spark, root, registry, names)
+    assert views.view("v_web_daily", Tables(store.read_table(spark, f"{root}/again", schemas.WEB_HITS), t.app, t.product, registry, names, agg=t.agg, agg_days=t.agg_days)).count() == 1
+
+
+def test_expired_aggregates_go_by_folder(spark, hits, tmp_path):
+    root, registry, names = str(tmp_path), _identified(spark), spark.createDataFrame([], schemas.IDENTITIES)
+    for day in ("2025-01-01", "2026-08-01"):
+        rollups.web_daily(hits).withColumn("day", F.lit(day).cast("date")).write.mode("append").partitionBy("project", "day").parquet(f"{root}/aggregates/v_web_daily")
+    assert lifecycle.prune_stored(spark, root, lifecycle.retention_windows(registry), datetime.date(2026, 8, 30)) == 1
+    assert [r.day for r in lifecycle.opened(spark, root, registry, names).agg["v_web_daily"].collect()] == [datetime.date(2026, 8, 1)]
+
+
+def test_a_returning_actor_stays_in_its_cohort(spark):
+    log = spark.createDataFrame([("app", "v1", "app", D10, D10, D10), ("app", "v1", "web", D10, D11, D11)], schemas.ACTORS)
+    assert [(r.surface, r.first_seen_day, r.last_seen_day) for r in cohorts.known_actors(log).collect()] == [("app", D10, D11)]
+
+
 def test_store_is_idempotent(spark, hits, tmp_path):
     path = str(tmp_path / "web")
     for _ in range(2):
@@ -194,10 +272,17 @@ def test_read_functions_refuse(spark, hits):
     spark.range(3).createOrReplaceTempView("secret")
     outside = ["SELECT * FROM text.`/etc/passwd`", "SELECT * FROM secret", "SELECT java_method('java.lang.System', 'exit', '1')", "SELECT reflect('java.util.UUID', 'randomUUID')", "SELECT * FROM range(5)"]
     outside += ["SELECT (SELECT max(id) FROM secret) AS m FROM v_web_daily", "WITH a AS (SELECT * FROM secret) SELECT * FROM a", "SELECT 1 -- x", "SELECT * FROM v_web_daily WHERE EXISTS (SELECT 1 FROM secret)", "SELECT * FROM parquet.secret"]
+    outside += ["WITH java_method AS (SELECT 1 AS a) SELECT java_method('java.lang.System','getProperty','user.home') AS h FROM java_method"]
+    spark.range(3).write.mode("overwrite").saveAsTable("secret_table")
+    outside += ["WITH secret_table AS (SELECT 1 AS a) SELECT * FROM (SELECT * FROM secret_table) b", "SELECT (WITH secret_table AS (SELECT 1 AS a) SELECT max(a) FROM secret_table) AS m, s.* FROM secret_table s"]
+    outside += ["SELECT * FROM default.secret_table", "SELECT * FROM v_web_daily WHERE pageviews IN (SELECT id FROM secret_table)", "WITH count(a) AS (SELECT 1) SELECT * FROM count", "WITH v_web_daily AS (SELECT 1 AS a) SELECT * FROM v_web_daily", "SELECT input_file_name() AS f FROM v_web_daily", "SELECT `path` FROM v_web_pages"]
     for sql in ("DROP TABLE x", "SELECT 1; SELECT 2", "", *outside):
         with pytest.raises(ValueError):
             reports.query(t, sql)
     assert reports.query(t, "WITH a AS (SELECT path FROM v_web_pages WHERE path <> 'x;(y)') SELECT count(*) AS n FROM a")[0][0].n == 2
+    nested = "SELECT path, visitors FROM v_web_pages p WHERE EXISTS (SELECT 1 FROM v_web_daily d WHERE d.day = p.day) AND day IN (SELECT day FROM v_web_daily) AND visitors <= (SELECT max(visitors) FROM v_web_daily)"
+    assert len(reports.query(t, nested)[0]) == 2
+    assert len(reports.query(t, "WITH a AS (SELECT day FROM v_web_daily), b AS (SELECT * FROM a) SELECT * FROM a JOIN b USING (day) UNION ALL SELECT day FROM v_web_daily")[0]) == 2
     assert reports.query(t, "SELECT path FROM v_web_pages", max_rows=1)[1] is True
     assert reports.query(t, "SELECT count(*) AS n FROM v_web_pages", max_rows=1)[1] is False
     assert views.extract("v_app_daily", t, with_sentinel=True).count() == 1
