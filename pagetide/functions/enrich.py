@@ -94,6 +94,10 @@ def edge_country(header: Column) -> Column:
     return F.when(code.isin("XX", "T1"), "").otherwise(code)
 
 
+#: How the 32 digits of a mapped IPv4 address begin.
+_MAPPED = "0" * 20 + "ffff"
+
+
 def client_ip(connecting: Column, forwarded: Column, peer: Column) -> Column:
     """The connecting address that the edge names, else the first forwarded one, else the peer's host."""
     first = F.trim(F.substring_index(forwarded, ",", 1))
@@ -102,10 +106,13 @@ def client_ip(connecting: Column, forwarded: Column, peer: Column) -> Column:
 
 
 def ip_number(ip: Column) -> Column:
-    """Number of an IPv4 address, null for anything else."""
+    """Number of an IPv4 address, also of one written as an IPv6 address (::ffff:1.2.3.4); null for anything else."""
     octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    parts = F.split(F.when(ip.rlike(rf"^{octet}(\.{octet}){{3}}$"), ip), r"\.")
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
+    bare = F.regexp_replace(ip, "(?i)^(?:::|(?:0{1,4}:){5})ffff:(?=[0-9.]+$)", "")
+    parts = F.split(F.when(bare.rlike(rf"^{octet}(\.{octet}){{3}}$"), bare), r"\.")
+    dotted = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
+    digits = ip6_digits(ip)
+    return F.coalesce(dotted, F.when(digits.startswith(_MAPPED), F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")))
 
 
 def ip6_digits(ip: Column) -> Column:
@@ -126,35 +133,37 @@ def country_of_ip(df: DataFrame, ip: str, ranges: DataFrame, ranges6: DataFrame
     """`df` with `country` from tables of disjoint ranges; empty if in none, and for what is no address.
 
     `ranges` has ip_lo, ip_hi (numbers) and country; `ranges6` has them as the
-    32 hex digits of IPv6 addresses. Ranges are split by their address blocks,
-    so that the range join has a key and either side may be shuffled; a range
-    over many blocks gives one row each. IPv6 blocks are of /32, or the /16
-    where a range is wider. Rows without an address take no part in the joins.
+    32 hex digits of IPv6 addresses. An address is in one range at most, so
+    every lookup is a left join that gives one row for one row. Ranges are split
+    by address blocks, so that the range join has a key and either side may be
+    shuffled; a range over many blocks gives one row each. IPv6 ranges are split
+    by blocks of /48, /32 or /16, the finest of which they fill no more than 256
+    (of /16: whatever they fill), and looked up once for each size.
     """
-    columns = [*df.drop("country").columns, "country"]
-    marked = df.drop("country").withColumn("_ip", ip_number(F.col(ip))).withColumn("_ip6", ip6_digits(F.col(ip)))
-    none = marked.where("_ip IS NULL AND _ip6 IS NULL").withColumn("country", F.lit(""))
-    out = _in_ranges4(marked.where("_ip IS NOT NULL"), ranges, block_bits).select(*columns).unionByName(none.select(*columns))
-    six = marked.where("_ip6 IS NOT NULL")
-    if ranges6 is None:
-        return out.unionByName(six.withColumn("country", F.lit("")).select(*columns))
-    number = lambda c, n: F.conv(F.substring(c, 1, n), 16, 10).cast("long")
-    wide = number("ip_hi", 8) - number("ip_lo", 8) > 65536
-    blocks = F.when(wide, F.transform(F.sequence(number("ip_lo", 4), number("ip_hi", 4)), lambda x: -x - 1)).otherwise(F.sequence(number("ip_lo", 8), number("ip_hi", 8)))
-    keyed = ranges6.select(F.explode(blocks).alias("_block"), "ip_lo", "ip_hi", F.col("country").alias("_country"))
-    found = six.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.explode(F.array(number("_ip6", 8), -number("_ip6", 4) - 1)))
-    inside = (found["_block"] == keyed["_block"]) & F.col("_ip6").between(F.col("ip_lo"), F.col("ip_hi"))
-    named = found.join(keyed, inside, "left").groupBy("_row", *[F.col(c) for c in columns[:-1]]).agg(F.coalesce(F.max("_country"), F.lit("")).alias("country"))
-    return out.unionByName(named.select(*columns))
-
-
-def _in_ranges4(df: DataFrame, ranges: DataFrame, block_bits: int) -> DataFrame:
+    six, four = ip6_digits(F.col(ip)), ip_number(F.col(ip))
+    found = df.drop("country").withColumn("_ip", four).withColumn("_ip6", F.when(F.col("_ip").isNull(), six))
     size = 1 << block_bits
     keyed = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("ip_lo") / size), F.floor(F.col("ip_hi") / size))))
-    keyed = keyed.select("_block", "ip_lo", "ip_hi", F.col("country").alias("_country"))
-    numbered = df.withColumn("_block", F.floor(F.col("_ip") / size))
-    inside = (numbered["_block"] == keyed["_block"]) & F.col("_ip").between(F.col("ip_lo"), F.col("ip_hi"))
-    return numbered.join(keyed, inside, "left").withColumn("country", F.coalesce("_country", F.lit("")))
+    found = _in_ranges(found, keyed, "_ip", F.floor(F.col("_ip") / size), "_c0")
+    names = ["_c0"]
+    if ranges6 is not None:
+        number = lambda c, n: F.conv(F.substring(c, 1, n), 16, 10).cast("long")
+        span = lambda n: number("ip_hi", n) - number("ip_lo", n)
+        level = F.when(span(12) < 256, 12).when(span(8) < 256, 8).otherwise(4)
+        for digits in (12, 8, 4):
+            keyed = ranges6.where(level == digits).withColumn("_block", F.explode(F.sequence(number("ip_lo", digits), number("ip_hi", digits))))
+            found = _in_ranges(found, keyed, "_ip6", number("_ip6", digits), f"_c{digits}")
+            names.append(f"_c{digits}")
+    return found.withColumn("country", F.coalesce(*names, F.lit(""))).select(*df.drop("country").columns, "country")
+
+
+def _in_ranges(df: DataFrame, keyed: DataFrame, address: str, block: Column, name: str) -> DataFrame:
+    """`df` with the country of the range that holds an address, if one does."""
+    keyed = keyed.select(F.col("_block").alias("_key"), F.col("ip_lo").alias("_lo"), F.col("ip_hi").alias("_hi"), F.col("country").alias(name))
+    # rows without an address have keys of their own, so that they don't meet in one task
+    own = F.coalesce(block, -F.lit(1) - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
+    inside = (F.col("_own") == F.col("_key")) & F.col(address).between(F.col("_lo"), F.col("_hi"))
+    return df.withColumn("_own", own).join(keyed, inside, "left").drop("_own", "_key", "_lo", "_hi")
 
 
 def enrich_hits(raw: DataFrame) -> DataFrame:

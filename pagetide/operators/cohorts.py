@@ -106,12 +106,16 @@ def refresh_last_seen(identities: DataFrame, activity: DataFrame) -> DataFrame:
     return joined.withColumn("last_seen_day", F.coalesce("_latest", "last_seen_day")).select(*identities.columns)
 
 
+def merge_names(arrived: DataFrame) -> DataFrame:
+    """project, kind, id, name, updated_at: one row for each id, with the latest name."""
+    newest = F.struct("updated_at", "name")
+    return arrived.groupBy("project", "kind", "id").agg(F.max_by("name", newest).alias("name"), F.max("updated_at").alias("updated_at"))
+
+
 def upsert_names(existing: DataFrame, arrived: DataFrame) -> DataFrame:
     """project, kind, id, name, updated_at: the latest name wins; empty ids and names are skipped."""
     columns = ["project", "kind", "id", "name", "updated_at"]
-    both = existing.select(*columns).unionByName(arrived.where("id <> '' AND name <> ''").select(*columns))
-    newest = F.struct("updated_at", "name")
-    return both.groupBy("project", "kind", "id").agg(F.max_by("name", newest).alias("name"), F.max("updated_at").alias("updated_at"))
+    return merge_names(existing.select(*columns).unionByName(arrived.where("id <> '' AND name <> ''").select(*columns)))
 
 
 def prune_actors(known: DataFrame, cells: DataFrame, cutoff: datetime.date) -> tuple[DataFrame, DataFrame]:

@@ -166,7 +166,7 @@ def opened(spark: SparkSession, root: str, projects: DataFrame, identities: Data
 
 
 #: Every table under a root, each with a folder for each project.
-STORED = (*_FAMILIES, *[f"aggregates/{v}" for v in VIEWS], "actors", "cells", "agg_days")
+STORED = (*_FAMILIES, *[f"late_{f}" for f in _FAMILIES], *[f"{f}_ids" for f in _FAMILIES], *[f"aggregates/{v}" for v in VIEWS], "actors", "cells", "agg_days")
 
 
 def erase_stored(spark: SparkSession, root: str, project: str) -> None:

@@ -241,3 +241,8 @@ def minute_counters(events: DataFrame) -> DataFrame:
     return events.groupBy(F.window("received_at", "1 minute").alias("w"), "label").agg(
         F.count_if(F.col("reject_reason").isNull()).alias("accepted"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected")
     ).select(F.col("w.start").alias("minute"), "label", "accepted", "rejected")
+
+
+def merge_minutes(counters: DataFrame) -> DataFrame:
+    """Counters of one key label and minute from several batches, added up."""
+    return counters.groupBy("minute", "label").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))

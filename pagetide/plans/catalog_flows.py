@@ -61,6 +61,19 @@ def _append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_table(spark, path, schemas.WEB_HITS).groupBy("project", "day").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
+def _old_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, half of them with ids that hold their time, again 60 days on, and after all raw days of a project are gone."""
+    path, hits = store.scratch(spark, "web"), source.web_hits(spark, sf_dir)
+    at, tail = F.lpad(F.lower(F.hex(F.unix_millis("ts"))), 12, "0"), F.md5("id")
+    timed = F.concat(F.substring(at, 1, 8), F.lit("-"), F.substring(at, 9, 4), F.lit("-7"), F.substring(tail, 1, 3), F.lit("-8"), F.substring(tail, 4, 3), F.lit("-"), F.substring(tail, 7, 12))
+    hits = hits.withColumn("id", F.when(F.crc32("id") % 2 == 0, timed).otherwise(F.col("id")))
+    store.append_new(hits, path, schemas.WEB_HITS)
+    store.append_new(hits.withColumn("day", F.date_add("day", 60)), path, schemas.WEB_HITS)
+    store.drop_partition(spark, path, "p0")
+    store.append_new(hits, path, schemas.WEB_HITS)
+    return store.read_table(spark, path, schemas.WEB_HITS).groupBy("project", "day").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 def _replace_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rows, written, replaced for one project, and replaced by none."""
     path, hits = store.scratch(spark, "daily"), source.web_hits(spark, sf_dir)
@@ -110,7 +123,7 @@ def _client_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _any_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ips = "CASE n % 8 WHEN 0 THEN '10.0.0.300' WHEN 1 THEN '2001:db8::1' WHEN 2 THEN '2001:DB8:0:0:0:0:0:ffff' WHEN 3 THEN '::1' WHEN 4 THEN 'nowhere' WHEN 5 THEN '10.0.1.44' WHEN 6 THEN '2001:db9::' END"
+    ips = "CASE n % 8 WHEN 0 THEN '10.0.0.300' WHEN 1 THEN '2001:db8::1' WHEN 2 THEN '2001:DB8:0:0:0:0:0:ffff' WHEN 3 THEN '::1' WHEN 4 THEN 'nowhere' WHEN 5 THEN '10.0.1.44' WHEN 6 THEN '2001:db9::' WHEN 7 THEN CASE WHEN length(id) % 2 = 0 THEN '::ffff:10.0.1.44' ELSE '::FFFF:0A00:012C' END END"
     rows = source.from_ev(spark, sf_dir, f"SELECT id, {ips} AS ip FROM ev ")
     four = spark.range(1).select(F.lit(10 * 2**24).alias("ip_lo"), F.lit(10 * 2**24 + 65535).alias("ip_hi"), F.lit("C4").alias("country"))
     six = spark.range(1).select(F.lit("20010db8" + "0" * 24).alias("ip_lo"), F.lit("20010db8" + "f" * 24).alias("ip_hi"), F.lit("C6").alias("country"))
@@ -178,6 +191,27 @@ def _stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_ingested(spark, sf_dir)}/minutes").select("minute", "label", "accepted", "rejected")
 
 
+def _minutes_over_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a stream whose minutes are spread over several triggers and brought together on the way."""
+    path = store.scratch(spark, "ingested")
+    source.envelopes(spark, sf_dir).repartition(5, "batch_id").write.json(f"{path}/in")
+    arrived = store.read_envelopes(spark, f"{path}/in", stream=True, files_a_trigger=1).drop("_corrupt_record")
+    ingest.ingest_stream(arrived, *source.registry(spark, sf_dir), f"{path}/t", f"{path}/checkpoint", _NOW, fold_every=2).awaitTermination()
+    return ingest.stream_minutes(spark, f"{path}/t")
+
+
+def _stream_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that a stream got in an older and a newer envelope of every user, merged into names that were there."""
+    path, none = store.scratch(spark, "ingested"), spark.createDataFrame([], schemas.NAMES)
+    for n in (2, 1):
+        one = f"""'{{"name":"x","attributes":{{"$user_id":"u', u, '","$user_name":"U{n}","$group_id":"g', u % 7, '","$group_name":"G{n}"}}}}'"""
+        sent = _sent(spark, sf_dir, _body(one), f"TIMESTAMP '2024-01-01 12:00:0{n}'").drop("u", "p")
+        sent.withColumn("batch_id", F.concat("batch_id", F.lit(f"-{n}"))).coalesce(1).write.mode("append").json(f"{path}/in")
+    arrived = store.read_envelopes(spark, f"{path}/in", stream=True, files_a_trigger=1).drop("_corrupt_record")
+    ingest.ingest_stream(arrived, *source.registry(spark, sf_dir), f"{path}/t", f"{path}/checkpoint", _NOW, fold_every=1).awaitTermination()
+    return cohorts.upsert_names(none, ingest.stream_names(spark, f"{path}/t")).select("project", "kind", "id", "name")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
     return ingest.event_stream(_arrived(spark, sf_dir, times), *source.registry(spark, sf_dir))
 
@@ -288,6 +322,7 @@ def register(add, report, on, accepted: str, noon: str, allowed: str) -> None:
     add("src_1_read_envelopes", _read_envelopes, f"SELECT DISTINCT batch_id, {noon} AS received_at, '10.0.0.' || CAST(u % 250 AS VARCHAR) AS ip, CASE WHEN u % 17 = 0 THEN 'curl/8' ELSE 'Mozilla/5.0 (Windows) Firefox/1' END AS user_agent FROM requests")
     add("src_5_registry", _read_registry, "SELECT 'k' || substr(alias, 2) AS key, alias AS project, false AS disabled, false AS archived, CAST(CASE alias WHEN 'p0' THEN 2 WHEN 'p1' THEN 1 ELSE 0 END AS BIGINT) AS n_attributes, CAST(CASE WHEN alias = 'p2' THEN 1 ELSE 2 END AS BIGINT) AS n_origins FROM projects")
     add("snk_1_append_new", _append_new, "SELECT project, day, count(*) AS n, count(DISTINCT id) AS ids FROM web_hits GROUP BY ALL")
+    add("snk_1_old_replays", _old_replays, "SELECT project, day, count(*) AS n, count(DISTINCT id) AS ids FROM web_hits WHERE project <> 'p0' GROUP BY ALL")
     report("rol_20_snk_2_replace_days", _replace_days, "SELECT * FROM v_web_daily")
     report("snk_4_extract_identities", on(lambda t: views.extract("identities", t, with_sentinel=True).select("project", "kind", "id", "name")), "SELECT project, kind, id, name FROM identities")
     add("snk_4_extract_empty", on(lambda t: views.extract("projects", Tables(t.web, t.app, t.product, t.projects.where("false"), t.identities), with_sentinel=True).select("alias", "name")), "SELECT '' AS alias, '' AS name")
@@ -307,7 +342,7 @@ UNION ALL SELECT 'p' || CAST(p AS VARCHAR), 'group', 'g' || CAST(u % 7 AS VARCHA
     )
     add("salt_1_rotate", _salts, "SELECT DISTINCT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS valid_from, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS valid_to FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-15'")
     add("enr_8_client_ip", _client_ip, "SELECT id, CASE n % 3 WHEN 0 THEN '1.2.3.4' WHEN 1 THEN '9.9.9.9' ELSE CASE WHEN n % 2 = 0 THEN '2001:db8::1' ELSE '7.7.7.7' END END AS ip FROM ev")
-    add("enr_7_any_address", _any_address, "SELECT id, CASE n % 8 WHEN 1 THEN 'C6' WHEN 2 THEN 'C6' WHEN 5 THEN 'C4' ELSE '' END AS country FROM ev")
+    add("enr_7_any_address", _any_address, "SELECT id, CASE n % 8 WHEN 1 THEN 'C6' WHEN 2 THEN 'C6' WHEN 5 THEN 'C4' WHEN 7 THEN 'C4' ELSE '' END AS country FROM ev")
     add("url_5_fail_closed_masks", _masks, "SELECT m AS mask, count(*) AS n FROM pages, LATERAL unnest(['none', 'valid']) AS u(m) GROUP BY m")
     add("url_8_default_attributes", _defaults, "SELECT id, attr_plan AS plan, coalesce(attr_button, 'none') AS button, 'eu' AS region FROM product_events")
     add("ses_4_str_5_live_sessions", _live_sessions, "SELECT project, day, actor_id, hit_count, duration_sec FROM web_sess")
@@ -321,6 +356,13 @@ UNION ALL SELECT 'p' || CAST(p AS VARCHAR), 'group', 'g' || CAST(u % 7 AS VARCHA
     )
     minutes = f"SELECT {noon} AS minute, 'label ' || project AS label, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected FROM ok"
     add("str_1_stream_minutes", _stream_minutes, f", {accepted} {minutes} GROUP BY ALL")
+    add("str_1_minutes_over_triggers", _minutes_over_triggers, f", {accepted} {minutes} GROUP BY ALL")
+    add(
+        "str_1_snk_3_stream_names",
+        _stream_names,
+        f""", {users} SELECT 'p' || CAST(p AS VARCHAR) AS project, 'user' AS kind, 'u' || CAST(u AS VARCHAR) AS id, 'U2' AS name FROM users WHERE p <> 2
+UNION ALL SELECT DISTINCT 'p' || CAST(p AS VARCHAR), 'group', 'g' || CAST(u % 7 AS VARCHAR), 'G2' FROM users""",
+    )
     add("str_3_clamped_times", _clamped, f", {accepted} SELECT id, project, moment AS ts FROM ok")
     add("str_2_unique_events", _unique, f", {accepted} SELECT project, count(*) AS n, count(DISTINCT id) AS ids FROM ok GROUP BY project")
     add("str_4_live_counters", _live_counters, f", {accepted} {minutes} WHERE day_start < (SELECT max(day_start) FROM ok) GROUP BY ALL")

@@ -12,8 +12,13 @@ FAMILIES = {"web": WEB_HITS, "app": APP_VIEWS, "product": PRODUCT_EVENTS}
 _DAYS = "struct<raw_days:int,aggregate_days:int>"
 PROJECTS = f"alias string, name string, identity string, allowed_origins array<string>, retention struct<web:{_DAYS},product:{_DAYS},app:{_DAYS}>, attributes array<string>, archived boolean"
 INGEST_KEYS = "key string, project string, label string, disabled boolean"
+#: What a stream writes batch by batch and readers merge by key.
+NAMES = "project string, kind string, id string, name string, updated_at timestamp"
+MINUTES = "minute timestamp, label string, accepted long, rejected long"
 IDENTITIES = "project string, kind string, id string, name string, last_seen_day date, updated_at timestamp"
 SALTS = "valid_from timestamp, valid_to timestamp, salt string"
+#: Ids that were ever stored, beside each family; see `store.id_bucket`.
+IDS = "id string, project string, bucket string"
 AGG_DAYS = "family string, project string, day date"
 #: Logs that a daily pass appends to; `seq` is the day of the pass, so that the first entry of an actor can be told.
 ACTORS = "project string, actor_id string, surface string, first_seen_day date, last_seen_day date, seq date"

@@ -5,18 +5,24 @@ from __future__ import annotations
 import datetime
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide import schemas
 
 _PARTITION = ["project", "day"]
+#: Hash buckets of an id index, in each project.
+ID_BUCKETS = 32
+_VERSION_7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+#: 2020-01-01 and 2099-12-31 in days since 1970.
+_ID_DAYS = (18_262, 47_481)
 
 
-def read_envelopes(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_envelopes(spark: SparkSession, path: str, stream: bool = False, files_a_trigger: int = 1000) -> DataFrame:
     """JSON envelopes, a line each; a line that is none has all columns null but `_corrupt_record`."""
-    reader = spark.readStream if stream else spark.read
+    reader = spark.readStream.option("maxFilesPerTrigger", files_a_trigger) if stream else spark.read
     return reader.schema(f"{schemas.ENVELOPES}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
@@ -60,24 +66,84 @@ def all_raw_days(*tables: DataFrame) -> DataFrame:
     return days.distinct().orderBy("day")
 
 
-def append_new(rows: DataFrame, path: str, schema: str, within_days: int = 31) -> None:
-    """Add rows whose id is not stored yet; replays add nothing.
+def id_bucket(event_id: Column) -> Column:
+    """The part of an id index that an id belongs to, from the id alone, whenever it comes.
 
-    A replay can fall on another day, as an event without a time is taken for
-    the time received. So ids are looked for up to `within_days` around the
-    days of the rows, which is as long as raw days are kept; the days are
-    written into the condition, so that no other partition is read.
+    An id of UUID version 7 holds the time it was made, so it goes to that day:
+    new events touch the latest days, a replay the day it was first sent. All
+    other ids, and those of a time before 2020 or after 2099, are spread by hash.
+    """
+    ms = F.conv(F.concat(F.substring(event_id, 1, 8), F.substring(event_id, 10, 4)), 16, 10).cast("long")
+    days = F.floor(F.when(event_id.rlike(_VERSION_7), ms) / 86_400_000).cast("int")
+    day = F.when(days.between(*_ID_DAYS), F.date_add(F.lit(datetime.date(1970, 1, 1)), days))
+    return F.coalesce(F.concat(F.lit("d"), day.cast("string")), F.concat(F.lit("h"), F.pmod(F.xxhash64(event_id), F.lit(ID_BUCKETS)).cast("string")))
+
+
+def known_ids(spark: SparkSession, ids: str, touched: dict[str, list[str]]) -> DataFrame:
+    """project and id from the named buckets of an id index; no other partition is listed or read."""
+    paths = [path for project, buckets in touched.items() for bucket in buckets if _there(spark, path := f"{ids}/project={project}/bucket={bucket}")]
+    return spark.read.option("basePath", ids).schema(schemas.IDS).parquet(*paths).select("project", "id") if paths else spark.createDataFrame([], "project string, id string")
+
+
+def append_new(rows: DataFrame, path: str, schema: str, ids: str | None = None) -> None:
+    """Add rows whose id was never stored; replays of any age add nothing, on whatever day they fall.
+
+    The ids of a table are kept beside it in an index (`ids`, which tables may
+    share), so they outlive raw days that were dropped. A batch reads the
+    buckets of its own ids only, and the index is the side that need not be
+    shuffled: it is cut down to the batch's ids first, and the few that are left
+    are then taken off the batch. One writer at a time. A note of the days
+    stands while rows are written and their ids are not yet; if it is found, the
+    last writer was stopped, and the ids of those days are put in the index
+    first. So are the ids of a table that has no index yet.
     """
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates(["project", "id"])
-    if exists(spark, path):
-        first, last = rows.agg(F.min("day"), F.max("day")).first()
-        if first is None:
+    ids, note = ids or f"{path}_ids", f"{path}_writing"
+    if _there(spark, note):
+        _index(read_table(spark, path, schema).where(F.col("day").isin([r["day"] for r in spark.read.json(note, schema="day date").collect()])), ids)
+    elif not _there(spark, f"{ids}/_SUCCESS") and exists(spark, path):
+        _index(read_table(spark, path, schema), ids)
+    fresh = _unknown(rows.dropDuplicates(["project", "id"]), ids).persist()
+    try:
+        days = fresh.select("day").distinct()
+        if days.isEmpty():
             return
-        span = datetime.timedelta(within_days)
-        known = read_table(spark, path, schema).where(F.col("day").between(F.lit(first - span), F.lit(last + span))).select("project", "id")
-        fresh = fresh.join(known, ["project", "id"], "left_anti")
-    fresh.write.mode("append").partitionBy(*_PARTITION).parquet(path)
+        days.coalesce(1).write.mode("overwrite").json(note)
+        fresh.write.mode("append").partitionBy(*_PARTITION).parquet(path)
+        _add_ids(fresh, ids)
+        _delete(spark, note)
+    finally:
+        fresh.unpersist()
+
+
+def _unknown(rows: DataFrame, ids: str) -> DataFrame:
+    """Rows whose ids are not in the index."""
+    keys = rows.select("project", "id").where("id IS NOT NULL")
+    touched: dict[str, list[str]] = {}
+    for r in keys.select("project", id_bucket(F.col("id")).alias("bucket")).distinct().collect():  # days and hash buckets of a batch
+        touched.setdefault(r["project"], []).append(r["bucket"])
+    met = known_ids(rows.sparkSession, ids, touched).join(keys, ["project", "id"], "left_semi")
+    return rows.join(met.distinct(), ["project", "id"], "left_anti").select(*rows.columns)
+
+
+def _add_ids(rows: DataFrame, ids: str) -> None:
+    keyed = rows.select("project", "id").where("id IS NOT NULL").withColumn("bucket", id_bucket(F.col("id")))
+    keyed.hint("rebalance", "project", "bucket").write.mode("append").partitionBy("project", "bucket").parquet(ids)
+
+
+def _index(rows: DataFrame, ids: str) -> None:
+    """Put the ids of stored rows in the index, unless they are there."""
+    _add_ids(_unknown(rows.select("project", "id").distinct(), ids), ids)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where, files = _files(spark, path)
+    return files.exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    where, files = _files(spark, path)
+    return files.delete(where, True)
 
 
 def _files(spark: SparkSession, path: str):
@@ -125,6 +191,46 @@ def replace_days(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTITION).parquet(path)
 
 
+def read_log(spark: SparkSession, path: str, schema: str, merge: Callable[[DataFrame], DataFrame], before: int | None = None) -> DataFrame:
+    """One row for each key of what a stream wrote, a folder for each batch; `merge` brings rows of one key together.
+
+    A batch that ran twice has replaced its own folder, so it counts once.
+    Batches that `fold_log` has brought together are read from its last
+    finished table, the others (those `before` a number) from their folders.
+    """
+    folded = _numbers(spark, f"{path}_folded", "below", finished=True)
+    below = max(folded, default=0)
+    batches = [n for n in _numbers(spark, path, "batch") if n >= below and (before is None or n < before)]
+    paths = [f"{path}_folded/below={below}"] * bool(folded) + [f"{path}/batch={n}" for n in batches]
+    return merge(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema))
+
+
+def fold_log(spark: SparkSession, path: str, schema: str, merge: Callable[[DataFrame], DataFrame], before: int) -> None:
+    """Bring the batches before a number together in one table; what the table before it had brought together goes.
+
+    It may stop anywhere: a table that is not finished is not read, and the next
+    call drops what this one has left. Batches from `before` on stay, as they
+    may run again, and the last table and its batches stay until the next call,
+    so that no reader loses a file.
+    """
+    done = max((n for n in _numbers(spark, f"{path}_folded", "below", finished=True) if n < before), default=0)
+    target = f"{path}_folded/below={before}"
+    if not _there(spark, f"{target}/_SUCCESS"):
+        read_log(spark, path, schema, merge, before).write.mode("overwrite").parquet(target)
+    for folder, key in ((path, "batch"), (f"{path}_folded", "below")):
+        for n in _numbers(spark, folder, key):
+            if n < done:
+                _delete(spark, f"{folder}/{key}={n}")
+
+
+def _numbers(spark: SparkSession, path: str, key: str, finished: bool = False) -> list[int]:
+    """The numbers in the names of a table's folders, in order."""
+    where, files = _files(spark, path)
+    names = [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+    found = sorted(int(name[len(key) + 1 :]) for name in names if name.startswith(f"{key}="))
+    return [n for n in found if not finished or _there(spark, f"{path}/{key}={n}/_SUCCESS")]
+
+
 def rewrite(rows: DataFrame, path: str, partition: list[str] | None = None) -> str:
     """Write a table's new version beside the old one and give its path; a reader of the old one is not disturbed."""
     writer = rows.write.mode("errorifexists")

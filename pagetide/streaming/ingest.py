@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagetide import schemas
-from pagetide.operators import lifecycle
-from pagetide.operators.normalise import authorise, explode_events, minute_counters, outputs
+from pagetide.operators import cohorts, lifecycle
+from pagetide.operators.normalise import authorise, explode_events, merge_minutes, minute_counters, outputs
 from pagetide.operators.sessions import GAP_SECONDS
-from pagetide.sources.store import append_new
+from pagetide.sources import store
 
+#: Tables whose rows several batches share a key of, and how such rows become one.
+_MERGED = {"names": (schemas.NAMES, cohorts.merge_names), "minutes": (schemas.MINUTES, merge_minutes)}
 
-def ingest_stream(envelopes: DataFrame, projects: DataFrame, keys: DataFrame, salts: DataFrame, tables: str, checkpoint: str, trigger: dict | None = None, agg_days: DataFrame | None = None) -> StreamingQuery:
+
+def ingest_stream(envelopes: DataFrame, projects: DataFrame, keys: DataFrame, salts: DataFrame, tables: str, checkpoint: str, trigger: dict | None = None, agg_days: DataFrame | None = None, fold_every: int = 100) -> StreamingQuery:
     """Write the three families, quarantine, display names, notices, batch results and minute counters of a stream of envelopes.
 
     The checkpoint makes a batch run again after a failure, and appends leave
     out ids that are there already, so every event is stored once. Times are
     clamped before they are looked at, so nothing is dropped as late; rows for
-    days that are stored already go to a table of late rows.
+    days that are stored already go to a table of late rows. A family and its
+    late rows share an index of ids. Names and minute counters are read by
+    `stream_names` and `stream_minutes`; every `fold_every` batches, those that
+    can't run again are brought together.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -28,20 +34,35 @@ def ingest_stream(envelopes: DataFrame, projects: DataFrame, keys: DataFrame, sa
         events = explode_events(batches, salts).persist()
         out = outputs(batches, events)
         for family, rows in (("web", out.web), ("app", out.app), ("product", out.product)):
+            ids, late = f"{tables}/{family}_ids", None
             if agg_days is not None:
                 rows, late = lifecycle.late_rows(rows, agg_days, family)
-                append_new(late, f"{tables}/late_{family}", schemas.FAMILIES[family])
-            append_new(rows, f"{tables}/{family}", schemas.FAMILIES[family])
+            store.append_new(rows, f"{tables}/{family}", schemas.FAMILIES[family], ids)
+            if late is not None:
+                store.append_new(late, f"{tables}/late_{family}", schemas.FAMILIES[family], ids)
         # a batch that runs again replaces what it wrote
         out.quarantine.write.mode("overwrite").parquet(f"{tables}/quarantine/batch={number}")
         for name, rows in (("names", out.names), ("notices", out.notices), ("results", out.batch_results), ("minutes", minute_counters(events))):
             rows.write.mode("overwrite").parquet(f"{tables}/{name}/batch={number}")
+        if number and number % fold_every == 0:
+            for name, (schema, merge) in _MERGED.items():
+                store.fold_log(batch.sparkSession, f"{tables}/{name}", schema, merge, number)
         events.unpersist()
         batches.unpersist()
 
     return envelopes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
+def stream_names(spark: SparkSession, tables: str) -> DataFrame:
+    """The latest name of each id that a stream has written, for `cohorts.upsert_names`."""
+    return store.read_log(spark, f"{tables}/names", *_MERGED["names"])
+
+
+def stream_minutes(spark: SparkSession, tables: str) -> DataFrame:
+    """accepted and rejected by key label and minute, over all batches that fall in the minute."""
+    return store.read_log(spark, f"{tables}/minutes", *_MERGED["minutes"])
+
+
 def unique_events(events: DataFrame, within: str = "1 day") -> DataFrame:
     """A stream of events without repeated ids; state is kept only as long as clients try again."""
     return events.withWatermark("received_at", within).dropDuplicatesWithinWatermark(["project", "id"])

@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import ipaddress
 import json
 
 import pytest
@@ -171,3 +172,85 @@ def test_urls(spark):
     assert urls.shape_urls(hrefs, mask={"pattern": "("}).count() == 0 and urls.shape_urls(hrefs).count() == 1
     merged = value(urls.with_defaults(F.create_map(F.lit("a"), F.lit("1")), {"a": "0", "b": "2"}))
     assert merged == {"a": "1", "b": "2"}
+
+
+def test_mapped_addresses_and_ranges_of_every_size(spark):
+    digits = lambda a: f"{int(ipaddress.ip_address(a)):032x}"
+    four = spark.createDataFrame([(int(ipaddress.ip_address("1.2.3.0")), int(ipaddress.ip_address("1.2.3.255")), "A")], "ip_lo long, ip_hi long, country string")
+    spans = [("2001:db8::", "2001:db8::ff", "B"), ("2001:db8::100", "2001:db8:0:1::", "C"), ("2001:db9::", "2001:dc0::", "D"), ("2a00::", "2b00::", "E")]
+    six = spark.createDataFrame([(digits(a), digits(b), c) for a, b, c in spans], "ip_lo string, ip_hi string, country string")
+    cases = [
+        ("1.2.3.4", "A"), ("::ffff:1.2.3.4", "A"), ("::FFFF:102:304", "A"), ("0:0:0:0:0:ffff:1.2.3.4", "A"), ("::ffff:1.2.4.4", ""), ("::1.2.3.4", ""), ("2001:db8::ff", "B"), ("2001:db8::100", "C"),
+        ("2001:db8:0:1::1", ""), ("2001:dbf:ffff::", "D"), ("2a7f::1", "E"), ("2b00::", "E"), ("2b00::1", ""), ("x", ""), (None, ""), ("1.2.3.4", "A"),
+    ]
+    df = spark.createDataFrame([(i, a, w, "old") for i, (a, w) in enumerate(cases)], "id int, ip string, want string, country string")
+    out = enrich.country_of_ip(df, "ip", four, six)
+    assert [(r.id, r.country) for r in out.orderBy("id").collect()] == [(i, w) for i, (_, w) in enumerate(cases)]
+    assert "Aggregate" not in out._jdf.queryExecution().toString()
+    assert {r.country for r in enrich.country_of_ip(df, "ip", four).where("ip LIKE '2%'").collect()} == {""}
+
+
+def hit(id_, day, project="p"):
+    at = datetime.datetime.combine(day, datetime.time(12))
+    return (id_, project, day, at, at) + ("",) * 13
+
+
+def test_replays_of_any_age_are_refused(spark, tmp_path, monkeypatch):
+    path, day = str(tmp_path / "web"), datetime.date(2026, 1, 5)
+    ms = int(datetime.datetime(2026, 1, 5, 12, tzinfo=datetime.UTC).timestamp() * 1000)
+    timed = f"{ms:012x}"[:8] + "-" + f"{ms:012x}"[8:] + "-7000-8000-000000000001"
+    frame = lambda *hits: spark.createDataFrame(list(hits), schemas.WEB_HITS)
+    stored = lambda: sorted((r.project, r.id) for r in store.read_table(spark, path, schemas.WEB_HITS).collect())
+    assert spark.createDataFrame([(timed,), (timed.upper(),), (timed[:8].replace("0", "f") + timed[8:],)], "id string").select(store.id_bucket(F.col("id")).alias("b")).first().b == "d2026-01-05"
+    store.append_new(frame(hit(timed, day), hit("a", day), hit("a", day), hit("a", day, "q")), path, schemas.WEB_HITS)
+    want = [("p", "a"), ("p", timed), ("q", "a")]
+    assert stored() == sorted(want)
+    late = day + datetime.timedelta(200)
+    store.append_new(frame(hit(timed, late), hit("a", late), hit("b", late)), path, schemas.WEB_HITS)
+    assert stored() == sorted([*want, ("p", "b")])
+    store.drop_partition(spark, path, "p", day)
+    store.append_new(frame(hit(timed, day), hit("a", day)), path, schemas.WEB_HITS)
+    assert stored() == [("p", "b"), ("q", "a")]
+    # only the buckets of the ids at hand are read
+    read = store.known_ids(spark, f"{path}_ids", {"p": ["d2026-01-05", "d2026-01-06"]})
+    assert [r.id for r in read.collect()] == [timed] and all("bucket=d2026-01-05" in f for f in read.inputFiles())
+    # a writer that stops before it has noted its ids
+    with monkeypatch.context() as m:
+        m.setattr(store, "_add_ids", lambda rows, ids: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.append_new(frame(hit("c", day)), path, schemas.WEB_HITS)
+    store.append_new(frame(hit("c", day), hit("d", day)), path, schemas.WEB_HITS)
+    assert stored() == [("p", "b"), ("p", "c"), ("p", "d"), ("q", "a")]
+    # a table from before there was an index
+    old = str(tmp_path / "old")
+    frame(hit("x", day)).write.partitionBy("project", "day").parquet(old)
+    store.append_new(frame(hit("x", late), hit("y", late)), old, schemas.WEB_HITS)
+    assert store.read_table(spark, old, schemas.WEB_HITS).count() == 2
+    store.append_new(frame(hit("y", late)).where("false"), old, schemas.WEB_HITS)
+    assert store.read_table(spark, old, schemas.WEB_HITS).count() == 2
+
+
+def test_batches_of_one_key_add_up_once(spark, tmp_path):
+    path, minute = str(tmp_path / "minutes"), NOON
+
+    def write(number, *rows):
+        spark.createDataFrame([(minute, *r) for r in rows], schemas.MINUTES).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    read = lambda: sorted((r.label, r.accepted, r.rejected) for r in store.read_log(spark, path, schemas.MINUTES, normalise.merge_minutes).collect())
+    fold = lambda n: store.fold_log(spark, path, schemas.MINUTES, normalise.merge_minutes, n)
+    assert read() == []
+    write(0, ("a", 1, 0), ("b", 2, 1))
+    write(1, ("a", 3, 1))
+    write(1, ("a", 3, 1))  # runs again
+    assert read() == [("a", 4, 1), ("b", 2, 1)]
+    write(2, ("b", 5, 0))
+    fold(2)
+    assert read() == [("a", 4, 1), ("b", 7, 1)]
+    write(2, ("b", 5, 0))
+    write(3, ("c", 1, 1))
+    (tmp_path / "minutes_folded" / "below=4").mkdir()  # a table that was not finished
+    assert read() == [("a", 4, 1), ("b", 7, 1), ("c", 1, 1)]
+    fold(4)
+    fold(4)
+    fold(5)
+    assert read() == [("a", 4, 1), ("b", 7, 1), ("c", 1, 1)]
+    assert sorted(p.name for p in (tmp_path / "minutes").iterdir()) == [] and sorted(p.name for p in (tmp_path / "minutes_folded").iterdir()) == ["below=4", "below=5"]
