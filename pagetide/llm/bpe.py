@@ -4,8 +4,8 @@ A rolling hash cuts texts into chunks, so that equal passages of different
 documents give equal chunks wherever they stand. Documents are brought together
 by their smallest chunk hash and sorted by it, a task reuses the ids of a chunk
 for every document that holds it while they are in its memo (MEMO_BYTES), and
-the join of two chunks is repaired by encoding the words around it again until
-the ids agree on both sides.
+the join of two chunks is repaired by encoding what stands around it again until
+the ids agree on both sides: some letters of a run of letters, else the words.
 """
 
 from __future__ import annotations
@@ -32,6 +32,14 @@ REACH = 64
 #: Limits of what a worker remembers: words, the longest of them, bytes of chunks.
 MEMO_WORDS, MEMO_CHARS, MEMO_BYTES = 500_000, 48, 24_000_000
 
+#: Letters of scripts whose places in Unicode are settled; a run of them is never split before its merges.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿΑ-ΡΣ-ώЀ-ҁא-תء-غف-يぁ-ゔァ-ヺ一-龥가-힣"
+_LETTERS = re.compile(f"[{_LETTER}]+")
+#: Places where a token begins in any context: a blank between two characters that are none, and behind a letter, at the
+#: other kind of character here. One of the two is never ASCII but for digits, so no special token has such a place inside.
+_BEGINS = re.compile(f"(?<=[!-~{_LETTER}])(?= [!-~{_LETTER}])|(?<=[^\\W\\d_A-Za-z])(?<=[{_LETTER}])(?=[0-9.,;:!?()\\n])|(?<=[{_LETTER}])(?=[、。！，：；？])|(?<=[、。！，：；？])(?=[{_LETTER}])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+#: Bytes on either side of a join in a run of letters that are encoded again at first.
+NEAR = 64
 _UNEVEN = re.compile(r"\s[^\S ]|[^\S ] |  |[\0᠎​﻿]")
 _PLAIN = re.compile(r"(?<=\0)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]*)(?=\0)")
 _SPLIT = r"\n| ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,]+"
@@ -144,6 +152,8 @@ class ChunkEncoder:
 
     def _repair(self, data: bytes, done: list[tuple[int, np.ndarray]], cut: int, end: int, ids: np.ndarray) -> tuple[int, np.ndarray]:
         """Encode again from a sure boundary before the cut to one behind it; widen until both sides agree."""
+        if near := self._repair_letters(data, done, cut, end, ids):
+            return near
         first, last = cut, cut
         keep = skip = None
         while keep is None or skip is None:
@@ -160,24 +170,67 @@ class ChunkEncoder:
         done[-1] = (begin, left[:keep])
         return first, np.concatenate([np.frombuffer(self._plain(data[first:last].decode()), "<u4"), ids[skip:]])
 
+    def _repair_letters(self, data: bytes, done: list[tuple[int, np.ndarray]], cut: int, end: int, ids: np.ndarray) -> tuple[int, np.ndarray] | None:
+        """The same inside a run of letters, however long, by what stands near the cut; None where other characters are near.
+
+        Ids of a run are those of its merges if each two neighbours are. So the
+        ends of a window need one id each that the sides have there too: its
+        neighbours outside are then as they were, and those inside are encoded.
+        """
+        near = NEAR
+        right = cut + np.cumsum(self._length[ids])
+        while True:
+            while len(done) > 1 and done[-1][0] > cut - near:
+                begin, own = done.pop()
+                done[-1] = (done[-1][0], np.concatenate([done[-1][1], own]))
+            begin, left = done[-1]
+            starts = begin + np.cumsum(self._length[left]) - self._length[left]
+            k = next((k for k in range(max(int(np.searchsorted(starts, cut - near, "right")) - 1, 0), -1, -1) if data[starts[k]] & 0xC0 != 0x80), None)
+            j = next((j for j in range(min(int(np.searchsorted(right, cut + near)), len(right) - 1), len(right)) if right[j] == end or data[right[j]] & 0xC0 != 0x80), None)
+            if k is None or j is None:
+                return None
+            first, last = int(starts[k]), int(right[j])
+            # three letters stand before the window, so that it does not begin in a shortened word such as 've
+            before = data[max(first - 12, 0) : first].decode("utf-8", "ignore")[-3:]
+            if not _LETTERS.fullmatch(data[first:last].decode()) or len(before) < 3 or not _LETTERS.fullmatch(before):
+                return None
+            again = np.frombuffer(self._plain(data[first:last].decode()), "<u4")
+            if again[0] == left[k] and (last == end or again[-1] == ids[j]):
+                done[-1] = (begin, left[:k])
+                return first, np.concatenate([again, ids[j + 1 :]])
+            if first == begin and len(done) == 1 and last == end:
+                return None
+            near *= 2
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join([self.token_bytes[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
 def _is_sure(data: bytes, at: int) -> bool:
-    """Whether a token begins at a space here in any context, so that joined ids agree as they are."""
-    return 0 < at < len(data) - 1 and data[at] == 0x20 and 0x21 <= data[at - 1] <= 0x7E and 0x21 <= data[at + 1] <= 0x7E
+    """Whether a token begins here in any context, so that joined ids agree as they are."""
+    return _sure(data, at - 1, at + 1, back=False) == at if 0 < at < len(data) - 1 else False
 
 
 def _sure(data: bytes, low: int, high: int, back: bool) -> int:
     """A place strictly between low and high where a token begins in any context, or low or high if there is none."""
+    low, high = max(low, 0), min(high, len(data))
+    step = REACH
     at = high if back else low
-    while True:
-        at = data.rfind(b" ", low + 1, at) if back else data.find(b" ", at + 1, high)
-        if at < 0:
-            return low if back else high
-        if at + 1 < len(data) and at + 1 < (high if not back else len(data)) and 0x21 <= data[at - 1] <= 0x7E and 0x21 <= data[at + 1] <= 0x7E:
-            return at
+    while low < high:
+        # the next piece to look at, with a character more on either side
+        begin, end = (max(low, at - step), at) if back else (at, min(high, at + step))
+        first = max(begin - 4, 0)
+        while first and data[first] & 0xC0 == 0x80:
+            first -= 1
+        text = data[first : end + 8].decode("utf-8", "ignore")
+        found = [first + len(text[: m.start()].encode()) for m in _BEGINS.finditer(text)]
+        found = [x for x in found if low < x < high and begin <= x <= end]
+        if found:
+            return found[-1] if back else found[0]
+        if (begin <= low) if back else (end >= high):
+            break
+        at, step = (begin if back else end), 2 * step
+    return low if back else high
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +36,36 @@ def test_chunks_equal_the_library(monkeypatch):
         assert encoder.decode(np.array(ids, np.uint32)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_long_texts_without_spaces_between_ascii(monkeypatch):
+    library, rng = Tokenizer.from_file(BYTES), random.Random(8)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 12)))
+    scripts = {
+        "cyrillic": " ".join(word("абвгдеёжзиклмнопрстуя") for _ in range(9000)),
+        "chinese": "".join(word("汉字的一是不了人我在有他这为之大来以个中上") + rng.choice("，。！？") for _ in range(9000)),
+        "one run": "".join(rng.choices("汉字的一是不了人我在有他", k=30_000)),
+        "letters": "".join(rng.choices("acgt", k=60_000)),
+        "same": "я" * 20_000,
+        "base64": "".join(rng.choices("ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/", k=60_000)),
+        "mixed": "".join(rng.choice(["'ve", "'s", " ", "  ", "x", "я", "，", "汉", "7", "\u3000", "\u00a0", "<|endoftext|>", "\n", ".", "'"]) for _ in range(30_000)),
+    }
+    for mean, reach in ((512, 64), (16, 3)):
+        monkeypatch.setattr(bpe, "REACH", reach)
+        for name, text in scripts.items():
+            assert bpe.ChunkEncoder(BYTES, mean=mean).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, name
+
+
+def test_time_is_linear_in_texts_of_any_script():
+    rng = random.Random(9)
+    for letters, between in (("абвгдежзиклмн", " "), ("汉字的一是不了人我", "，"), ("汉字的一是不了人我", ""), ("acgt", "")):
+        text = between.join("".join(rng.choices(letters, k=6)) for _ in range(60_000))
+        seconds = []
+        for part in (text[: len(text) // 4], text):
+            began = time.process_time()
+            bpe.ChunkEncoder(BYTES).encode(part)
+            seconds.append(time.process_time() - began)
+        assert seconds[1] < 10 * seconds[0] + 2, (letters, between, seconds)
+
+
 def test_cuts_follow_content():
     rng = random.Random(1)
     passage = " ".join(str(rng.random()) for _ in range(400)).encode()
