@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pagetide import schemas
 
 _PARTITION = ["project", "day"]
-#: Hash buckets of an id index, in each project.
-ID_BUCKETS = 32
+#: Hash buckets of an id index, in each project; ids without a time give nothing to prune by, so a few will do.
+ID_BUCKETS = 8
 _VERSION_7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 #: 2020-01-01 and 2099-12-31 in days since 1970.
 _ID_DAYS = (18_262, 47_481)
