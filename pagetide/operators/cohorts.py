@@ -56,17 +56,30 @@ def retention(known: DataFrame, app: DataFrame, web: DataFrame, product: DataFra
     )
 
 
-def known_actors(log: DataFrame) -> DataFrame:
-    """The actors of a log to which passes append: the surface of the first entry, the earliest and the latest day."""
+def merge_actors(log: DataFrame) -> DataFrame:
+    """A log to which passes append, one row for each actor: the surface of the first entry, the earliest and the latest day.
+
+    The result beside the log it was made from, or beside later entries, merges to the same.
+    """
     return log.groupBy("project", "actor_id").agg(
-        F.min_by("surface", F.struct("seq", "first_seen_day")).alias("surface"), F.min("first_seen_day").alias("first_seen_day"), F.max("last_seen_day").alias("last_seen_day")
-    )
+        F.min_by("surface", F.struct("seq", "first_seen_day")).alias("surface"),
+        F.min("first_seen_day").alias("first_seen_day"), F.max("last_seen_day").alias("last_seen_day"), F.min("seq").alias("seq"),
+    )
+
+
+def known_actors(log: DataFrame) -> DataFrame:
+    """The actors of such a log."""
+    return merge_actors(log).drop("seq")
+
+
+def merge_cell_log(log: DataFrame) -> DataFrame:
+    """A log of retention cells, one row for each: the largest count, as a cell is complete while its day has all rows."""
+    return log.groupBy("project", "surface", "cohort_day", "day_offset").agg(F.max("actors").alias("actors"))
 
 
 def merge_cells(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     """Retention cells where a recomputed cell wins only if its day still had all rows: counts never shrink."""
-    keys = ["project", "surface", "cohort_day", "day_offset"]
-    return existing.unionByName(fresh).groupBy(*keys).agg(F.max("actors").alias("actors"))
+    return merge_cell_log(existing.unionByName(fresh))
 
 
 def with_cohort_size(cells: DataFrame) -> DataFrame:

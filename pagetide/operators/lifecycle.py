@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide import schemas
-from pagetide.operators import cohorts
-from pagetide.plans.views import VIEWS, Lazy, Tables, retention_cells
+from pagetide.operators import cohorts, normalise
+from pagetide.plans.views import VIEWS, Lazy, Tables, noted_days, retention_cells
 from pagetide.sources import store
 
 _FAMILIES = ("web", "product", "app")
@@ -57,7 +57,13 @@ class Pass:
     raw: dict[str, DataFrame]
 
 
-def daily_pass(t: Tables, today: datetime.date, known_actors: DataFrame | None = None) -> Pass:
+def leaving_days(t: Tables, today: datetime.date) -> DataFrame:
+    """family, project and day that a pass must store now: aged out, and not stored yet. Archived projects have none."""
+    leaving = aged_out_days(t.web, t.app, t.product, retention_windows(t.projects.where("NOT archived")), today)
+    return leaving if t.agg_days is None else leaving.join(t.agg_days, ["family", "project", "day"], "left_anti")
+
+
+def daily_pass(t: Tables, today: datetime.date, known_actors: DataFrame | None = None, leaving: DataFrame | None = None) -> Pass:
     """One plan for each aggregate over all projects and aged-out days.
 
     Archived projects are left alone. A day's identity counts are stored with
@@ -65,12 +71,10 @@ def daily_pass(t: Tables, today: datetime.date, known_actors: DataFrame | None =
     are computed over all raw days together, so no order of days matters.
     """
     live = t.projects.where("NOT archived")
-    windows = retention_windows(live)
-    leaving = aged_out_days(t.web, t.app, t.product, windows, today)
-    if t.agg_days is not None:
-        leaving = leaving.join(t.agg_days, ["family", "project", "day"], "left_anti")
+    leaving = leaving_days(t, today) if leaving is None else leaving
     stored = leaving.unionByName(frozen_identity_days(t, leaving))
-    aggregates = {name: compute(t.only(family, stored)) for name, (family, compute) in VIEWS.items()}
+    noted = noted_days(stored)  # found once, so that each aggregate reads the partitions of its days alone
+    aggregates = {name: compute(t.only(family, stored, noted)) for name, (family, compute) in VIEWS.items()}
     known = t.known if known_actors is None else known_actors
     days = leaving.select("project", "day").distinct()
     part = {name: getattr(t, name).join(days, ["project", "day"], "left_semi") for name in _FAMILIES}
@@ -88,11 +92,12 @@ def daily_pass(t: Tables, today: datetime.date, known_actors: DataFrame | None =
 
 def _store_pass(spark: SparkSession, root: str, t: Tables, today: datetime.date) -> None:
     """Write what a pass over these tables computes; a rerun writes the same again, up to the note that ends it."""
-    done = daily_pass(t, today)
-    noted = done.agg_days if t.agg_days is None else done.agg_days.join(t.agg_days, ["family", "project", "day"], "left_anti")
-    days = noted.collect()  # the days that leave now, a few for each project
-    if not days:
+    leaving = leaving_days(t, today).collect()  # a few days for each project
+    if not leaving:
         return
+    done = daily_pass(t, today, leaving=spark.createDataFrame(leaving, schemas.AGG_DAYS))
+    noted = done.agg_days if t.agg_days is None else done.agg_days.join(t.agg_days, ["family", "project", "day"], "left_anti")
+    days = noted.collect()  # those, and the identity days that must be stored with them
     for name, (family, _) in VIEWS.items():
         if any(r["family"] == family for r in days):
             store.replace_days(done.aggregates[name], f"{root}/aggregates/{name}")
@@ -116,7 +121,8 @@ def age_out(spark: SparkSession, root: str, t: Tables, today: datetime.date) ->
     beyond their window, late ones that came in meanwhile too. If the pass
     fails, each project is tried alone, so that one with broken data leaves the
     others be; the result has the errors by project. Aggregates beyond their
-    window go last, by folder.
+    window go last, by folder, and with them actors last seen and cohorts begun
+    before that.
     """
     failed: dict[str, str] = {}
     projects = [r["alias"] for r in t.projects.where("NOT archived").select("alias").collect()]
@@ -139,6 +145,7 @@ def age_out(spark: SparkSession, root: str, t: Tables, today: datetime.date) ->
         except Exception as error:
             failed[r["project"]] = str(error)
     prune_stored(spark, root, windows, today)
+    prune_logs(spark, root, windows, today)
     return failed
 
 
@@ -155,6 +162,40 @@ def prune_stored(spark: SparkSession, root: str, windows: DataFrame, today: date
     return gone
 
 
+def prune_logs(spark: SparkSession, root: str, windows: DataFrame, today: datetime.date) -> list[str]:
+    """Leave actors last seen, and cohorts begun, before each project's aggregate window out of the stored logs; the projects rewritten.
+
+    Only projects with such entries are read as a whole and written again, one
+    row for each actor or cell, so the logs are compacted on the way. The
+    cutoff is that of the app family.
+    """
+    kept = windows.where("family = 'app' AND aggregate_days IS NOT NULL").select("project", F.date_sub(F.lit(today), F.col("aggregate_days")).alias("_cutoff"))
+    rewritten = set()
+    for name, schema, merge, column in (("actors", schemas.ACTORS, cohorts.merge_actors, "last_seen_day"), ("cells", schemas.CELLS, cohorts.merge_cell_log, "cohort_day")):
+        old = store.read_table(spark, f"{root}/{name}", schema).join(F.broadcast(kept), "project").where(F.col(column) < F.col("_cutoff"))
+        projects = [r["project"] for r in old.select("project").distinct().collect()]
+        if projects:
+            new = lambda log, m=merge, c=column: m(log).join(F.broadcast(kept), "project", "left").where(F.col("_cutoff").isNull() | (F.col(c) >= F.col("_cutoff")))
+            store.bring_together(spark, f"{root}/{name}", projects, schema, new)
+            rewritten.update(projects)
+    return sorted(rewritten)
+
+
+def rotate_stored_salts(spark: SparkSession, path: str, now: datetime.datetime, hours: int = 24) -> DataFrame:
+    """Rotate the stored salts in one step and give those that hold now; call it again and again, as a timer does.
+
+    The new version is written whole before any reader takes it; then the old
+    ones, whose salts may be over, are deleted. If it stops in between, the next
+    call deletes them.
+    """
+    before = store.read_version(spark, path, schemas.SALTS)
+    after = normalise.rotate_salts(before, now, hours).collect()  # a few salts
+    if sorted(after) != sorted(before.collect()):
+        store.write_version(spark.createDataFrame(after, schemas.SALTS), path)
+    store.drop_old_versions(spark, path)
+    return store.read_version(spark, path, schemas.SALTS)
+
+
 def opened(spark: SparkSession, root: str, projects: DataFrame, identities: DataFrame, **caps: int) -> Tables:
     """The stored tables under `root`, raw and aggregated, for views and for the next pass."""
     raw = [store.read_table(spark, f"{root}/{family}", schemas.FAMILIES[family]) for family in ("web", "app", "product")]
@@ -162,7 +203,7 @@ def opened(spark: SparkSession, root: str, projects: DataFrame, identities: Data
     known = cohorts.known_actors(store.read_table(spark, f"{root}/actors", schemas.ACTORS))
     cells = store.read_table(spark, f"{root}/cells", schemas.CELLS)
     agg_days = store.read_table(spark, f"{root}/agg_days", schemas.AGG_DAYS)
-    return Tables(*raw, projects, identities, agg=agg, agg_days=agg_days, known=known, cells=cells, **caps)
+    return Tables(*raw, projects, identities, agg=agg, agg_days=agg_days, noted=noted_days(agg_days), known=known, cells=cells, **caps)
 
 
 #: Every table under a root, each with a folder for each project.

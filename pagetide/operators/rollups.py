@@ -49,6 +49,16 @@ def web_daily(hits: DataFrame, gap_s: int = GAP_SECONDS) -> DataFrame:
     )
 
 
+def live_daily(parts: DataFrame) -> DataFrame:
+    """What web_daily gives, from merged session parts: one row for each session instead of one for each hit."""
+    by_actor = parts.groupBy(*_DAY, "actor_id").agg(
+        F.sum("hit_count").alias("hits"), F.count("*").alias("n"), F.count_if(F.col("hit_count") == 1).alias("single"), F.sum(F.col("ended") - F.col("started")).alias("s")
+    )
+    return by_actor.groupBy(*_DAY).agg(
+        F.count("*").alias("visitors"), F.sum("hits").alias("pageviews"), F.sum("n").alias("sessions"), F.sum("single").alias("bounces"), F.sum("s").alias("duration_sec")
+    )
+
+
 def web_dimension(hits: DataFrame, name: str) -> DataFrame:
     """visitors and pageviews by one breakdown; for utm, hits without any campaign are left out."""
     columns = WEB_DIMENSIONS[name]

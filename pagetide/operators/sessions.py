@@ -47,6 +47,24 @@ def app_sessions(views: DataFrame, gap_s: int = GAP_SECONDS) -> DataFrame:
     )
 
 
+def session_parts(hits: DataFrame, gap_s: int = GAP_SECONDS) -> DataFrame:
+    """project, day, actor_id, started, ended and hit_count of the sessions within a batch of hits; times in seconds."""
+    return merge_parts(hits.select(*_ACTOR, F.unix_timestamp("ts").alias("started"), F.unix_timestamp("ts").alias("ended"), F.lit(1).cast("long").alias("hit_count")), gap_s)
+
+
+def merge_parts(parts: DataFrame, gap_s: int = GAP_SECONDS) -> DataFrame:
+    """Sessions from their parts in several batches, which may come in any order; columns as of session_parts.
+
+    A late hit may join two sessions. Merging parts that were merged before
+    gives the same as merging all hits.
+    """
+    order = W.partitionBy(*_ACTOR).orderBy("started")
+    before = F.max("ended").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = parts.select(*_ACTOR, "started", "ended", "hit_count", (before.isNull() | (F.col("started") - before > gap_s)).cast("int").alias("_new"))
+    numbered = marked.withColumn("_no", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*_ACTOR, "_no").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("hit_count").alias("hit_count")).drop("_no")
+
+
 def session_metrics(sessions: DataFrame) -> DataFrame:
     """sessions, bounces and duration_sec of web sessions by project and day."""
     return sessions.groupBy("project", "day").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetide import schemas
 from pagetide.functions import enrich, urls
-from pagetide.operators import cohorts, lifecycle, normalise, rollups
+from pagetide.operators import cohorts, lifecycle, normalise, rollups, sessions
 from pagetide.plans import reports, views
 from pagetide.plans.views import Tables
 from pagetide.sources import driver_tables as source
@@ -117,6 +117,15 @@ def _salts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise.rotate_salts(source.registry(spark, sf_dir)[2], datetime.datetime(2024, 1, 15, 12)).select("valid_from", "valid_to")
 
 
+def _stored_salts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored salts after two rotations at the same time, the second of which has nothing to do."""
+    path, now = store.scratch(spark, "salts"), datetime.datetime(2024, 1, 15, 12)
+    store.write_version(source.registry(spark, sf_dir)[2], path)
+    for _ in range(2):
+        salts = lifecycle.rotate_stored_salts(spark, path, now)
+    return salts.select("valid_from", "valid_to")
+
+
 def _client_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source.from_ev(spark, sf_dir, "SELECT id, CASE WHEN n % 3 = 0 THEN '1.2.3.4' ELSE '' END AS c, CASE WHEN n % 3 = 1 THEN ' 9.9.9.9 , 8.8.8.8' END AS f, CASE WHEN n % 2 = 0 THEN '[2001:db8::1]:80' ELSE '7.7.7.7:80' END AS p FROM ev ")
     return rows.select("id", enrich.client_ip(F.col("c"), F.col("f"), F.col("p")).alias("ip"))
@@ -213,6 +222,24 @@ def _stream_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.upsert_names(none, ingest.stream_names(spark, f"{path}/t")).select("project", "kind", "id", "name")
 
 
+def _late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a stream where every day of one project is stored already: its rows are set apart, none is lost."""
+    path = store.scratch(spark, "ingested")
+    days = spark.sql("SELECT 'web' AS family, 'p1' AS project, explode(sequence(DATE '2023-01-01', DATE '2025-12-31')) AS day")
+    ingest.ingest_stream(_arrived(spark, sf_dir), *source.registry(spark, sf_dir), f"{path}/t", f"{path}/checkpoint", _NOW, agg_days=lambda: days).awaitTermination()
+    parts = [store.read_table(spark, f"{path}/t/{name}", schemas.WEB_HITS).select("id", "project", "ts", F.lit(late).alias("late")) for name, late in (("web", False), ("late_web", True))]
+    return parts[0].unionByName(parts[1])
+
+
+def _live_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days from the sessions that four batches of mixed hits have written, one of them twice; two are brought together on the way."""
+    path, hits = store.scratch(spark, "ingested"), source.web_hits(spark, sf_dir)
+    for n in (3, 0, 1, 1, 2):
+        sessions.session_parts(hits.where(F.pmod(F.crc32("id"), F.lit(4)) == n)).write.mode("overwrite").parquet(f"{path}/visits/batch={n}")
+    store.fold_log(spark, f"{path}/visits", schemas.SESSION_PARTS, sessions.merge_parts, 2)
+    return ingest.live_web_daily(spark, path)
+
+
 def _event_stream(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
     return ingest.event_stream(_arrived(spark, sf_dir, times), *source.registry(spark, sf_dir))
 
@@ -282,6 +309,15 @@ def _aged_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.view("v_retention", _pass(spark, root, t))
 
 
+def _pruned_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored cells after a pass that stores all days but the last; one project keeps its cohorts for 20 days, the others for a year."""
+    t = _plain_tables(spark, sf_dir)
+    root = _store_families(spark, t)
+    one = "named_struct('raw_days', 1, 'aggregate_days', CASE alias WHEN 'p1' THEN 20 ELSE 365 END)"
+    _pass(spark, root, t, t.projects.withColumn("retention", F.expr(f"named_struct('web', {one}, 'product', {one}, 'app', {one})")))
+    return cohorts.merge_cell_log(store.read_table(spark, f"{root}/cells", schemas.CELLS))
+
+
 def _renamed_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of a project that age, take another alias, get a late row each, and go through one more pass."""
     t = _plain_tables(spark, sf_dir)
@@ -342,6 +378,7 @@ UNION ALL SELECT 'p' || CAST(p AS VARCHAR), 'group', 'g' || CAST(u % 7 AS VARCHA
         f", {users} SELECT 'b' || CAST(u AS VARCHAR) AS batch_id, CAST(512 AS BIGINT) AS path_length, '1500000000000000000000000000000' AS big, '0.000000000000001' AS small, CAST(u AS VARCHAR) AS whole, '0.1234567890123456' AS exact, CASE WHEN u % 5 = 0 THEN 'no salt for its time' ELSE '' END AS reject_reason FROM users",
     )
     add("salt_1_rotate", _salts, "SELECT DISTINCT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS valid_from, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS valid_to FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-15'")
+    add("salt_1_stored_rotation", _stored_salts, "SELECT DISTINCT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS valid_from, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS valid_to FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-15'")
     add("enr_8_client_ip", _client_ip, "SELECT id, CASE n % 3 WHEN 0 THEN '1.2.3.4' WHEN 1 THEN '9.9.9.9' ELSE CASE WHEN n % 2 = 0 THEN '2001:db8::1' ELSE '7.7.7.7' END END AS ip FROM ev")
     add("enr_7_any_address", _any_address, "SELECT id, CASE n % 8 WHEN 1 THEN 'C6' WHEN 2 THEN 'C6' WHEN 5 THEN 'C4' WHEN 7 THEN 'C4' ELSE '' END AS country FROM ev")
     add("url_5_fail_closed_masks", _masks, "SELECT m AS mask, count(*) AS n FROM pages, LATERAL unnest(['none', 'valid']) AS u(m) GROUP BY m")
@@ -355,6 +392,8 @@ UNION ALL SELECT 'p' || CAST(p AS VARCHAR), 'group', 'g' || CAST(u % 7 AS VARCHA
         _stream_results,
         f", {accepted} SELECT batch_id, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected, count(*) FILTER (bad) + count(*) FILTER (NOT bad AND n % 10 = 0) + count(*) FILTER (name = '$odd') AS n_notices FROM ok GROUP BY batch_id",
     )
+    add("str_1_late_rows", _late_rows, f", {accepted} SELECT id, project, moment AS ts, project = 'p1' AS late FROM ok WHERE {stored} AND name = '$pageview'")
+    report("str_5_vw_1_live_half", _live_half, "SELECT * FROM v_web_daily")
     minutes = f"SELECT {noon} AS minute, 'label ' || project AS label, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected FROM ok"
     add("str_1_stream_minutes", _stream_minutes, f", {accepted} {minutes} GROUP BY ALL")
     add("str_1_minutes_over_triggers", _minutes_over_triggers, f", {accepted} {minutes} GROUP BY ALL")
@@ -371,6 +410,7 @@ UNION ALL SELECT DISTINCT 'p' || CAST(p AS VARCHAR), 'group', 'g' || CAST(u % 7
     report("lif_1_4_stored_views", _aged_view, "SELECT v.*, CASE WHEN v.project = 'p1' OR v.day >= DATE '2024-01-24' THEN v.pageviews ELSE 0 END AS raw_rows FROM v_web_daily v")
     report("lif_4_interrupted_pass", _interrupted, "SELECT v.*, CASE WHEN v.project = 'p1' OR v.day >= DATE '2024-01-24' THEN v.pageviews ELSE 0 END AS raw_rows FROM v_web_daily v")
     report("lif_1_vw_20_aged_retention", _aged_retention, "SELECT * FROM v_retention")
+    report("lif_5_coh_6_pruned_logs", _pruned_logs, "SELECT * FROM cells WHERE project <> 'p1' AND cohort_day + CAST(day_offset AS INTEGER) < DATE '2024-01-30'")
     report("lif_7_renamed_late_row", _renamed_late, "SELECT * REPLACE (CASE WHEN project = 'p2' THEN 'renamed' ELSE project END AS project) FROM v_web_daily")
     add("lif_6_7_stored_partitions", _erased, "SELECT CASE project WHEN 'p2' THEN 'renamed' ELSE project END AS project, day, count(*) AS n FROM web_hits WHERE project <> 'p1' GROUP BY ALL")
     add("coh_6_prune_known_actors", on(lambda t: cohorts.prune_actors(cohorts.actors(t.app, t.web, t.product), views.retention_cells(t), datetime.date(2024, 1, 25))[0]), "SELECT * FROM actors WHERE last_seen_day >= '2024-01-25'")

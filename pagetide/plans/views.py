@@ -7,15 +7,46 @@ from raw rows as well, so numbers don't move or double when a day ages over.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagetide.operators import cohorts, rollups
 
 _DAY = ["project", "day"]
+#: Runs of stored days that a condition on partitions may name; where there are more, the halves of a view are told apart by joins.
+MOST_RUNS = 1000
+
+
+def noted_days(agg_days: DataFrame) -> dict[str, Column] | None:
+    """For each family the condition on project and day under which a day is stored; None beyond MOST_RUNS runs of days.
+
+    Stored days follow one another, so a project has a run or two. As a
+    condition they prune partitions when the plan is made, where a join would
+    read the rows first.
+    """
+    order = W.partitionBy("family", "project").orderBy("day")
+    days = agg_days.distinct().withColumn("_run", F.date_sub("day", F.row_number().over(order)))
+    runs = days.groupBy("family", "project", "_run").agg(F.min("day").alias("first"), F.max("day").alias("last")).limit(MOST_RUNS + 1).collect()
+    if len(runs) > MOST_RUNS:
+        return None
+    together = defaultdict(list)
+    for r in runs:
+        together[r["family"], r["first"], r["last"]].append(r["project"])
+    by_family = defaultdict(list)
+    for (family, first, last), projects in together.items():
+        by_family[family].append(F.col("project").isin(projects) & F.col("day").between(F.lit(first), F.lit(last)))
+    return {family: F.coalesce(_any(conditions), F.lit(False)) for family, conditions in by_family.items()}
+
+
+def _any(conditions: list[Column]) -> Column:
+    """One condition or another, as a tree that is no deeper than need be."""
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:]) if half else conditions[0]
 
 
 class Lazy(Mapping):
@@ -46,6 +77,8 @@ class Tables:
     #: Stored aggregates by view name, and the days that they hold: family, project, day.
     agg: Mapping[str, DataFrame] = field(default_factory=dict)
     agg_days: DataFrame | None = None
+    #: What `noted_days` gives for agg_days, if it was asked for.
+    noted: Mapping[str, Column] | None = None
     #: Actors and retention cells of days whose raw rows may be gone.
     known: DataFrame | None = None
     cells: DataFrame | None = None
@@ -54,16 +87,23 @@ class Tables:
 
     def without(self, family: str) -> Tables:
         """These tables with only the raw rows of days that `family` has not stored."""
+        if self.noted is not None:
+            return self._where(~self.noted.get(family, F.lit(False)))
         if self.agg_days is None:
             return self
         stored = self.agg_days.where(F.col("family") == family).select(*_DAY)
         return replace(self, **{name: getattr(self, name).join(stored, _DAY, "left_anti") for name in ("web", "app", "product")})
 
-    def only(self, family: str, days: DataFrame) -> Tables:
-        """These tables with only the raw rows of the given days of `family`."""
+    def only(self, family: str, days: DataFrame, noted: Mapping[str, Column] | None = None) -> Tables:
+        """These tables with only the raw rows of the given days of `family`; `noted` is what `noted_days` gives for them."""
+        if noted is not None:
+            return self._where(noted.get(family, F.lit(False)))
         wanted = days.where(F.col("family") == family).select(*_DAY)
         return replace(self, **{name: getattr(self, name).join(wanted, _DAY, "left_semi") for name in ("web", "app", "product")})
 
+    def _where(self, condition: Column) -> Tables:
+        return replace(self, **{name: getattr(self, name).where(condition) for name in ("web", "app", "product")})
+
 
 def _web(name: str) -> Callable[[Tables], DataFrame]:
     return lambda t: rollups.web_dimension(t.web, name)
@@ -89,11 +129,14 @@ VIEWS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
 def stitch(name: str, t: Tables) -> DataFrame:
     """The stored half of a view, the days that are noted, and the live half of all other days."""
     family, live = VIEWS[name]
-    if name not in t.agg:
-        return live(t)
     fresh = live(t.without(family))
+    if name not in t.agg:  # no stored day has had a row
+        return fresh
     stored = t.agg[name].select(*fresh.columns)
-    if t.agg_days is not None:  # a pass that stopped may have written days that it did not note
+    # a pass that stopped may have written days that it did not note
+    if t.noted is not None:
+        stored = stored.where(t.noted.get(family, F.lit(False)))
+    elif t.agg_days is not None:
         stored = stored.join(t.agg_days.where(F.col("family") == family).select(*_DAY), _DAY, "left_semi")
     return stored.unionByName(fresh)
 

@@ -15,6 +15,7 @@ INGEST_KEYS = "key string, project string, label string, disabled boolean"
 #: What a stream writes batch by batch and readers merge by key.
 NAMES = "project string, kind string, id string, name string, updated_at timestamp"
 MINUTES = "minute timestamp, label string, accepted long, rejected long"
+SESSION_PARTS = "project string, day date, actor_id string, started long, ended long, hit_count long"
 IDENTITIES = "project string, kind string, id string, name string, last_seen_day date, updated_at timestamp"
 SALTS = "valid_from timestamp, valid_to timestamp, salt string"
 #: Ids that were ever stored, beside each family; see `store.id_bucket`.

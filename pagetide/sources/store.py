@@ -45,8 +45,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, empty if nothing was ever written."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    """A stored table, empty if nothing was ever written; no file is opened to learn that."""
+    return spark.read.schema(schema).parquet(path) if _there(spark, path) else spark.createDataFrame([], schema)
 
 
 def scan(table: DataFrame, project: str, frm: datetime.datetime, to: datetime.datetime) -> DataFrame:
@@ -85,7 +85,7 @@ def known_ids(spark: SparkSession, ids: str, touched: dict[str, list[str]]) -> D
     return spark.read.option("basePath", ids).schema(schemas.IDS).parquet(*paths).select("project", "id") if paths else spark.createDataFrame([], "project string, id string")
 
 
-def append_new(rows: DataFrame, path: str, schema: str, ids: str | None = None) -> None:
+def append_new(rows: DataFrame, path: str, schema: str, ids: str | None = None, first: Callable[[DataFrame], None] | None = None) -> None:
     """Add rows whose id was never stored; replays of any age add nothing, on whatever day they fall.
 
     The ids of a table are kept beside it in an index (`ids`, which tables may
@@ -95,7 +95,8 @@ def append_new(rows: DataFrame, path: str, schema: str, ids: str | None = None)
     are then taken off the batch. One writer at a time. A note of the days
     stands while rows are written and their ids are not yet; if it is found, the
     last writer was stopped, and the ids of those days are put in the index
-    first. So are the ids of a table that has no index yet.
+    first. So are the ids of a table that has no index yet. `first` gets the
+    new rows before any of them is stored.
     """
     spark = rows.sparkSession
     ids, note = ids or f"{path}_ids", f"{path}_writing"
@@ -108,6 +109,8 @@ def append_new(rows: DataFrame, path: str, schema: str, ids: str | None = None)
         days = fresh.select("day").distinct()
         if days.isEmpty():
             return
+        if first is not None:
+            first(fresh)
         days.coalesce(1).write.mode("overwrite").json(note)
         fresh.write.mode("append").partitionBy(*_PARTITION).parquet(path)
         _add_ids(fresh, ids)
@@ -146,6 +149,11 @@ def _delete(spark: SparkSession, path: str) -> bool:
     return files.delete(where, True)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this path has come to its end."""
+    return _there(spark, f"{path}/_SUCCESS")
+
+
 def _files(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -231,6 +239,41 @@ def _numbers(spark: SparkSession, path: str, key: str, finished: bool = False) -
     return [n for n in found if not finished or _there(spark, f"{path}/{key}={n}/_SUCCESS")]
 
 
+def bring_together(spark: SparkSession, path: str, projects: list[str], schema: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Put what `merge` makes of the named projects' parts of a log in their place; other projects' files stay as they are.
+
+    The new files are written first and the old ones deleted after. Where it
+    stops in between both are there, so what `merge` makes of a log beside its
+    own result must be that result; rows it left out go with the next call.
+    """
+    log = spark.read.option("basePath", path).schema(schema).parquet(*[f"{path}/project={project}" for project in projects])
+    old = log.inputFiles()
+    merge(log).select(*log.columns).hint("rebalance", "project").write.mode("append").partitionBy("project").parquet(path)
+    for name in old:
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, False)
+
+
+def read_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The last finished version of a small table; empty if there is none."""
+    done = _numbers(spark, path, "version", finished=True)
+    return spark.read.schema(schema).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def write_version(rows: DataFrame, path: str) -> None:
+    """Write a version that readers take as soon as it is finished."""
+    number = max(_numbers(rows.sparkSession, path, "version"), default=0) + 1
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={number}")
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> None:
+    """Delete every version but the last finished one."""
+    done = _numbers(spark, path, "version", finished=True)
+    for number in _numbers(spark, path, "version"):
+        if done and number != done[-1]:
+            _delete(spark, f"{path}/version={number}")
+
+
 def rewrite(rows: DataFrame, path: str, partition: list[str] | None = None) -> str:
     """Write a table's new version beside the old one and give its path; a reader of the old one is not disturbed."""
     writer = rows.write.mode("errorifexists")

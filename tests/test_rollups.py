@@ -236,6 +236,71 @@ def test_expired_aggregates_go_by_folder(spark, hits, tmp_path):
     assert [r.day for r in lifecycle.opened(spark, root, registry, names).agg["v_web_daily"].collect()] == [datetime.date(2026, 8, 1)]
 
 
+def test_stored_days_are_not_read_from_raw_rows(spark, hits, tmp_path, monkeypatch):
+    root, registry, names = str(tmp_path), _identified(spark), spark.createDataFrame([], schemas.IDENTITIES)
+    more = hits.unionByName(rows(spark, schemas.WEB_HITS, hit("v1", "10:00", day=datetime.date(2026, 8, 29))))
+    more.write.partitionBy("project", "day").parquet(f"{root}/web")
+    want = _seen(lifecycle.opened(spark, root, registry, names), *views.VIEWS)
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "drop_partition", lambda *_: False)  # raw rows of stored days stay
+        assert lifecycle.age_out(spark, root, lifecycle.opened(spark, root, registry, names), datetime.date(2026, 8, 30)) == {}
+    for part in (tmp_path / "web" / "project=app" / f"day={D10}").glob("*.parquet"):
+        part.write_bytes(b"no table")  # whoever reads this fails
+    for crc in (tmp_path / "web" / "project=app" / f"day={D10}").glob(".*.crc"):
+        crc.unlink()
+    t = lifecycle.opened(spark, root, registry, names)
+    assert t.noted is not None and _seen(t, *views.VIEWS) == want
+    # beyond a bounded number of runs, joins tell the halves apart
+    monkeypatch.setattr(views, "MOST_RUNS", 1)
+    days = spark.createDataFrame([("web", "app", D10), ("web", "app", D11), ("web", "b", D10)], schemas.AGG_DAYS)
+    assert views.noted_days(days) is None and set(views.noted_days(days.where("project = 'app'"))) == {"web"}
+    assert views.noted_days(days.where("false")) == {}
+    monkeypatch.undo()
+    noted = views.noted_days(days.unionByName(days))["web"]
+    found = spark.createDataFrame([("app", D10), ("app", D11), ("b", D10), ("b", D11), (None, D10)], "project string, day date").select("project", "day", noted.alias("n")).collect()
+    assert [(r.project, r.day) for r in found if r.n] == [("app", D10), ("app", D11), ("b", D10)]
+    assert all(r.n is not None for r in found)
+
+
+def test_logs_are_pruned_and_compacted(spark, tmp_path, monkeypatch):
+    root, today = str(tmp_path), datetime.date(2026, 8, 30)
+    old, new = datetime.date(2025, 1, 1), datetime.date(2026, 8, 1)
+    registry = _identified(spark).unionByName(_identified(spark).withColumn("alias", F.lit("b c")))
+    windows = lifecycle.retention_windows(registry)
+    actors = [("app", "gone", "app", old, old, old), ("app", "back", "web", old, old, old), ("app", "back", "app", new, new, new), ("b c", "x", "web", new, new, new)]
+    for one in actors:
+        spark.createDataFrame([one], schemas.ACTORS).write.mode("append").partitionBy("project").parquet(f"{root}/actors")
+    spark.createDataFrame([("app", "web", old, 0, 1), ("app", "web", new, 0, 1), ("app", "web", new, 0, 2), ("b c", "web", old, 3, 1)], schemas.CELLS).write.partitionBy("project").parquet(f"{root}/cells")
+    known = lambda: sorted((r.project, r.actor_id, r.surface, r.first_seen_day, r.last_seen_day) for r in cohorts.known_actors(store.read_table(spark, f"{root}/actors", schemas.ACTORS)).collect())
+    want = [("app", "back", "web", old, new), ("b c", "x", "web", new, new)]
+    # one that stops before it deletes what it has replaced leaves the same actors
+    with monkeypatch.context() as patch:
+        patch.setattr(cohorts, "merge_cell_log", lambda log: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            lifecycle.prune_logs(spark, root, windows, today)
+    assert known() == want
+    assert lifecycle.prune_logs(spark, root, windows, today) == ["app", "b c"]
+    assert lifecycle.prune_logs(spark, root, windows, today) == []
+    assert known() == want and store.read_table(spark, f"{root}/actors", schemas.ACTORS).count() == 2
+    cells = store.read_table(spark, f"{root}/cells", schemas.CELLS).collect()
+    assert [(r.project, r.cohort_day, r.actors) for r in cells] == [("app", new, 2)]
+
+
+def test_salts_rotate_in_one_step(spark, tmp_path, monkeypatch):
+    path, at = str(tmp_path / "salts"), datetime.datetime(2026, 8, 10, 12)
+    first_ = lifecycle.rotate_stored_salts(spark, path, at).collect()
+    assert len(first_) == 1 and lifecycle.rotate_stored_salts(spark, path, at).collect() == first_
+    (tmp_path / "salts" / "version=7").mkdir()  # a version that was not finished
+    assert store.read_version(spark, path, schemas.SALTS).collect() == first_
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_delete", lambda *_: False)
+        second = lifecycle.rotate_stored_salts(spark, path, at + datetime.timedelta(2)).collect()
+    assert len(second) == 1 and second != first_
+    # the next call destroys what is over
+    assert lifecycle.rotate_stored_salts(spark, path, at + datetime.timedelta(2)).collect() == second
+    assert [p.name for p in (tmp_path / "salts").iterdir()] == ["version=8"]
+
+
 def test_a_returning_actor_stays_in_its_cohort(spark):
     log = spark.createDataFrame([("app", "v1", "app", D10, D10, D10), ("app", "v1", "web", D10, D11, D11)], schemas.ACTORS)
     assert [(r.surface, r.first_seen_day, r.last_seen_day) for r in cohorts.known_actors(log).collect()] == [("app", D10, D11)]
