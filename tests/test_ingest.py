@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagetide import schemas
 from pagetide.functions import enrich, hashing, urls
 from pagetide.operators import normalise, rollups, sessions
-from pagetide.sources import store
+from pagetide.sources import driver_tables, store
 from pagetide.streaming import ingest
 
 NOON = datetime.datetime(2026, 8, 26, 12, 0, 0)
@@ -290,3 +290,13 @@ def test_batches_of_one_key_add_up_once(spark, tmp_path):
     fold(5)
     assert read() == [("a", 4, 1), ("b", 7, 1), ("c", 1, 1)]
     assert sorted(p.name for p in (tmp_path / "minutes").iterdir()) == [] and sorted(p.name for p in (tmp_path / "minutes_folded").iterdir()) == ["below=4", "below=5"]
+
+
+def test_a_time_within_the_second_of_the_limit_is_too_far_ahead(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 12, 5)
+    times = [at, at + datetime.timedelta(microseconds=1), at + datetime.timedelta(microseconds=999_999), at - datetime.timedelta(microseconds=1)]
+    rows = [(n, t, 2, "error", 1.0, '{"k": 1}') for n, t in enumerate(times, 1)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    out = normalise.normalise(driver_tables.envelopes(spark, str(tmp_path)), *driver_tables.registry(spark, str(tmp_path)))
+    noon = at.replace(minute=0)
+    assert [r.ts for r in out.app.orderBy("id").collect()] == [at, noon, noon, at - datetime.timedelta(seconds=1)]
