@@ -300,3 +300,24 @@ def test_a_time_within_the_second_of_the_limit_is_too_far_ahead(spark, tmp_path)
     out = normalise.normalise(driver_tables.envelopes(spark, str(tmp_path)), *driver_tables.registry(spark, str(tmp_path)))
     noon = at.replace(minute=0)
     assert [r.ts for r in out.app.orderBy("id").collect()] == [at, noon, noon, at - datetime.timedelta(seconds=1)]
+
+
+def test_batch_results_read_the_events_once(spark):
+    many = [{"name": "$odd", "attributes": {"$what": 1}}] * 8 + [{"name": ""}] * 12
+    sent = frame(spark, envelope("b1", "ka", many), envelope("b2", "ka", [{"name": "x"}]), envelope("b1", "kd", [{"name": "$late"}, {"name": ""}]))
+    out = normalise.normalise(sent, *registry(spark))
+    got = {(r.batch_id, r.project): r for r in out.batch_results.collect()}
+    assert {k: (r.accepted, r.rejected) for k, r in got.items()} == {("b1", "app"): (8, 12), ("b1", "docs"): (1, 1), ("b2", "app"): (1, 0)}
+    assert got["b2", "app"].errors is None and got["b2", "app"].warnings is None
+    for project in ("app", "docs"):  # the first of the batch, whatever the key
+        errors, warnings = got["b1", project].errors, got["b1", project].warnings
+        assert [tuple(e) for e in errors] == [(i, "name is required") for i in (1, *range(8, 17))]
+        want = sorted([(0, "unknown event $late"), *((i, "unknown event $odd") for i in range(8)), *((i, "unknown reserved key $what") for i in range(8))])
+        assert [tuple(w) for w in warnings] == want[:10]
+    assert out.batch_results._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+
+
+def test_values_become_text_once_for_each_event(spark):
+    sent = frame(spark, envelope("b1", "ka", [{"name": "$pageview", "attributes": {"$path": "/a", "n": 1.5}}]))
+    plan = normalise.normalise(sent, *registry(spark)).web._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast(") <= 100  # of an event's and a batch's values, once each
