@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+
 from pagetide.llm import neardup
 
 SCHEMA = "doc_id bigint, text string, source string, component string"
@@ -80,3 +83,35 @@ def test_edges_of_the_input(spark):
     assert out == {(1, 1), (9, 1), (10, 1)}
     kept = neardup.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "source", "component"] and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_full_sets_are_made_of_likely_documents_alone(spark, monkeypatch):
+    """Documents that share two sentences in five with others meet, but are out before any full set is made."""
+    rng, made = random.Random(3), []
+    sentences = [" ".join(f"s{k}w{i}" for i in range(20)) for k in range(6)]
+    rows = [(i, " ".join(rng.sample(sentences, 2) + [f"own{i}x{k}" for k in range(60)]), "s", "c") for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " more", "s", "c") for i in range(3)]
+    full = neardup._full_sets
+    monkeypatch.setattr(neardup, "_full_sets", lambda docs, wanted, size: (made.extend(r.node for r in wanted.collect()), full(docs, wanted, size))[1])
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(spark.createDataFrame(rows, SCHEMA), 4).collect()}
+    assert out == brute(rows, 4, 80)
+    assert {0, 1, 2, 100, 101, 102} <= set(made) and len(set(made)) < 12
+
+
+def test_lists_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    rows = corpus(2)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(spark.createDataFrame(rows, SCHEMA), 4).collect()}
+    assert out == brute(rows, 4, 80)
+
+
+def test_common_counts_in_any_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    arrays = pd.Series([np.unique(rng.integers(0, 60, n)) for n in (1, 5, 40, 30, 2, 55, 9)])
+    want = np.array([[len(np.intersect1d(a, b)) for b in arrays] for a in arrays])
+    off = ~np.eye(len(arrays), dtype=bool)  # of itself, an array counts what others have too
+    for most in (1, 30, 10**6):
+        monkeypatch.setattr(neardup, "_AT_ONCE", most)
+        got = np.concatenate([common for _, common in neardup._common(arrays)])
+        assert (got[off] == want[off]).all() and got.shape == (7, 7)
