@@ -71,6 +71,16 @@ def test_session_edges(spark):
     assert first(rollups.app_daily(mixed))["sessions"] == 2
 
 
+def test_app_sessions_do_not_depend_on_the_order_of_rows(spark):
+    """Views of one second, with and without a declared session: the smallest id decides, 9 before 10."""
+    at = lambda a, i, s, t: {"actor_id": a, "id": i, "session_id": s, "at": t, "screen": "/", "day": D10}
+    views = [at("a", "9", "", "10:00"), at("a", "10", "s1", "10:00"), at("a", "11", "", "12:00"), at("b", "9", "s1", "10:00"), at("b", "10", "", "10:00"), at("b", "11", "", "12:00")]
+    want = {("a", "g:1", 1), ("a", "d:s1", 1), ("a", "g:2", 1), ("b", "d:s1", 1), ("b", "g:0", 1), ("b", "g:1", 1)}
+    for order in (views, views[::-1]):
+        found = sessions.app_sessions(rows(spark, schemas.APP_VIEWS, *order).coalesce(1))
+        assert {(r.actor_id, r.session_key, r.view_count) for r in found.collect()} == want
+
+
 def test_attributes_and_tail(spark):
     events = product(spark, ("u1", "subscribed", {"plan": "pro", "source": "ads"}), ("u2", "subscribed", {"plan": "free", "source": "ads"}), ("u2", "subscribed", {"plan": "free"}), ("u1", "ping", {}))
     assert first(rollups.product_totals(events))["total_events"] == 4
