@@ -233,3 +233,47 @@ def test_documents_of_a_bucket_are_scored_as_they_come():
 
     scored(2)
     assert scored(100) < 1.2 * scored(5)
+
+
+def alike(n, c, tables, words, d=0.6, together=False):
+    """n cells of c customers, each with a context and a word of its own that have so many tables in all, and a sampler of their seats."""
+    each, none = np.arange(n), np.empty(0, np.int64)
+    cells = SimpleNamespace(c=np.full(n, c), context=each, word=each, slots=np.ones(n, np.int64) if together else none, sizes=np.full(n, c) if together else none)
+    totals = np.stack([cells.c, cells.c, np.full(n, tables), np.full(n, words)])
+    return pitman.Seating(cells, totals, pitman.Parameters(d, 0.4, n, n, [10**9]), np.random.default_rng(11))
+
+
+@pytest.mark.parametrize("c, tables, words", [(3, 50, 5 * 10**7), (16, 50, 5 * 10**7), (17, 50, 5 * 10**7), (60, 8, 3 * 10**8), (1000, 50, 5 * 10**7), (1500, 600, 5 * 10**7)])
+def test_cells_of_any_size_reach_the_exact_posterior(c, tables, words):
+    """By the recursion of the generalized Stirling numbers: frequent cells kept three times the tables, as only one customer of a cell moved in a round."""
+    n, d = 1500 if c > 100 else 6000, 0.6
+    log_s, t = np.full(c + 1, -np.inf), np.arange(1, c + 1)
+    log_s[1] = 0
+    for k in range(1, c):
+        with np.errstate(divide="ignore"):
+            log_s[1:] = np.logaddexp(log_s[1:] + np.log(np.maximum(k - d * t, 0)), log_s[:-1])
+    new = (pitman.STRENGTH + d * (tables - 1 + t[:-1])) * (words - 1 + t[:-1] - 0.4) / (pitman.PARENT_STRENGTH + 10**9 - 1 + t[:-1])
+    log_p = log_s[1:] + np.concatenate([[0], np.cumsum(np.log(new))])
+    want = np.exp(log_p - log_p.max())
+    want /= want.sum()
+    seating = alike(n, c, tables, words, d)
+    for _ in range(pitman.BURN_IN + pitman.ROUNDS):
+        seating.round()
+    found = np.bincount(seating.t, minlength=c + 1)[1:] / n
+    mean, spread = (want * t).sum(), ((want * t * t).sum() - (want * t).sum() ** 2) ** 0.5
+    assert seating.t.sum() == len(seating.sizes) and (np.add.reduceat(seating.sizes, np.cumsum(seating.t) - seating.t) == c).all()
+    assert abs(seating.t.mean() - mean) < 6 * spread / n**0.5 + 0.01 * mean, (seating.t.mean(), mean)
+    assert abs(seating.t.std() - spread) < 0.15 * spread
+    if spread < 4:
+        assert np.abs(np.cumsum(found - want)).max() < 0.04
+
+
+@pytest.mark.parametrize("c", [2, 5, 16, 17, 100, 3000])
+def test_every_customer_takes_a_seat_anew_in_a_round(c, monkeypatch):
+    """Where a new table is all but sure, one round leaves nobody at the table that all shared."""
+    monkeypatch.setattr(pitman, "BLOCK", 70, raising=False)
+    seating = alike(20, c, 10, 10, together=True)
+    seating.p.parent = lambda had, more, sample: np.full(np.shape(had), 1e9)
+    seating.round()
+    assert (seating.t == c).all() and (seating.sizes == 1).all()
+    assert (seating.of_context == 9 + c).all() and (seating.of_word == 9 + c).all() and seating.more == 20 * (c - 1)
